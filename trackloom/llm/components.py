@@ -3,7 +3,7 @@
 Each round every vertex that still has an edge draws a coin from a hash of its id and the round (so a
 recomputed task draws the same); shared values are vertices too, with odd ids, as hubs of the rows. A tails vertex with heads neighbours collapses into the least of
 them; edges are renamed, loops and repeats go. When no edge is left, the rounds' moves are unwound
-from the last to the first, which gives each vertex its final representative.
+in one plan, which gives each vertex its final representative.
 
 Nothing is collected but the number of edges left. A hub vertex costs no quadratic work: its edges are
 a plain table, its choice a partial minimum, and renaming joins against one row for the hub, which
@@ -19,13 +19,13 @@ from ..session import Scratch
 
 
 def _heads(vertex: str, turn: int):
-    """Two rounds in three the coin is loaded, seven in eight: hubs (odd ids) come up heads, the rest tails, which melts stars; each third round is fair, which melts chains of hubs."""
+    """Even ids (rows) always come up tails. Hubs (odd ids) are heads seven times in eight in the first round, which melts their stars, then every other time."""
     draw = F.pmod(F.xxhash64(F.col(vertex), F.lit(turn)), F.lit(8))
-    return draw < F.lit(4) if turn % 3 == 2 else (draw == 0) != (F.col(vertex) % 2 != 0)
+    return (F.col(vertex) % 2 != 0) & (draw < F.lit(4 if turn else 7))
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFrame:
-    """``(a, b)`` long edges -> ``(vertex, root)`` for each vertex that has an edge to another one. Hubs should have odd ids.
+    """``(a, b)`` long edges -> ``(vertex, root)`` for each vertex that has an edge to another one. Hubs have odd ids; no edge joins two even ids.
 
     Null ends, loops and repeated edges are allowed and don't count. An empty table gives an empty
     table. ``root`` is one vertex of the component, the same for all its vertices.
@@ -55,18 +55,26 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
         if not left.isEmpty():
             raise RuntimeError(f"edges are left after {rounds} rounds")
     scratch.drop(left)
-    known = None
-    for move in reversed(moves):
-        step = move.select(F.col("v").alias("vertex"), F.col("w").alias("root"))
-        if known is not None:
-            later = known.select(F.col("vertex").alias("w"), F.col("root").alias("last"))
-            step = move.join(later, "w", "left").select(F.col("v").alias("vertex"), F.coalesce("last", "w").alias("root"))
-        step = scratch.cut(step)
-        scratch.drop(move)
-        known = step if known is None else known.unionByName(step)
-    if known is None:
+    if not moves:
         return edges.sparkSession.createDataFrame([], "vertex long, root long")
-    return scratch.cut(known.unionByName(known.select(F.col("root").alias("vertex"), "root").distinct()))
+    # A vertex goes once, and what it went into goes, if at all, in a later round: one pass over the moves, each
+    # joined once, settles the ends of all of them.
+    settled = scratch.cut(unwound(moves))
+    for move in moves:
+        scratch.drop(move)
+    return settled.unionByName(settled.select(F.col("root").alias("vertex"), "root").distinct())
+
+
+def unwound(moves: list[DataFrame]) -> DataFrame:
+    """``(vertex, root)`` of all vertices that moved, from the rounds' ``(v, w)``."""
+    ends = None
+    for move in moves:
+        this = move.select(F.col("v").alias("vertex"), F.col("w").alias("root"))
+        if ends is not None:
+            ends = ends.join(move, ends["root"] == move["v"], "left").select("vertex", F.coalesce("w", "root").alias("root"))
+            this = ends.unionByName(this)
+        ends = this
+    return ends
 
 
 def linked_groups(rows: DataFrame, row_id: str, links: list[str], scratch: Scratch) -> DataFrame:

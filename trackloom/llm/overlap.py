@@ -83,10 +83,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunk_table(records: DataFrame) -> DataFrame:
     """``record_id, side, field (0 frame, 1 checksum), digest, length, value`` for each chunk; value stands in a value's first chunk only. side: T train, E valid or test, N neither."""
-    split = split_name(F.col("assigned_split"))
-    side = F.when(split == "train", "T").when(split.isNotNull(), "E").otherwise("N")
+    side = F.element_at(F.create_map(*map(F.lit, ("train", "T", "valid", "E", "test", "E"))), split_name(F.col("assigned_split")))
+    side = F.coalesce(side, F.lit("N"))
     base = records.select("record_id", side.alias("side"), frame_name(F.col("source_key")).alias("frame"), checksum(F.col("image_hash")).alias("checksum"))
-    return base.filter("frame IS NOT NULL OR checksum IS NOT NULL").mapInArrow(_chunks, "record_id long, side string, field byte, digest long, length int, value string")
+    return base.mapInArrow(_chunks, "record_id long, side string, field byte, digest long, length int, value string")
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def cross_split_pairs(records: DataFrame, scratch: Scratch) -> DataFrame:
 def overlap_report(records: DataFrame) -> DataFrame:
     """Per split and source: records, records with a value that stands whole in the other side, and mean overlap. A null source or split is one of its own."""
     best = overlaps(records).groupBy("record_id").agg(F.max("across").alias("across"))
-    base = records.select("record_id", F.coalesce(split_name(F.col("assigned_split")), F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("source"))
+    base = records.select("record_id", F.coalesce(F.nullif(split_name(F.col("assigned_split")), F.lit("")), F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("source"))
     return base.join(best, "record_id", "left").groupBy("split", "source").agg(
         F.count("*").alias("records"), F.count_if(F.col("across") >= 1.0).alias("overlapping"), F.round(F.avg(F.coalesce("across", F.lit(0.0))), 4).alias("mean_overlap")
     )

@@ -19,13 +19,13 @@ BUCKETS = 256
 
 def clip_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(record_id, group_id)`` of records with a clip_key: those whose clip_key names one clip, however spelled, are one group. A null clip_key, or one without a name, gives no row."""
-    named = records.select("record_id", F.col("clip_key").alias("spelled"), clip_name(F.col("clip_key")).alias("clip")).filter("clip IS NOT NULL")
+    named = records.select("record_id", F.col("clip_key").alias("spelled"), clip_name(F.col("clip_key")).alias("clip")).filter("clip <> ''")
     return linked_groups(named, "record_id", ["spelled", "clip"], scratch)
 
 
 def straddling(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``record_id`` of records whose group has records in two or more assigned splits, in any spelling. Null splits neither count nor appear."""
-    split = records.select("record_id", split_name(F.col("assigned_split")).alias("split")).filter("split IS NOT NULL")
+    split = records.select("record_id", split_name(F.col("assigned_split")).alias("split")).filter("split <> ''")
     member = clip_groups(records, scratch).join(split, "record_id")
     torn = member.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).filter("a <> b").select("group_id")
     return member.join(torn, "group_id", "left_semi").select("record_id").distinct()
@@ -40,7 +40,7 @@ def assign_splits(records: DataFrame, targets: DataFrame, scratch: Scratch, buck
     the group on each cut. Groups beyond half the least ratio of their source lie first, in the largest
     split. Ratios need not add up to one; null or negative ones count as nought.
     """
-    clip = F.coalesce(clip_name(F.col("clip_key")), clip_of_frame(frame_name(F.col("source_key"))))
+    clip = F.coalesce(clip_name(F.col("clip_key")), clip_of_frame(frame_name(F.col("source_key"))), F.lit(""))
     base = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), F.col("clip_key").alias("spelled"), clip.alias("clip"))
     grouped = scratch.cut(linked_groups(base.select("record_id", "spelled", "clip"), "record_id", ["spelled", "clip"], scratch).join(base.select("record_id", "source"), "record_id"))
     weights = grouped.groupBy("group_id", "source").agg(F.count("*").alias("n"))
