@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES = {}
+from pyspark.sql import functions as F
+
+from ..operators import spikes
+from ..session import Scratch, table
+
+
+def p5_found(spark, d):
+    return spikes.spikes(table(spark, d, "ball_tracks"), table(spark, d, "frames"), Scratch(spark)).select("stream_id", "track_id", "frame_index")
+
+
+def p5_spikes(spark, d):
+    return spikes.spikes(table(spark, d, "ball_tracks"), table(spark, d, "frames"), Scratch(spark))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_spikes)}
 ORACLE = {}
