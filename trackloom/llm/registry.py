@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
-from . import overlap, runs, splits, survivors
+from . import forms, overlap, runs, splits, survivors
 
 
 def p1_runs(spark, d):
@@ -45,4 +45,12 @@ def p4_survivors(spark, d):
     return survivors.survivors(table(spark, d, "records"), table(spark, d, "sources"), Scratch(spark))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p4_found, p4_survivors)}
+def p8_found(spark, d):
+    return forms.same_looking(table(spark, d, "documents"))
+
+
+def p8_forms(spark, d):
+    return forms.forms(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p4_found, p4_survivors, p8_found, p8_forms)}
