@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import Scratch, table
-from . import forms, leaks, overlap, runs, splits, survivors
+from . import forms, leaks, overlap, packing, runs, splits, survivors
 
 
 def p1_runs(spark, d):
@@ -45,6 +45,14 @@ def p4_survivors(spark, d):
     return survivors.survivors(table(spark, d, "records"), table(spark, d, "sources"), Scratch(spark))
 
 
+def p6_pack(spark, d):
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_profiles"), Scratch(spark))
+
+
+def p6_report(spark, d):
+    return packing.packing_report(p6_pack(spark, d), table(spark, d, "pack_profiles"))
+
+
 def p7_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -61,4 +69,4 @@ def p8_forms(spark, d):
     return forms.forms(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p4_found, p4_survivors, p7_found, p7_leaks, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p4_found, p4_survivors, p6_pack, p6_report, p7_found, p7_leaks, p8_found, p8_forms)}
