@@ -4,8 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import spikes
+from ..functions import geometry as G
+from ..functions.tracks import status_name
+from ..operators import cleaning, detections, metrics, sequences, spikes, tracker
 from ..session import Scratch, table
+from ..sources import files
+from .sql import ORACLE
+
+KEYS = ["stream_id", "frame_index"]
+
+
+def _tracks(spark, d):
+    """Deliveries once, fields flat, statuses in one spelling."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("stream_id", "track_id", "frame_index").orderBy("row_id")
+    once = table(spark, d, "ball_tracks").filter("track_id IS NOT NULL").withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+    at = lambda c, i: F.get(c, F.lit(i))
+    return once.select("stream_id", "track_id", "frame_index", status_name(F.col("status")).alias("status"), at("center", 0).alias("cx"), at("center", 1).alias("cy"), at("velocity", 0).alias("vx"), at("velocity", 1).alias("vy"), "confidence", "missing_frames")
+
+
+def _finite(tracks):
+    return tracks.filter("cx IS NOT NULL AND NOT isnan(cx) AND NOT isnan(cy) AND abs(cx) < 1e12 AND abs(cy) < 1e12")
+
+
+def _det(spark, d):
+    return detections.distinct(table(spark, d, "detections"))
+
+
+def _kept(spark, d):
+    return detections.deduplicate(detections.keep(_det(spark, d)))
 
 
 def p5_found(spark, d):
@@ -16,5 +44,291 @@ def p5_spikes(spark, d):
     return spikes.spikes(table(spark, d, "ball_tracks"), table(spark, d, "frames"), Scratch(spark))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_spikes)}
-ORACLE = {}
+def det_conf_tiers(spark, d):
+    return detections.tiers(_det(spark, d), 0.25, 0.15).groupBy("stream_id", "tier").agg(F.count("*").alias("n"))
+
+
+def det_filter(spark, d):
+    return detections.keep(_det(spark, d), 0, 0.15, (100.0, 100.0, 400.0, 300.0)).select(*KEYS, "det_idx", "confidence")
+
+
+def det_box_forms(spark, d):
+    x1, y1, x2, y2 = G.xyxy(F.col("cx"), F.col("cy"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return _det(spark, d).select(*KEYS, "det_idx", *[F.round(c, 4).alias(n) for n, c in {"bx1": x1, "by1": y1, "bx2": x2, "by2": y2, "mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}.items()])
+
+
+def det_letterbox(spark, d):
+    j = _det(spark, d).join(table(spark, d, "frames").select(*KEYS, "width", "height"), KEYS)
+    p = G.letterbox(F.col("width"), F.col("height"), 640)
+    x = G.unletterbox(F.col("cx") * p["scale"] + p["left"], p["left"], p["scale"], F.col("width"))
+    y = G.unletterbox(F.col("cy") * p["scale"] + p["top"], p["top"], p["scale"], F.col("height"))
+    return j.select(*KEYS, "det_idx", p["left"].alias("pad_left"), p["top"].alias("pad_top"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+def det_crop(spark, d):
+    j = _det(spark, d).join(table(spark, d, "frames").select(*KEYS, "width", "height"), KEYS)
+    c = G.crop(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("width"), F.col("height"))
+    return j.select(*KEYS, "det_idx", *[F.round(c[n], 4).alias(n) for n in ("x1", "y1", "x2", "y2")])
+
+
+def det_topk_per_frame(spark, d):
+    return detections.top_k(_det(spark, d), 3).select(*KEYS, "det_idx", "rank")
+
+
+def det_decode(spark, d):
+    score = F.array("cx", "cy", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "confidence", F.col("confidence") * F.col("class_id") * 2)
+    long = F.concat(F.slice(score, 1, 4), F.array(F.col("confidence"), F.col("confidence") * F.col("class_id") * 2, F.lit(0.01)))
+    raw = _det(spark, d).select(*KEYS, F.col("det_idx").alias("row"), long.alias("output"))
+    return detections.decode_scores(raw, 0.15).select(*KEYS, "row", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"), F.round("confidence", 6).alias("confidence"), "class_id")
+
+
+def frame_sampling(spark, d):
+    return detections.sampled(table(spark, d, "frames"), 3)
+
+
+def frame_range(spark, d):
+    return files.frame_range(table(spark, d, "frames"), 50, 100).select(*KEYS, "width")
+
+
+def frame_spine_gaps(spark, d):
+    per = _det(spark, d).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    return table(spark, d, "frames").join(per, KEYS, "left").groupBy("stream_id").agg(F.count("*").alias("frames"), F.count_if(F.col("n").isNull()).alias("empty_frames"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"))
+
+
+def pair_metrics(spark, d):
+    a = _det(spark, d).select(*KEYS, *[F.col(c).alias(f"a_{c}") for c in ("det_idx", "x1", "y1", "x2", "y2", "cx", "cy")])
+    b = _det(spark, d).select(*KEYS, *[F.col(c).alias(f"b_{c}") for c in ("det_idx", "x1", "y1", "x2", "y2", "cx", "cy")])
+    j = a.join(b, KEYS).filter("a_det_idx < b_det_idx")
+    box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
+    penalty = G.size_penalty(F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1"), F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1"))
+    return j.select(*KEYS, "a_det_idx", "b_det_idx", F.round(G.iou(box("a"), box("b")), 6).alias("iou"), F.round(G.distance(F.col("a_cx"), F.col("a_cy"), F.col("b_cx"), F.col("b_cy")), 4).alias("distance"), F.round(penalty, 5).alias("size_penalty"))
+
+
+def dedup_greedy(spark, d):
+    return _kept(spark, d).select(*KEYS, "det_idx")
+
+
+def nms_iou(spark, d):
+    return detections.nms(detections.keep(_det(spark, d))).select(*KEYS, "det_idx")
+
+
+def frame_counters(spark, d):
+    return metrics.frame_counts(detections.keep(_det(spark, d)), _kept(spark, d))
+
+
+def camera_gate(spark, d):
+    moved = F.coalesce(F.hypot("cam_dx", "cam_dy") <= 80.0, F.lit(False))
+    return table(spark, d, "frames").select(*KEYS, moved.alias("applied"), F.when(moved, F.col("cam_dx")).otherwise(0.0).alias("dx"), F.when(moved, F.col("cam_dy")).otherwise(0.0).alias("dy"))
+
+
+def gated_candidates(spark, d):
+    """Candidate pairs of each frame's detections with those of the frame before, within the base gate."""
+    now, before = _det(spark, d), _det(spark, d)
+    a = before.select("stream_id", (F.col("frame_index") + 1).alias("frame_index"), F.col("det_idx").alias("prev_idx"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    j = now.join(a, KEYS).withColumn("distance", G.distance(F.col("cx"), F.col("cy"), F.col("px"), F.col("py"))).filter("distance <= 55")
+    return j.select(*KEYS, "det_idx", "prev_idx", F.round("distance", 4).alias("distance"))
+
+
+def association_anti(spark, d):
+    """Detections that no one of the frame before reaches: those that may start tracks."""
+    reached = gated_candidates(spark, d).select(*KEYS, "det_idx").distinct()
+    return _det(spark, d).join(reached, [*KEYS, "det_idx"], "left_anti").filter("confidence >= 0.25").select(*KEYS, "det_idx")
+
+
+def track_multi(spark, d):
+    return tracker.run(table(spark, d, "frames"), _kept(spark, d))
+
+
+def track_diagnostics(spark, d):
+    return tracker.run(table(spark, d, "frames"), _kept(spark, d), diagnostics=True)
+
+
+def frame_results_json(spark, d):
+    lines = files.frame_json(table(spark, d, "frames"), _kept(spark, d).withColumn("source", F.lit("detector")), _finite(_tracks(spark, d)))
+    j = F.from_json("value", "frame_index bigint, ball_detections array<struct<det_idx:int>>, ball_tracks array<struct<track_id:bigint>>, ball_track struct<track_id:bigint>")
+    return lines.select("stream_id", j.alias("j")).select("stream_id", "j.frame_index", F.coalesce(F.greatest(F.size("j.ball_detections"), F.lit(0)), F.lit(0)).alias("detections"), F.coalesce(F.greatest(F.size("j.ball_tracks"), F.lit(0)), F.lit(0)).alias("tracks"), F.col("j.ball_track.track_id").alias("single"))
+
+
+def track_trails(spark, d):
+    return sequences.trails(_finite(_tracks(spark, d)), 30).select("stream_id", "track_id", "frame_index", F.size("trail").alias("points"), F.round(F.get("trail", F.lit(0))["cx"], 4).alias("first_x"))
+
+
+def status_counts(spark, d):
+    return metrics.status_counts(_tracks(spark, d))
+
+
+def lost_events(spark, d):
+    return sequences.lost(_tracks(spark, d)).filter("ball_lost").select("stream_id", "track_id", "frame_index")
+
+
+def bounce_candidates(spark, d):
+    return sequences.bounce_shape(_finite(_tracks(spark, d))).select("stream_id", "track_id", "frame_index", "decided_at")
+
+
+def bounce_events(spark, d):
+    return sequences.bounces(_finite(_tracks(spark, d)))
+
+
+def leave_side(spark, d):
+    return sequences.leave_side(_tracks(spark, d), table(spark, d, "frames"))
+
+
+def confidence_decay(spark, d):
+    return _tracks(spark, d).filter("missing_frames IS NOT NULL AND confidence IS NOT NULL").select("stream_id", "track_id", "frame_index", F.round(F.col("confidence") * F.pow(F.lit(0.82), F.col("missing_frames")), 6).alias("decayed"), F.round(F.col("confidence") * F.greatest(F.lit(0.0), 1 - F.col("missing_frames") / 4), 6).alias("linear"))
+
+
+def velocity_lag(spark, d):
+    v = sequences.measured_velocity(_finite(_tracks(spark, d)))
+    return v.select("stream_id", "track_id", "frame_index", "mvx", "mvy")
+
+
+def moving_average(spark, d):
+    v = sequences.smoothed(_finite(_tracks(spark, d)))
+    return v.select("stream_id", "track_id", "frame_index", F.round("mx", 4).alias("mx"), F.round("my", 4).alias("my"))
+
+
+def kalman_smooth(spark, d):
+    rows = _finite(_tracks(spark, d)).withColumn("cx", F.when(F.col("status") == "observed", F.col("cx"))).withColumn("cy", F.when(F.col("status") == "observed", F.col("cy")))
+    started = rows.filter("status IN ('observed', 'predicted')")
+    v = sequences.kalman_smooth(started)
+    return v.select("stream_id", "track_id", "frame_index", F.round("sx", 3).alias("sx"), F.round("sy", 3).alias("sy"))
+
+
+def track_metrics(spark, d):
+    """Observed share, longest gap and mean age of tracks per stream."""
+    t = _tracks(spark, d)
+    return t.groupBy("stream_id").agg(F.countDistinct("track_id").alias("tracks"), F.round(F.count_if(F.col("status") == "observed") / F.count("*"), 6).alias("observed_share"), F.max("missing_frames").alias("longest_gap"))
+
+
+# Fixed test plane: picture pixels to court feet.
+PLANE = (0.016, 0.001, -1.0, 0.0005, 0.05, -2.0, 0.00001, 0.0002, 1.0)
+
+
+def homography_project(spark, d):
+    u, v = G.project([F.lit(x) for x in PLANE], F.col("cx"), F.col("y2"))
+    return _det(spark, d).select(*KEYS, "det_idx", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"))
+
+
+def homography_inverse(spark, d):
+    x, y = G.unproject([F.lit(x) for x in PLANE], F.col("cx") / 100, F.col("cy") / 30)
+    return _det(spark, d).select(*KEYS, "det_idx", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+def zone_classify(spark, d):
+    u, v = G.project([F.lit(x) for x in PLANE], F.col("cx"), F.col("y2"))
+    z = G.zone(F.col("u"), F.col("v"))
+    return _det(spark, d).select(*KEYS, "det_idx", u.alias("u"), v.alias("v")).select(*KEYS, "det_idx", z["zone"].alias("zone"), z["is_in_court"].alias("is_in_court"), z["is_nvz"].alias("is_nvz"))
+
+
+def homography_cache(spark, d):
+    v = table(spark, d, "frames").select(*KEYS, F.when(F.col("frame_index") % 47 == 5, F.col("cam_dx")).alias("h"))
+    return sequences.cached(v, "h").select(*KEYS, "used", "projection_status")
+
+
+def label_parse(spark, d):
+    r, s = table(spark, d, "records"), table(spark, d, "sources")
+    good = F.filter("boxes", lambda b: b["w"].isNotNull())
+    line = F.transform(good, lambda b: F.format_string("%d %.5f %.5f %.5f %.5f", F.col("ball_class"), b["x"], b["y"], b["w"], b["h"]))
+    text = F.concat(F.coalesce(F.array_join(line, "\n"), F.lit("")), F.lit("\n\n"), F.array_join(F.array_repeat(F.lit("9 0.5 0.5 0.1 0.1"), F.coalesce(F.col("ignored_objects"), F.lit(0))), "\n"))
+    p = cleaning.parse_labels(r.join(s, r["source"] == s["short_name"]).select("record_id", "ball_class", text.alias("label_text")))
+    return p.select("record_id", F.size("parsed.boxes").alias("boxes"), "parsed.ignored", "parsed.converted", "parsed.errors")
+
+
+def norm_source_key(spark, d):
+    return table(spark, d, "records").select("record_id", cleaning.source_key(F.col("source"), F.col("image")).alias("k"), cleaning.clip_key(F.col("source"), F.col("image")).alias("c"))
+
+
+def dedup_variants(spark, d):
+    return cleaning.best_variant(table(spark, d, "records")).select("record_id", "source_key")
+
+
+def dedup_exact(spark, d):
+    return cleaning.best_exact(table(spark, d, "records"), table(spark, d, "sources")).select("record_id", "image_hash")
+
+
+def dedup_stats(spark, d):
+    return cleaning.variant_stats(table(spark, d, "records"))
+
+
+def exact_stats(spark, d):
+    return cleaning.exact_stats(table(spark, d, "records"))
+
+
+def negative_cap(spark, d):
+    return cleaning.limit_negatives(table(spark, d, "records"), 0.25).select("record_id")
+
+
+def _split(spark, d):
+    return cleaning.grouped_split(table(spark, d, "records"))
+
+
+def grouped_split(spark, d):
+    return _split(spark, d)
+
+
+def split_overlap_check(spark, d):
+    r = table(spark, d, "records").join(_split(spark, d), "clip_key")
+    return r.groupBy("clip_key").agg(F.countDistinct("clean_split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("overlap"))
+
+
+def split_counts(spark, d):
+    return cleaning.split_counts(table(spark, d, "records"))
+
+
+def manifest(spark, d):
+    return cleaning.manifest(table(spark, d, "records"))
+
+
+def label_lines(spark, d):
+    return cleaning.label_lines(table(spark, d, "records").withColumn("boxes", F.transform("boxes", lambda b: F.struct(*[F.round(b[c], 5).alias(c) for c in "xywh"]))))
+
+
+def source_audit(spark, d):
+    return cleaning.audit(table(spark, d, "records"))
+
+
+def clean_pipeline(spark, d):
+    """Variants, exact copies, negative cap: records kept per source and split, in one plan."""
+    r, s = table(spark, d, "records"), table(spark, d, "sources")
+    kept = cleaning.limit_negatives(cleaning.best_exact(cleaning.best_variant(r), s), 0.25)
+    return kept.groupBy("source", "original_split").agg(F.count("*").alias("records"))
+
+
+def latency_summary(spark, d):
+    t = table(spark, d, "frames").select("stream_id", "frame_index", (F.abs("cam_dx") + 5).alias("ms")).filter("ms IS NOT NULL")
+    m = metrics.latency(t, 20, ["stream_id"])
+    return m.select("stream_id", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "fps")])
+
+
+def regression_gate(spark, d):
+    """Mean confidence as map50 and observed share as recall: each stream against the mean of all."""
+    t = _tracks(spark, d)
+    agg = [F.avg("confidence").alias("map50"), F.avg((F.col("status") == "observed").cast("double")).alias("recall")]
+    current = t.groupBy(F.col("stream_id").alias("model")).agg(*agg)
+    baseline = current.select("model").crossJoin(F.broadcast(t.agg(*agg)))
+    return metrics.gate(current, baseline).select("model", F.round("map50_drop", 6).alias("map50_drop"), F.round("recall_drop", 6).alias("recall_drop"), "accepted")
+
+
+def skip_existing(spark, d):
+    done = _det(spark, d).select("stream_id", F.when(F.col("class_id") == 0, "video").otherwise("jsonl").alias("kind"))
+    return metrics.todo(table(spark, d, "frames").select("stream_id").distinct(), done)
+
+
+def rolling_fps(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("stream_id").orderBy("frame_index")
+    dt = F.col("ts_s") - F.lag("ts_s").over(w)
+    f = table(spark, d, "frames").filter("ts_s IS NOT NULL").withColumn("fps", F.when(dt > 0, 1 / dt))
+    return f.select(*KEYS, F.round(F.avg("fps").over(w.rowsBetween(-29, 0)), 3).alias("smooth_fps"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p5_found, p5_spikes, det_conf_tiers, det_filter, det_box_forms, det_letterbox, det_crop, det_topk_per_frame, det_decode, frame_sampling, frame_range, frame_spine_gaps, pair_metrics, dedup_greedy, nms_iou, frame_counters,
+        camera_gate, gated_candidates, association_anti, track_multi, track_diagnostics, frame_results_json, track_trails, status_counts, lost_events, bounce_candidates, bounce_events, leave_side, confidence_decay, velocity_lag,
+        moving_average, kalman_smooth, track_metrics, homography_project, homography_inverse, zone_classify, homography_cache, label_parse, norm_source_key, dedup_variants, dedup_exact, dedup_stats, exact_stats, negative_cap, grouped_split,
+        split_overlap_check, split_counts, manifest, label_lines, source_audit, clean_pipeline, latency_summary, regression_gate, skip_existing, rolling_fps,
+    )
+}
