@@ -21,7 +21,7 @@ def discover(spark: SparkSession, path: str, recursive: bool = False, suffixes:
     """``path`` of videos in a folder (only the listing is read, no content), in order of lower-case path. A file is itself, whatever its suffix."""
     if os.path.isfile(path):
         return spark.createDataFrame([(path,)], "path string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path if recursive else f"{path}/*")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     fits = F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")
     return found.select(F.regexp_replace("path", "^file:", "").alias("path")).filter(fits).orderBy(F.lower("path"))
 
