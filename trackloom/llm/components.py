@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 
 
-def _heads(vertex: str, turn: int):
+def _heads(vertex: str):
     """Even ids (rows) always come up tails. Hubs (odd ids) are heads seven times in eight in the first round, which melts their stars, then every other time."""
-    draw = F.pmod(F.xxhash64(F.col(vertex), F.lit(turn)), F.lit(8))
-    return (F.col(vertex) % 2 != 0) & (draw < F.lit(4 if turn else 7))
+    draw = F.pmod(F.xxhash64(F.col(vertex), F.col("turn")), F.lit(8))
+    return (F.col(vertex) % 2 != 0) & (draw < F.when(F.col("turn") == 0, 7).otherwise(4))
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFrame:
@@ -32,21 +32,22 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
     """
     left = scratch.cut(
         edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).alias("turn")).distinct()
     )
+    # The round's number is a column, not a literal: all rounds then run the same generated code.
     moves = []
-    for turn in range(rounds):
+    for _ in range(rounds):
         if left.isEmpty():
             break
-        ends = left.select(F.col("a").alias("v"), F.col("b").alias("w")).union(left.select("b", "a"))
-        move = scratch.cut(ends.filter(~_heads("v", turn) & _heads("w", turn)).groupBy("v").agg(F.min("w").alias("w")))
+        ends = left.select(F.col("a").alias("v"), F.col("b").alias("w"), "turn").union(left.select("b", "a", "turn"))
+        move = scratch.cut(ends.filter(~_heads("v") & _heads("w")).groupBy("v").agg(F.min("w").alias("w")))
         moves.append(move)
         after = (
             left.join(move.select(F.col("v").alias("a"), F.col("w").alias("a2")), "a", "left")
             .join(move.select(F.col("v").alias("b"), F.col("w").alias("b2")), "b", "left")
-            .select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
+            .select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), (F.col("turn") + 1).alias("turn"))
             .filter(F.col("a") != F.col("b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "turn").distinct()
         )
         renamed = scratch.cut(after)
         scratch.drop(left)
