@@ -112,6 +112,8 @@ def _absorb(rows: np.ndarray, matches: list[tuple[int, int, bool]], det: np.ndar
 def step(state: State, det: np.ndarray, width: float, height: float, dx: float = 0.0, dy: float = 0.0, config: TrackerConfig = SHIPPED) -> tuple[State, np.ndarray, dict[str, int]]:
     """One frame: ``det`` rows (cx, cy, w, h, confidence) by falling confidence -> new state, shown tracks by id (rows of ``COLUMNS``), counts."""
     c, s = config, max(0.25, width / config.reference_frame_width)
+    if not len(state.rows) and not len(det):
+        return State(state.rows, state.next_id), state.rows, dict.fromkeys(COUNTS, 0)
     rows = state.rows.copy()
     det = det.reshape(-1, 5)
     high, low = det[det[:, 4] >= c.high_conf], det[(det[:, 4] >= c.low_conf) & (det[:, 4] < c.high_conf)]
