@@ -23,7 +23,7 @@ from .forms import code_points, folded, slices, tables
 SHARE = 0.3  # of an item's words (characters in Chinese)
 Q_LETTERS, Q_IDEOGRAPHS = 14, 6
 LOST = 0.5  # edit budget: the part of a stretch's q-grams that changed words may destroy
-DENSITY = 0.45  # least score per letter of a verified stretch; whole words that differ now and then leave more
+DENSITY = 0.7  # least score per letter of a verified stretch: a changed word in eight leaves as much, common phrases strung together do not
 BAND = 64
 HALF = 56  # of the verified band, around its middle
 OPENING_ITEMS, OPENING_LETTERS = 4, 20
