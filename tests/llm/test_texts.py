@@ -45,8 +45,8 @@ def test_what_looks_the_same_and_what_does_not():
 def test_same_looking_pairs(spark):
     rows = [(1, "café x"), (2, "café x"), (3, "café x"), (4, "café x"), (5, "Café x"), (6, None), (7, ""), (8, "​"), (9, "‌"), (2, "café x")]
     df = spark.createDataFrame([(*r, 1, "f", 1) for r in rows], DOCS)
-    assert sorted(tuple(r) for r in forms.same_looking(df).collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
-    assert forms.forms(df).count() == 10 and forms.same_looking(df.limit(0)).count() == 0
+    assert sorted(tuple(r) for r in forms.same_looking(df, Scratch(spark)).collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+    assert forms.forms(df).count() == 10 and forms.same_looking(df.limit(0), Scratch(spark)).count() == 0
 
 
 WORDS = ["gate", "net", "ball", "racket", "court", "umpire", "camera", "frame", "lens", "track", "shadow", "label", "box", "line", "serve", "drive", "clip", "paddle", "corner", "light"]

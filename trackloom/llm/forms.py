@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ԍ": "G",
@@ -183,13 +185,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), text, form], names=["doc_id", "text", "form"])
 
 
-def same_looking(documents: DataFrame) -> DataFrame:
+def same_looking(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id_a, doc_id_b`` (smaller first): documents with equal forms and different texts. Null and empty texts, and texts without any ink, don't count.
 
-    Only 128-bit digests of text and form move between tasks.
+    Texts are read and folded once; only 128-bit digests of text and form are kept and moved.
     """
     both = documents.filter("text <> ''").select("doc_id", "text").mapInArrow(_digests, "doc_id long, text string, form string")
-    seen = both.filter("form <> ''").select("doc_id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("form")).alias("form"))
+    seen = scratch.cut(both.filter("form <> ''").select("doc_id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("form")).alias("form")))
     # One row per text of a form: forms of one text alone, however often it was copied, end here.
     texts = seen.groupBy("form", "raw").agg(F.count("*").alias("n"))
     mixed = texts.groupBy("form").agg(F.count("*").alias("texts")).filter("texts > 1").select("form")

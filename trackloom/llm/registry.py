@@ -62,7 +62,7 @@ def p7_leaks(spark, d):
 
 
 def p8_found(spark, d):
-    return forms.same_looking(table(spark, d, "documents"))
+    return forms.same_looking(table(spark, d, "documents"), Scratch(spark))
 
 
 def p8_forms(spark, d):
