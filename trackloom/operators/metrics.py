@@ -35,3 +35,15 @@ def frame_counts(raw: DataFrame, kept: DataFrame) -> DataFrame:
 
 def status_counts(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("stream_id", "frame_index").agg(F.count_if(F.col("status") == "observed").alias("observed"), F.count_if(F.col("status") == "predicted").alias("predicted"))
+
+
+def best_detection(detections: DataFrame) -> DataFrame:
+    """The most confident detection of each frame, the first on ties."""
+    best = F.max_by(F.struct("det_idx", "cx", "cy", "confidence"), F.struct("confidence", -F.col("det_idx")))
+    return detections.groupBy("stream_id", "frame_index").agg(best.alias("b")).select("stream_id", "frame_index", "b.*")
+
+
+def batch_summary(runs: DataFrame) -> DataFrame:
+    """Succeeded, skipped and failed runs of (stream_id, status), and the exit code: 1 if any failed."""
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("succeeded", "skipped", "failed")]
+    return runs.agg(*counts, F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("exit_code"))

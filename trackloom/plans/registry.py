@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.tracks import status_name
-from ..operators import cleaning, detections, metrics, sequences, spikes, tracker
+from ..operators import cleaning, court, detections, metrics, sequences, single, spikes, tracker
 from ..session import Scratch, table
 from ..sources import files
 from .sql import ORACLE
@@ -323,12 +323,52 @@ def rolling_fps(spark, d):
     return f.select(*KEYS, F.round(F.avg("fps").over(w.rowsBetween(-29, 0)), 3).alias("smooth_fps"))
 
 
+def best_detection(spark, d):
+    return metrics.best_detection(_det(spark, d))
+
+
+def batch_summary(spark, d):
+    n = _det(spark, d).groupBy("stream_id").agg(F.count("*").alias("n"))
+    f = table(spark, d, "frames").select("stream_id").distinct().join(n, "stream_id", "left")
+    return metrics.batch_summary(f.select("stream_id", F.when(F.col("n").isNull(), "skipped").when(F.col("n") < 20, "failed").otherwise("succeeded").alias("status")))
+
+
+def search_region(spark, d):
+    j = _det(spark, d).join(table(spark, d, "frames").select(*KEYS, "width", "height"), KEYS)
+    return j.select(*KEYS, "det_idx", court.search_region(F.col("cx"), F.col("cy"), F.col("width"), F.col("height")).alias("roi"))
+
+
+def court_pixels(spark, d):
+    u, v = court.mini_pixel(F.col("cx") / 100, F.col("cy") / 30, 220, 440)
+    return _det(spark, d).select(*KEYS, "det_idx", u.alias("u"), v.alias("v"))
+
+
+def _keypoints(spark, d):
+    """Court points seen through the inverse of the test plane; each stream lacks one of them."""
+    x, y = G.unproject([F.lit(v) for v in PLANE], F.col("court_x"), F.col("court_y"))
+    seen = court.layout(spark).select("kp", (x + 400).alias("x"), (y + 400).alias("y"))
+    streams = table(spark, d, "frames").groupBy("stream_id").agg(F.count("*").alias("n"))
+    return streams.crossJoin(F.broadcast(seen)).filter("n % 14 <> kp").select("stream_id", "kp", "x", "y")
+
+
+def court_coverage(spark, d):
+    return court.coverage(_keypoints(spark, d).filter("kp % 3 = 0"))
+
+
+def homography_fit(spark, d):
+    return court.fit(_keypoints(spark, d)).select("stream_id", "points", "status", "inlier_ratio", "mean_error_px")
+
+
+def track_single(spark, d):
+    return single.run(table(spark, d, "frames"), _kept(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p5_found, p5_spikes, det_conf_tiers, det_filter, det_box_forms, det_letterbox, det_crop, det_topk_per_frame, det_decode, frame_sampling, frame_range, frame_spine_gaps, pair_metrics, dedup_greedy, nms_iou, frame_counters,
         camera_gate, gated_candidates, association_anti, track_multi, track_diagnostics, frame_results_json, track_trails, status_counts, lost_events, bounce_candidates, bounce_events, leave_side, confidence_decay, velocity_lag,
         moving_average, kalman_smooth, track_metrics, homography_project, homography_inverse, zone_classify, homography_cache, label_parse, norm_source_key, dedup_variants, dedup_exact, dedup_stats, exact_stats, negative_cap, grouped_split,
-        split_overlap_check, split_counts, manifest, label_lines, source_audit, clean_pipeline, latency_summary, regression_gate, skip_existing, rolling_fps,
+        split_overlap_check, split_counts, manifest, label_lines, source_audit, clean_pipeline, latency_summary, regression_gate, skip_existing, rolling_fps, best_detection, batch_summary, search_region, court_pixels, court_coverage, homography_fit, track_single,
     )
 }

@@ -137,4 +137,12 @@ SELECT model, round(bm - m, 6) map50_drop, round(br - r, 6) recall_drop, NOT (bm
     "skip_existing": f"WITH {_DET} SELECT DISTINCT stream_id FROM frames WHERE stream_id NOT IN (SELECT stream_id FROM det GROUP BY stream_id HAVING count(DISTINCT class_id = 0) >= 2)",
     "rolling_fps": """WITH g AS (SELECT stream_id, frame_index, ts_s - lag(ts_s) OVER (PARTITION BY stream_id ORDER BY frame_index) dt FROM frames WHERE ts_s IS NOT NULL)
 SELECT stream_id, frame_index, round(avg(CASE WHEN dt > 0 THEN 1 / dt END) OVER (PARTITION BY stream_id ORDER BY frame_index ROWS 29 PRECEDING), 3) smooth_fps FROM g""",
+    "best_detection": f"WITH {_DET} SELECT stream_id, frame_index, det_idx, cx, cy, confidence FROM det QUALIFY row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY confidence DESC, det_idx) = 1",
+    "batch_summary": f"""WITH {_DET}, n AS (SELECT stream_id, count(*) n FROM det GROUP BY ALL), s AS (SELECT DISTINCT stream_id, n FROM frames LEFT JOIN n USING (stream_id))
+SELECT count(*) FILTER (n >= 20) succeeded, count(*) FILTER (n IS NULL) skipped, count(*) FILTER (n < 20) failed, (count(*) FILTER (n < 20) > 0)::INT exit_code FROM s""",
+    "search_region": f"""WITH {_DET}, a AS (SELECT d.stream_id, d.frame_index, det_idx, greatest(cx - 120, 0) x1, greatest(cy - 120, 0) y1, least(cx + 120, width) x2, least(cy + 120, height) y2, width, height FROM det d JOIN frames f USING (stream_id, frame_index))
+SELECT stream_id, frame_index, det_idx, [round_even(CASE WHEN x2 - x1 < 60 THEN greatest((x1 + x2) / 2 - 30, 0) ELSE x1 END, 1), round_even(CASE WHEN y2 - y1 < 60 THEN greatest((y1 + y2) / 2 - 30, 0) ELSE y1 END, 1),
+  round_even(CASE WHEN x2 - x1 < 60 THEN least((x1 + x2) / 2 + 30, width) ELSE x2 END, 1), round_even(CASE WHEN y2 - y1 < 60 THEN least((y1 + y2) / 2 + 30, height) ELSE y2 END, 1)] roi FROM a""",
+    "court_pixels": f"WITH {_DET} SELECT stream_id, frame_index, det_idx, trunc(15 + cx / 100 * (190 / 20))::INT u, trunc(10 + cy / 30 * (420 / 44))::INT v FROM det",
+    "court_coverage": "WITH s AS (SELECT stream_id, count(*) n FROM frames GROUP BY ALL), k AS (SELECT unnest([0, 3, 6, 9, 12]) kp), j AS (SELECT stream_id, kp FROM s, k WHERE n % 14 <> kp) SELECT stream_id, count(*) points, false left_right, bool_or(kp < 6) AND bool_or(kp > 7) near_far FROM j GROUP BY stream_id",
 }
