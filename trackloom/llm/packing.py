@@ -29,8 +29,8 @@ from .forms import slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CLASSES = 64
-LARGEST_PATTERN = 4
+CLASSES = 128
+LARGEST_PATTERN = 3
 SHARD_ITEMS = 40_000
 PACKED = "profile string, container string, doc_id long, piece int, first_token long, tokens int"
 
