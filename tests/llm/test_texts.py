@@ -132,3 +132,17 @@ def test_containers(spark):
             assert len(parts) == 1 or counts[d] > capacity
     assert packing.containers(df.limit(0), profiles, Scratch(spark)).count() == 0 and packing.containers(df, profiles.limit(0), Scratch(spark)).count() == 0
     assert {r.profile for r in packing.packing_report(packed, profiles).collect()} == {"short", "long"}
+
+
+def test_a_replaced_part_does_not_hide_the_verbatim_ends(spark):
+    rng = random.Random(11)
+    zh = lambda n: "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(n))
+    words, chars = sentence(rng, 90).split(), zh(160)
+    docs = [
+        (1, " ".join(words[:36] + sentence(rng, 18).split() + words[54:])), (2, chars[:70] + zh(20) + chars[90:]), (3, sentence(rng, 40) + " " + " ".join(words[:33] + sentence(rng, 24).split() + words[57:])),
+        (4, " ".join(words[:20] + sentence(rng, 20).split() + words[40:60] + sentence(rng, 20).split() + words[80:])), (5, chars[:40] + zh(30) + chars[70:110] + zh(30) + chars[140:]),
+    ]
+    df = spark.createDataFrame([(*d, 1, "f", 1) for d in docs], DOCS)
+    ev = spark.createDataFrame([(0, "s", "en", " ".join(words), 1), (1, "s", "zh", chars, 1)], "item_id long, suite string, lang string, item_text string, doc_id int")
+    got = {(r.doc_id, r.item_id): r.share for r in leaks.leaks(df, ev).collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 0)} and all(0.3 <= x < 0.6 for x in got.values())

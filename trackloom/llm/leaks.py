@@ -4,7 +4,8 @@ The evaluation items are the stated query set. They are indexed once on the driv
 size, and each block goes to all tasks; the corpus itself is never shuffled. In a task a slice of documents
 is one array of letters (one form, no case, accents, space or punctuation). Its q-grams are looked up at
 once; hits of one item are counted in overlapping diagonal bands, bands that meet the lemma's bound for the
-edit budget are kept, and what is left is verified by local alignment inside the band, many bands in step.
+edit budget are kept, and what is left is verified by local alignment inside the band, many bands in step; a loose alignment is cut and its
+pieces are aligned on their own.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ HALF = 56  # of the verified band, around its middle
 OPENING_ITEMS, OPENING_LETTERS = 4, 20
 BLOCK_LETTERS = 2_000_000
 TOGETHER = 96
+PATH_CELLS = 16_000_000  # of the alignments traced back at once, or a single one
 
 
 @cache
@@ -109,6 +111,14 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     opening[opening < np.where(index["zh"], OPENING_LETTERS // 2, OPENING_LETTERS)] = 0
     opening[opening > 0.7 * (stop - start)] = 0
     index["opening"] = opening
+    # Letters of the shortest stretch behind the opening that holds the share.
+    least = np.zeros(len(items), np.int64)
+    for i, (a, b) in enumerate(zip(start + opening, stop)):
+        cum = np.concatenate([[0], np.cumsum(index["weight"][a:b])])
+        reach = np.searchsorted(cum, cum + SHARE * cum[-1] - 1e-6)
+        ends = reach < len(cum)
+        least[i] = (reach - np.arange(len(cum)))[ends].min() if b > a else 0
+    index["least"] = least
     for q, zh in ((Q_LETTERS, False), (Q_IDEOGRAPHS, True)):
         hashes, item, place = [], [], []
         for i in np.flatnonzero(index["zh"] == zh):
@@ -166,11 +176,13 @@ def candidates(index: dict, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def verify(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, item: np.ndarray, middle: np.ndarray) -> np.ndarray:
-    """Share of the item's words, the opening apart, in the best local alignment inside each band (match 1, gap -1, other letter -2)."""
+def _align(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, item: np.ndarray, middle: np.ndarray, low: np.ndarray, high: np.ndarray, cut: bool = False) -> tuple[np.ndarray, ...]:
+    """Score, begin and end (letters of the item) of the best local alignment of each band's letters from low to high (match 1, gap -1, other letter -2).
+
+    With ``cut``, also where the alignment's worst-scoring part begins and ends; without one, both are where the alignment begins.
+    """
     m = len(doc)
-    length = (index["stop"] - index["start"])[item]
-    rows = int(length.max())
+    rows = int((high - low).max())
     width = 2 * HALF + 1
     doc_start = np.concatenate([[0], stop[:-1]])[doc]
     doc_end = stop[doc]
@@ -181,33 +193,93 @@ def verify(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, ite
     h = np.zeros((m, width), np.int64)  # score << 24 | where the alignment began, counted from the end
     best = np.zeros(m, np.int64)
     best_end = np.zeros(m, np.int64)
+    best_at = np.zeros(m, np.int64)
     shifted = np.full((m, width), -(1 << 50), np.int64)
+    ways = np.zeros((rows if cut else 0, m, width), np.int8)  # 1 match, 2 other letter, 3 item letter left out, 4 letter of the text left out
     for r in range(rows):
-        active = r < length
-        letter = index["text"][np.minimum(index["start"][item] + r, len(index["text"]) - 1)]
-        j = doc_start[:, None] + (r + middle)[:, None] + offset
+        active = r < high - low
+        letter = index["text"][np.minimum(index["start"][item] + low + r, len(index["text"]) - 1)]
+        j = doc_start[:, None] + (low + r + middle)[:, None] + offset
         valid = (j >= doc_start[:, None]) & (j < doc_end[:, None])
         same = valid & (padded[np.where(valid, j, len(text))] == letter[:, None])
         fresh = np.int64(rows - r)
         start = np.where(h < one, fresh, h)
         new = np.where(same, start + one, np.where(h < 3 * one, 0, h - 2 * one))
         shifted[:, :-1] = h[:, 1:] - one
+        straight = new.copy() if cut else new
         np.maximum(new, shifted, out=new)
         np.maximum(np.maximum.accumulate(new + ramp, axis=1) - ramp, 0, out=new)
         new[new < one] = 0
         new[~active] = 0
         h = new
+        if cut:
+            ways[r] = np.where(h == straight, np.where(same, 1, 2), np.where(h == shifted, 3, 4))
         top = h.max(1)
         better = (top >> 24) > (best >> 24)
         best = np.where(better, top, best)
         best_end = np.where(better, r + 1, best_end)
-    begin = rows - (best & 0xFFFFFF)
+        best_at = np.where(better, h.argmax(1), best_at)
+    begin = np.where(best > 0, rows - (best & 0xFFFFFF), 0)
+    out = best >> 24, low + begin, low + best_end
+    if not cut:
+        return out
+    gain = np.zeros((m, rows), np.int64)
+    r, k, who = best_end - 1, best_at, np.flatnonzero(best > 0)
+    while len(who):  # back along all alignments in step
+        way = ways[r[who], who, k[who]]
+        gain[who, r[who]] += np.array([0, 1, -2, -1, -1])[way]
+        k[who] += np.array([0, 0, 0, 1, -1])[way]
+        r[who] -= way != 4
+        who = who[r[who] >= begin[who]]
+    total = np.concatenate([np.zeros((m, 1), np.int64), np.cumsum(gain, axis=1)], axis=1)
+    drop = total - np.maximum.accumulate(total, axis=1)
+    cut_end = np.where((drop < 0).any(1), drop.argmin(1), begin)
+    place = np.arange(rows + 1)
+    ahead = np.where((place <= cut_end[:, None]) & (place >= begin[:, None]), total, -(1 << 40))
+    cut_begin = np.where((drop < 0).any(1), ahead.shape[1] - 1 - ahead[:, ::-1].argmax(1), begin)
+    return *out, low + cut_begin, low + cut_end
+
+
+def verify(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, item: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Share of the item's words, the opening apart, in the best dense stretch inside each band.
+
+    An alignment that fails by density is cut at its worst-scoring part; what is left on both sides of the
+    cut, or of an alignment that is dense but short, is aligned on its own, as long as it can hold the share.
+    """
     cum = np.concatenate([[0], np.cumsum(index["weight"])])
-    first = index["start"][item]
-    outside = np.maximum(begin, np.minimum(index["opening"][item], best_end))
-    part = cum[first + best_end] - cum[first + np.minimum(outside, best_end)]
-    dense = (best >> 24) >= DENSITY * (best_end - begin)
-    return np.where((best > 0) & dense, part / np.maximum(index["total"][item] - (cum[first + index["opening"][item]] - cum[first]), 1e-9), 0.0)
+    first, opening = index["start"][item], index["opening"][item]
+    whole = np.maximum(index["total"][item] - (cum[first + opening] - cum[first]), 1e-9)
+
+    def part(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        outside = np.minimum(np.maximum(begin, opening[who]), end)
+        return (cum[first[who] + end] - cum[first[who] + outside]) / whole[who]
+
+    out = np.zeros(len(doc))
+    who = np.arange(len(doc))
+    low, high = np.zeros(len(doc), np.int64), (index["stop"] - index["start"])[item]
+    score, begin, end = _align(index, text, stop, doc, item, middle, low, high)
+    while True:
+        share = np.where((score > 0) & (score >= DENSITY * (end - begin)), part(who, begin, end), 0.0)
+        np.maximum.at(out, who, share)
+        # No stretch of a range scores more than its best: below the least score that counts, nothing is left to find.
+        again = np.flatnonzero((out[who] < SHARE) & (score >= DENSITY * index["least"][item[who]]))
+        if not len(again):
+            return out
+        who, low, high = who[again], low[again], high[again]
+        nxt = []
+        room = max(1, PATH_CELLS // ((2 * HALF + 1) * int((high - low).max())))
+        for at in range(0, len(who), room):
+            w, lo, hi = (x[at : at + room] for x in (who, low, high))
+            score, begin, end, cut_begin, cut_end = _align(index, text, stop, doc[w], item[w], middle[w], lo, hi, cut=True)
+            loose = score < DENSITY * (end - begin)
+            nxt += [(w, lo, np.where(loose, cut_begin, begin)), (w, np.where(loose, cut_end, end), hi)]
+        who, low, high = (np.concatenate(x) for x in zip(*nxt))
+        keep = np.flatnonzero((high > low) & (part(who, low, high) >= SHARE))
+        if not len(keep):
+            return out
+        who, low, high = who[keep], low[keep], high[keep]
+        got = [_align(index, text, stop, doc[w], item[w], middle[w], lo, hi) for w, lo, hi in ((x[k : k + TOGETHER] for x in (who, low, high)) for k in range(0, len(who), TOGETHER))]
+        score, begin, end = (np.concatenate(x) for x in zip(*got))
 
 
 def _leaks(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.RecordBatch]:
