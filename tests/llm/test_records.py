@@ -137,3 +137,16 @@ def test_survivors(spark):
     members = survivors.duplicate_members(table(spark, rows), sources, Scratch(spark)).collect()
     assert len(members) == 182 and (i + 1) not in {m.record_id for m in members}
     assert survivors.survivors(table(spark, []), sources, Scratch(spark)).count() == 0 and survivors.duplicate_members(table(spark, []), sources, Scratch(spark)).count() == 0
+
+
+def test_report_counts_the_records_and_pairs_across_splits(spark):
+    rows = [
+        row(1, "a:x_00001_jpg", h="aa:5", split="train"), row(2, "b:X%2000001.png", h="bb:6", split=None), row(3, "a:y_00009_jpg", h="0xBB:6", split=" Valid", source="b"), row(4, "a:y_00009_png", h=None, split="test", source=None),
+        row(5, "a:z_1_jpg", h="cc:6", split="train"), row(6, "a:z_1_png", h=None, split="train"), row(7, None, h="dd:7", split="test"),
+    ]
+    df = table(spark, rows)
+    pairs = [tuple(r) for r in overlap.cross_split_pairs(df, Scratch(spark)).collect()]
+    assert sorted(pairs) == [(1, 3), (1, 4)]
+    want = {("train", "a"): (3, 1, 2), ("none", "a"): (1, 0, 0), ("valid", "b"): (1, 1, 1), ("test", "none"): (1, 1, 1), ("test", "a"): (1, 0, 0)}
+    got = {(r["split"], r["source"]): (r.records, r.overlapping, r.pairs) for r in overlap.overlap_report(df, Scratch(spark)).collect()}
+    assert got == want and sum(x[1] for x in got.values()) == len({i for p in pairs for i in p})

@@ -106,9 +106,9 @@ def overlaps(records: DataFrame) -> DataFrame:
     )
 
 
-def image_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(record_id, side, group_id)`` for records of images that two or more records show."""
-    full = overlaps(records).filter("anywhere >= 1.0")
+def image_groups(records: DataFrame, scratch: Scratch, shares: DataFrame | None = None) -> DataFrame:
+    """``(record_id, side, group_id)`` for records of images that two or more records show. ``shares``: the records' ``overlaps``, if at hand."""
+    full = (overlaps(records) if shares is None else shares).filter("anywhere >= 1.0")
     wide = scratch.cut(full.groupBy("record_id", "side").agg(F.max(F.when(F.col("field") == 0, F.col("value"))).alias("frame"), F.max(F.when(F.col("field") == 1, F.col("value"))).alias("checksum")))
     return linked_groups(wide, "record_id", ["frame", "checksum"], scratch).join(wide.select("record_id", "side"), "record_id")
 
@@ -123,10 +123,18 @@ def cross_split_pairs(records: DataFrame, scratch: Scratch) -> DataFrame:
     return train.join(held, "group_id").select(F.least("t", "e").alias("record_id_a"), F.greatest("t", "e").alias("record_id_b")).distinct()
 
 
-def overlap_report(records: DataFrame) -> DataFrame:
-    """Per split and source: records, records with a value that stands whole in the other side, and mean overlap. A null source or split is one of its own."""
-    best = overlaps(records).groupBy("record_id").agg(F.max("across").alias("across"))
+def overlap_report(records: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Per split and source: records, overlapping (records that stand in a pair of ``cross_split_pairs``), pairs (those a record of this split and source stands in) and mean overlap by chunks. A null source or split is one of its own.
+
+    A pair counts once at its train record and once at its valid or test record. Groups are counted, pairs never built.
+    """
+    scratch = scratch or Scratch(records.sparkSession)
+    shares = scratch.cut(overlaps(records))
+    groups = scratch.cut(image_groups(records, scratch, shares))
+    sides = groups.groupBy("group_id").agg(F.count_if(F.col("side") == "T").alias("t"), F.count_if(F.col("side") == "E").alias("e")).filter("t > 0 AND e > 0")
+    paired = groups.filter("side <> 'N'").join(sides, "group_id").select("record_id", F.when(F.col("side") == "T", F.col("e")).otherwise(F.col("t")).alias("pairs"))
+    best = shares.groupBy("record_id").agg(F.max("across").alias("across"))
     base = records.select("record_id", F.coalesce(F.nullif(split_name(F.col("assigned_split")), F.lit("")), F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("source"))
-    return base.join(best, "record_id", "left").groupBy("split", "source").agg(
-        F.count("*").alias("records"), F.count_if(F.col("across") >= 1.0).alias("overlapping"), F.round(F.avg(F.coalesce("across", F.lit(0.0))), 4).alias("mean_overlap")
+    return base.join(best, "record_id", "left").join(paired, "record_id", "left").groupBy("split", "source").agg(
+        F.count("*").alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg(F.coalesce("across", F.lit(0.0))), 4).alias("mean_overlap")
     )

@@ -34,7 +34,7 @@ def p3_found(spark, d):
 
 
 def p3_report(spark, d):
-    return overlap.overlap_report(table(spark, d, "records"))
+    return overlap.overlap_report(table(spark, d, "records"), Scratch(spark))
 
 
 def p4_found(spark, d):
