@@ -1,4 +1,5 @@
 import math
+import random
 
 from trackloom.operators.spikes import spikes
 from trackloom.session import Scratch
@@ -61,3 +62,22 @@ def test_empty_and_null(spark):
     rows = [(1, None, 1, 1, [1.0, 1.0], None, 0), (2, "s", None, 1, [1.0, 1.0], None, 0), (3, "s", 1, 1, None, None, 0), (4, "s", 1, 2, [1.0], None, 0), (5, "s", 2, 1, [-9.0, 1.0], [1.0, 1.0], 0)]
     got = spikes(spark.createDataFrame(rows, TRACKS), frames, Scratch(spark)).collect()
     assert [(r.track_id, r.frame_index) for r in got] == [(1, 2)]
+
+
+def test_blocks_only_spread_the_work(spark):
+    rng = random.Random(4)
+    c, x, y = [], 100.0, 100.0
+    for i in range(2400):  # slow, then fast, then slow
+        pace = 8.0 if 900 <= i < 1500 else 1.0
+        x, y = x + pace * (1 if i // 60 % 2 else -1), y + rng.uniform(0.1, 0.4) * (1 if i // 80 % 2 else -1)
+        c.append([x + rng.uniform(-0.2, 0.2), y])
+    for i in range(25, 2400, 97):
+        c[i] = [c[i][0], c[i][1] + rng.choice([4.0, 12.0, 30.0, 60.0])]
+    for i in [*range(395, 410), *range(1195, 1203)]:
+        c[i] = list(c[i - 1])
+    for i in range(790, 1000):
+        c[i] = None
+    velocities = {i: [rng.uniform(20, 50) if i % 31 == 0 else 8.0 if 900 <= i < 1500 else 1.0, 0.0] for i in range(2400)}
+    whole = found(spark, c, velocities)
+    assert {"off_line", "fast", "stuck"} <= set().union(*whole.values())
+    assert found(spark, c, velocities, hot_rows=100, block_frames=200) == whole

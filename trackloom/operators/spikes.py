@@ -7,16 +7,19 @@ Suspects of both directions are then measured exactly, against the line between
 
 Tracks lie next to each other in a partition and are charted in step: one NumPy operation moves all tracks
 of a batch on by one reading. Memory is bounded by the batch and the longest track of a block; tracks beyond
-``HOT_ROWS`` rows are cut into blocks of frames with margins, each judged by its own usual step.
+``HOT_ROWS`` rows are cut into blocks of frames, which only spread the work: all blocks are judged by the exact
+medians of the whole track, and a block's margins hold so many moving readings that charts, runs and lines
+come out as in one piece (a chart forgets by ``1 - ALPHA`` a reading). A margin grows over repeated readings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -27,8 +30,11 @@ OUTSIDE = 0.05
 STUCK = 6
 ALPHA, CHART_LIMIT, RESTART = 0.3, 2.0, 6
 CHASES = (1.0, 0.4)  # a quick chart follows turns at once, a slow one sees the end of a long spike
-HOT_ROWS, BLOCK_FRAMES, MARGIN = 2_000_000, 250_000, 100
+HOT_ROWS, BLOCK_FRAMES, MARGIN = 2_000_000, 250_000, 500
 BATCH_ROWS = 100_000
+MEASURES = "stream_id string, track_id long, at long, kind int, key long, first array<double>, last array<double>, heads array<long>, tails array<long>"
+EDGES = "stream_id string, track_id long, at long, block long, lo long, hi long, key long"
+NO_KEY = int(np.array([np.nan]).view(np.int64)[0])
 OUTPUT = "stream_id string, track_id long, frame_index long, physical boolean, off_line boolean, fast boolean, stuck boolean"
 
 
@@ -102,27 +108,38 @@ def _near(right: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     return np.where(before >= first, before, -1), np.where(after < end, after, -1)
 
 
-def judge(track: np.ndarray, frame: np.ndarray, xy: np.ndarray, v: np.ndarray, side: np.ndarray) -> dict[str, np.ndarray]:
-    """Flags per row. ``track``: rising numbers from 0, rows in order of track and (distinct) frame. Missing values are nan in ``xy`` with ``side`` rows; a row without a center has nan in both and is no reading."""
-    n = int(track[-1]) + 1 if len(track) else 0
-    lengths = np.bincount(track, minlength=n)
-    starts = np.cumsum(lengths) - lengths
-    finite = np.isfinite(xy).all(1)
+def _possible(xy: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a center is finite, and whether it lies outside the picture."""
     lost = np.isnan(side).any(1)
     with np.errstate(invalid="ignore"):
         outside = ((xy < -OUTSIDE * side) | (xy > (1 + OUTSIDE) * side)).any(1) & ~lost
+    return np.isfinite(xy).all(1), outside
+
+
+def _steps(track: np.ndarray, frame: np.ndarray, xy: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Track and step per frame between readings that can be (``good``: their rows)."""
+    pair = np.flatnonzero(track[good][1:] == track[good][:-1]) if len(good) > 1 else np.zeros(0, int)
+    a, b = good[pair], good[pair + 1] if len(pair) else good[:0]
+    return track[a], np.hypot(*(xy[b] - xy[a]).T) / np.maximum(frame[b] - frame[a], 1)
+
+
+def judge(track: np.ndarray, frame: np.ndarray, xy: np.ndarray, v: np.ndarray, side: np.ndarray, given: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Flags per row. ``track``: rising numbers from 0, rows in order of track and (distinct) frame. Missing values are nan in ``xy`` with ``side`` rows; a row without a center has nan in both and is no reading. ``given``: median step and velocity per track, nan where they are to be taken from the rows."""
+    n = int(track[-1]) + 1 if len(track) else 0
+    lengths = np.bincount(track, minlength=n)
+    starts = np.cumsum(lengths) - lengths
+    given = np.full((n, 2), np.nan) if given is None else given
+    finite, outside = _possible(xy, side)
     physical = ~finite | outside | ~np.isfinite(v).all(1)
     wrong = ~finite | outside
     velocity = np.hypot(v[:, 0], v[:, 1])
     fine = np.isfinite(velocity)
-    usual_v = np.maximum(np.nan_to_num(_medians(velocity[fine], track[fine], n)), LEAST_VELOCITY)
+    own_v = _medians(velocity[fine], track[fine], n)
+    usual_v = np.maximum(np.nan_to_num(np.where(np.isnan(given[:, 1]), own_v, given[:, 1])), LEAST_VELOCITY)
     fast = fine & (np.where(fine, velocity, 0) > FACTOR * usual_v[track])
     # Usual step per frame, between readings that can be.
-    good = np.flatnonzero(~wrong)
-    pair = np.flatnonzero(track[good][1:] == track[good][:-1]) if len(good) > 1 else np.zeros(0, int)
-    a, b = good[pair], good[pair + 1] if len(pair) else good[:0]
-    step = np.hypot(*(xy[b] - xy[a]).T) / np.maximum(frame[b] - frame[a], 1)
-    usual = np.maximum(np.nan_to_num(_medians(step, track[a], n)), LEAST_STEP)
+    of, step = _steps(track, frame, xy, np.flatnonzero(~wrong))
+    usual = np.maximum(np.nan_to_num(np.where(np.isnan(given[:, 0]), _medians(step, of, n), given[:, 0])), LEAST_STEP)
     # Run lengths: one or both coordinates stay exactly the same while the ball moves.
     stuck = np.zeros(len(track), bool)
     for k in (0, 1):
@@ -189,9 +206,13 @@ def _judged(table: pa.Table) -> Iterator[pa.RecordBatch]:
     reading = np.flatnonzero(has_center)
     flags = {k: np.zeros(len(keep), bool) for k in ("physical", "off_line", "fast", "stuck")}
     if len(reading):
-        numbers = np.unique(track[reading], return_inverse=True)[1]
+        heads, numbers = np.unique(track[reading], return_index=True, return_inverse=True)[1:]
+        given = None
+        if "step_lo" in table.column_names:
+            low, high = (np.column_stack([table.column(f"{k}_{e}").fill_null(NO_KEY).to_numpy() for k in ("step", "velocity")]).astype(np.int64)[keep[reading[heads]]].view(np.float64) for e in ("lo", "hi"))
+            given = (low + high) / 2
         vr = np.where(has_velocity[reading][:, None], v[reading], 0.0)
-        for k, x in judge(numbers, frame[keep][reading].astype(float), xy[reading], vr, side[reading]).items():
+        for k, x in judge(numbers, frame[keep][reading].astype(float), xy[reading], vr, side[reading], given).items():
             flags[k][reading] = x
     own = table.column("own").to_numpy(zero_copy_only=False)[keep]
     found = np.flatnonzero(np.logical_or.reduce(list(flags.values())) & own)
@@ -203,7 +224,97 @@ def _judged(table: pa.Table) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of whole blocks of hot tracks: velocities (kind 0) and steps (kind 1) as the bits of a double, which order as it does; and one row per block (kind 2) of its outermost possible readings and the frames of its outermost ``MARGIN`` moving ones."""
+    stream = table.column("stream_id").combine_chunks()
+    code = stream.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    tid, block, frame = (table.column(c).to_numpy().astype(np.int64) for c in ("track_id", "block", "frame_index"))
+    change = np.ones(len(code), bool)
+    change[1:] = (code[1:] != code[:-1]) | (tid[1:] != tid[:-1]) | (block[1:] != block[:-1])
+    once = change.copy()
+    once[1:] |= frame[1:] != frame[:-1]
+    keep = np.flatnonzero(once)
+    track, at = (np.cumsum(change) - 1)[once], frame[keep]
+    velocity = table.column("velocity").combine_chunks()
+    has = velocity.is_valid().to_numpy(zero_copy_only=False)[keep]
+    xy, v = _flat(table.column("center").combine_chunks(), len(code))[keep], np.where(has[:, None], _flat(velocity, len(code))[keep], 0.0)
+    side = np.column_stack([table.column("width").to_numpy(), table.column("height").to_numpy()]).astype(float)[keep]
+    finite, outside = _possible(xy, side)
+    can = finite & ~outside
+    good = np.flatnonzero(can)
+    pace = np.hypot(v[:, 0], v[:, 1])
+    pace_of, pace = track[np.isfinite(pace)], pace[np.isfinite(pace)]
+    step_of, step = _steps(track, at.astype(float), xy, good)
+    moving = np.zeros(len(keep), bool)
+    moving[1:] = can[1:] & (track[1:] == track[:-1]) & (xy[1:] != xy[:-1]).all(1)
+    moved = np.flatnonzero(moving)
+    heads = keep[np.flatnonzero(np.diff(track, prepend=-1))]
+    number = np.arange(len(heads))
+
+    def outer(rows: np.ndarray) -> list[np.ndarray]:
+        return np.split(rows, np.searchsorted(track[rows], number[1:]))
+
+    first, last, front, back = [], [], [], []
+    for own, move in zip(outer(good), outer(moved)):
+        first.append([float(at[own[0]]), *xy[own[0]].tolist()] if len(own) else None)
+        last.append([float(at[own[-1]]), *xy[own[-1]].tolist()] if len(own) else None)
+        front.append(at[move[:MARGIN]].tolist())
+        back.append(at[move[-MARGIN:]].tolist())
+    nothing = [None] * (len(pace) + len(step))
+    of = np.concatenate([pace_of, step_of, number])
+    key = pa.array([*pace.astype(np.float64).view(np.int64).tolist(), *step.astype(np.float64).view(np.int64).tolist(), *[None] * len(heads)], pa.int64())
+    kind = np.repeat(np.array([0, 1, 2], np.int32), [len(pace), len(step), len(heads)])
+    arrays = [pa.array(nothing + x, t) for x, t in ((first, pa.list_(pa.float64())), (last, pa.list_(pa.float64())), (front, pa.list_(pa.int64())), (back, pa.list_(pa.int64())))]
+    yield pa.RecordBatch.from_arrays([stream.take(pa.array(heads[of])), pa.array(tid[heads[of]]), pa.array(block[heads[of]]), pa.array(kind), key, *arrays], names=["stream_id", "track_id", "at", "kind", "key", "first", "last", "heads", "tails"])
+
+
+def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _tracks(batches, _measured)
+
+
+def _edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one hot track's blocks: which block takes rows of which, from frame lo to hi, and (key, at the block itself) the step over its front edge."""
+    pdf = pdf.sort_values("at", ignore_index=True)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    out, before = [], None
+    for i in range(len(pdf)):
+        key = None
+        first = pdf["first"][i]
+        if first is not None:
+            if before is not None:
+                key = int((np.hypot(first[1] - before[1], first[2] - before[2]) / np.maximum(first[0] - before[0], 1)).view(np.int64))
+            before = pdf["last"][i]
+        lo, hi = low, high
+        taken = [i]
+        for way, column in ((-1, "tails"), (1, "heads")):
+            left, j = MARGIN, i + way
+            while 0 <= j < len(pdf) and left > 0:
+                taken.append(j)
+                frames = pdf[column][j]
+                if len(frames) >= left:
+                    lo, hi = (frames[-left], hi) if way < 0 else (lo, frames[left - 1])
+                left -= len(frames)
+                j += way
+        out += [(pdf["stream_id"][i], pdf["track_id"][i], pdf["at"][j], pdf["at"][i], lo, hi, key if j == i else None) for j in taken]
+    return pd.DataFrame(out, columns=["stream_id", "track_id", "at", "block", "lo", "hi", "key"]).astype({"key": "Int64"})
+
+
+def _ranked(values: DataFrame, scratch: Scratch) -> DataFrame:
+    """``stream_id, track_id`` and the middle keys of both kinds, exactly: 16 bits a round are counted, so a hot track is never in one task. There are four rows per hot track to broadcast."""
+    by = ["stream_id", "track_id", "kind"]
+    ends = F.explode(F.array(F.struct(F.lit("lo").alias("end"), F.expr("(n - 1) div 2").alias("rank")), F.struct(F.lit("hi").alias("end"), F.expr("n div 2").alias("rank"))))
+    picked = scratch.cut(values.groupBy(*by).agg(F.count("*").alias("n")).select(*by, ends.alias("e")).select(*by, "e.end", "e.rank", F.lit(0).cast("long").alias("prefix")))
+    for shift in (48, 32, 16, 0):
+        held = values.join(F.broadcast(picked), by)
+        if shift < 48:
+            held = held.filter(F.shiftright("key", shift + 16) == F.col("prefix"))
+        counts = held.groupBy(*by, "end", "rank", "prefix", F.shiftright("key", shift).bitwiseAND(F.lit(0xFFFF)).alias("digit")).agg(F.count("*").alias("n"))
+        counts = counts.withColumn("up", F.sum("n").over(Window.partitionBy(*by, "end").orderBy("digit")))
+        picked = scratch.cut(counts.filter("up > rank AND up - n <= rank").select(*by, "end", (F.col("rank") - F.col("up") + F.col("n")).alias("rank"), (F.col("prefix") * 65536 + F.col("digit")).alias("prefix")))
+    return picked.groupBy("stream_id", "track_id").agg(*[F.max(F.when((F.col("kind") == k) & (F.col("end") == e), F.col("prefix"))).alias(f"{name}_{e}") for k, name in ((0, "velocity"), (1, "step")) for e in ("lo", "hi")])
+
+
+def _tracks(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]] = _judged) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -217,11 +328,11 @@ def _tracks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = np.flatnonzero((tid != last["track_id"]) | (block != last["block"]) | (np.asarray(table.column("stream_id").to_pandas() != last["stream_id"])))
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield from _judged(table.slice(0, cut))
+            yield from work(table.slice(0, cut))
         rest = table.slice(cut).combine_chunks()
         held, count = rest.to_batches(), rest.num_rows
     if count:
-        yield from _judged(pa.Table.from_batches(held))
+        yield from work(pa.Table.from_batches(held))
 
 
 def spikes(tracks: DataFrame, frames: DataFrame, scratch: Scratch, hot_rows: int = HOT_ROWS, block_frames: int = BLOCK_FRAMES) -> DataFrame:
@@ -245,14 +356,14 @@ def spikes(tracks: DataFrame, frames: DataFrame, scratch: Scratch, hot_rows: int
     if hot.isEmpty():
         rows = rows.withColumns({"block": F.lit(0).cast("long"), "own": F.lit(True)})
     else:
-        at = F.floor(F.col("frame_index") / block_frames)
-        into = F.col("frame_index") - at * block_frames
-        blocks = F.array_compact(F.array(
-            F.struct(at.alias("block"), F.lit(True).alias("own")),
-            F.when(into < MARGIN, F.struct((at - 1).alias("block"), F.lit(False).alias("own"))),
-            F.when(into >= block_frames - MARGIN, F.struct((at + 1).alias("block"), F.lit(False).alias("own"))),
-        ))
-        whole = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.lit(True).alias("own")))
-        rows = rows.join(hot, keys, "left").withColumn("b", F.explode(F.when(F.col("hot"), blocks).otherwise(whole))).select(*keys, "frame_index", "row_id", "center", "velocity", "b.block", "b.own")
+        rows = rows.join(F.broadcast(hot), keys, "left")
+        cut = rows.filter("hot").drop("hot").withColumn("block", F.floor(F.col("frame_index") / block_frames))
+        laid = cut.join(sizes, "stream_id", "left").repartition(*keys, "block").sortWithinPartitions(*keys, "block", "frame_index", "row_id")
+        measures = scratch.cut(laid.drop("row_id").mapInArrow(_measures, MEASURES))
+        edges = scratch.cut(measures.filter("kind = 2").groupBy(*keys).applyInPandas(_edges, EDGES))
+        values = measures.filter("kind < 2").select(*keys, "kind", "key").unionByName(edges.filter("key IS NOT NULL").select(*keys, F.lit(1).alias("kind"), "key"))
+        usual = scratch.cut(_ranked(values, scratch))
+        spread = cut.withColumnRenamed("block", "at").join(edges.drop("key"), [*keys, "at"]).filter("frame_index BETWEEN lo AND hi OR block = at").withColumn("own", F.col("block") == F.col("at")).drop("at", "lo", "hi")
+        rows = rows.filter("hot IS NULL").drop("hot").withColumns({"block": F.lit(0).cast("long"), "own": F.lit(True)}).unionByName(spread).join(F.broadcast(usual), keys, "left")
     placed = rows.join(sizes, "stream_id", "left").repartition(*keys, "block").sortWithinPartitions(*keys, "block", "frame_index", "row_id")
     return placed.drop("row_id").mapInArrow(_tracks, OUTPUT)
