@@ -150,3 +150,18 @@ def test_report_counts_the_records_and_pairs_across_splits(spark):
     want = {("train", "a"): (3, 1, 2), ("none", "a"): (1, 0, 0), ("valid", "b"): (1, 1, 1), ("test", "none"): (1, 1, 1), ("test", "a"): (1, 0, 0)}
     got = {(r["split"], r["source"]): (r.records, r.overlapping, r.pairs) for r in overlap.overlap_report(df, Scratch(spark)).collect()}
     assert got == want and sum(x[1] for x in got.values()) == len({i for p in pairs for i in p})
+
+
+def test_all_votes_count(spark):
+    sources = spark.createDataFrame([("a", 0, 1), ("b", 1, 1)], "short_name string, priority int, n int")
+    rows = [row(i, "a:hot_00001_jpg", source="b" if i < 20 else "a", size=5 if i < 20 else 6) for i in range(30)]
+    assert [r.file_size for r in survivors.survivors(table(spark, rows), sources, Scratch(spark)).collect()] == [5]
+    claims = [
+        (1, "file_size", "5", "a", 1, None), (1, "file_size", "6", "b", 1, None), (2, "file_size", "7", "b", 100, None),  # b's undisputed claims count for it
+        (1, "boxes", "[]", "a", 5, None), (1, "boxes", "[{}]", "b", 1, None),
+        (1, "clip", "x", "b", 1, None), (1, "clip", "y", "a", 1, None),  # a tie goes to the trusted source
+    ]
+    df = spark.createDataFrame(claims, "group_id long, field string, value string, source string, n long, latest timestamp_ntz")
+    weights = {(r.field, r.source): r.weight for r in survivors.source_weights(df, sources, Scratch(spark)).collect()}
+    want = {("file_size", "a"): np.log(2 / 3) / np.log(1 / 103), ("boxes", "a"): np.log(6 / 7) / np.log(1 / 3), ("clip", "b"): np.log(2 / 3) / np.log(1 / 3)}
+    assert len(weights) == 6 and all(weights[k] == pytest.approx(want.get(k, 1.0)) for k in weights)

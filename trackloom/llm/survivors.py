@@ -56,21 +56,44 @@ def _claims(records: DataFrame, members: DataFrame) -> DataFrame:
     return claims.groupBy("group_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max("scanned_at").alias("latest"))
 
 
-def source_weights(claims: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``field, source, weight`` by turns of weighted votes and agreement, until no weight moves by more than ``tolerance`` or ``rounds`` are over. Weights start equal."""
-    votes = claims.groupBy("group_id", "field", "value").agg(F.array_sort(F.collect_list(F.struct("source", F.least("n", F.lit(9)).alias("n")))).alias("by"))
-    patterns = votes.groupBy("group_id", "field").agg(F.array_sort(F.collect_list("by")).alias("pattern"), F.count("*").alias("values")).filter("values > 1")
-    patterns = patterns.groupBy("field", "pattern").agg(F.count("*").alias("groups")).withColumn("pid", F.xxhash64("field", "pattern"))
-    table = scratch.cut(patterns.select("field", "pid", "groups", F.posexplode("pattern").alias("vid", "by")).select("field", "pid", "groups", "vid", F.explode("by").alias("b")).select("field", "pid", "groups", "vid", "b.source", "b.n"))
+def _ranked_sources(sources: DataFrame) -> DataFrame:
+    return sources.groupBy(F.col("short_name").alias("source")).agg(F.min("priority").alias("priority"))
+
+
+def _boxed() -> F.Column:
+    """False for an empty box list, which loses to any boxes."""
+    return ~((F.col("field") == "boxes") & (F.col("value") == "[]"))
+
+
+def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``field, source, weight`` by turns of weighted votes and agreement, until no weight moves by more than ``tolerance`` or ``rounds`` are over. Weights start equal.
+
+    Every claim counts: votes are exact, and those of groups with one value, which agree in every round, come as
+    one sum per field and source. A round's winner is chosen as in ``chosen_values``: boxes before none, score,
+    trust, the latest, the greatest value. The last two enter a pattern as the order of its values.
+    """
+    ranks = _ranked_sources(sources)
+    by_value = claims.join(ranks, "source", "left").groupBy("group_id", "field", "value").agg(
+        F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by"), F.max(-F.coalesce("priority", F.lit(1 << 30))).alias("trust"), F.max("latest").alias("latest")
+    )
+    # In rising order of the last ties: the later place in the pattern wins them.
+    value = F.struct("latest", "value", F.struct(_boxed().alias("boxed"), "trust", "by").alias("vote"))
+    patterns = by_value.groupBy("group_id", "field").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x["vote"]).alias("pattern"))
+    patterns = scratch.cut(patterns.groupBy("field", "pattern").agg(F.count("*").alias("groups")).withColumn("pid", F.xxhash64("field", "pattern")))
+    agreed = patterns.filter("size(pattern) = 1").select("field", "groups", F.explode(F.col("pattern")[0]["by"]).alias("b"))
+    agreed = scratch.cut(agreed.groupBy("field", "b.source").agg(F.sum(F.col("groups") * F.col("b.n")).alias("agreed")))
+    split = patterns.filter("size(pattern) > 1").select("field", "pid", "groups", F.posexplode("pattern").alias("vid", "vote"))
+    table = scratch.cut(split.select("field", "pid", "groups", "vid", "vote.boxed", "vote.trust", F.explode("vote.by").alias("b")).select("field", "pid", "groups", "vid", "boxed", "trust", "b.source", "b.n"))
     weights = scratch.cut(table.select("field", "source").distinct().withColumn("weight", F.lit(1.0)))
-    best = Window.partitionBy("field", "pid").orderBy(F.desc("score"), F.desc("votes"), "vid")
+    best = Window.partitionBy("field", "pid").orderBy(F.desc("boxed"), F.desc(F.round("score", 9)), F.desc("trust"), F.desc("vid"))
     for _ in range(rounds):
-        scores = table.join(weights, ["field", "source"]).groupBy("field", "pid", "vid").agg(F.sum(F.col("n") * F.col("weight")).alias("score"), F.sum("n").alias("votes"))
+        scores = table.join(weights, ["field", "source"]).groupBy("field", "pid", "vid").agg(F.sum(F.col("n") * F.col("weight")).alias("score"), F.max("boxed").alias("boxed"), F.max("trust").alias("trust"))
         winners = scores.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("field", "pid", F.col("vid").alias("won"))
         judged = table.join(winners, ["field", "pid"]).groupBy("field", "source").agg(
             F.sum(F.when(F.col("vid") != F.col("won"), F.col("groups") * F.col("n")).otherwise(0)).alias("wrong"), F.sum(F.col("groups") * F.col("n")).alias("all")
         )
-        new = judged.select("field", "source", (-F.log((F.col("wrong") + 1) / (F.col("all") + 2))).alias("weight"))
+        every = F.col("all") + F.coalesce("agreed", F.lit(0))
+        new = judged.join(agreed, ["field", "source"], "left").select("field", "source", (-F.log((F.col("wrong") + 1) / (every + 2))).alias("weight"))
         new = scratch.cut(new.withColumn("weight", F.col("weight") / F.max("weight").over(Window.partitionBy("field"))))
         moved = new.join(weights.withColumnRenamed("weight", "old"), ["field", "source"]).agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
         scratch.drop(weights)
@@ -91,14 +114,13 @@ def chosen_values(records: DataFrame, sources: DataFrame, scratch: Scratch) -> t
     sizes = members.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
     shared = scratch.cut(members.join(sizes, "group_id"))
     claims = scratch.cut(_claims(records, shared))
-    weights = source_weights(claims, scratch)
-    ranks = sources.groupBy(F.col("short_name").alias("source")).agg(F.min("priority").alias("priority"))
+    weights = source_weights(claims, sources, scratch)
+    ranks = _ranked_sources(sources)
     weighed = claims.join(weights, ["field", "source"], "left").join(ranks, "source", "left")
-    empty = (F.col("field") == "boxes") & (F.col("value") == "[]")
     scored = weighed.groupBy("group_id", "field", "value").agg(
         F.sum(F.col("n") * F.coalesce("weight", F.lit(1.0))).alias("score"), F.sum("n").alias("votes"), F.max(-F.coalesce("priority", F.lit(1 << 30))).alias("trust"), F.max("latest").alias("latest")
     )
-    order = F.struct((~empty).alias("boxed"), F.round("score", 9).alias("score"), "trust", "latest", "value")
+    order = F.struct(_boxed().alias("boxed"), F.round("score", 9).alias("score"), "trust", "latest", "value")
     chosen = scored.groupBy("group_id", "field").agg(F.max_by("value", order).alias("value"), (F.max_by("votes", order) / F.sum("votes")).alias("support"), F.max("latest").alias("latest"))
     return members, shared, chosen
 
@@ -113,7 +135,7 @@ def survivors(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataF
     wide = chosen.groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS], F.round(F.min("support"), 4).alias("support"), F.max("latest").alias("latest"))
     typed = [F.from_json("boxes", "array<struct<x:double,y:double,w:double,h:double>>").alias("boxes"), F.col("ignored_objects").cast("int").alias("ignored_objects"), F.col("file_size").cast("long").alias("file_size")]
     plain = ["frame", "checksum", "clip", "original_split", "assigned_split", "image", "support", "latest"]
-    ranks = sources.groupBy(F.col("short_name").alias("source")).agg(F.min("priority").alias("priority"))
+    ranks = _ranked_sources(sources)
     paths = records.filter("image IS NOT NULL").select("record_id", "source", "image", "scanned_at").join(shared, "record_id").join(ranks, "source", "left")
     paths = paths.groupBy("group_id").agg(F.max_by("image", F.struct(-F.coalesce("priority", F.lit(1 << 30)), "scanned_at", "image")).alias("image"))
     groups = shared.select("group_id", "copies").distinct().join(wide, "group_id", "left").join(paths, "group_id", "left").select("group_id", "copies", *typed, *plain)
