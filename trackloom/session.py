@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
+import sys
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -16,15 +16,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """The session's spark.checkpoint.dir, or the folder set by setCheckpointDir. Without either a cluster fails; a local session takes a folder beside its own tables (spark.sql.warehouse.dir)."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context._jsc.sc().getCheckpointDir().isDefined():
         folder = context._jsc.sc().getCheckpointDir().get()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "trackloom-shared")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
     return folder.rstrip("/")
 
 
@@ -40,18 +40,21 @@ class Scratch:
         atexit.register(self.close)
 
     def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():  # the session has ended; the cluster empties its own folder
+            return
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
         try:
-            jvm = self.spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the cluster empties its own folder
-            pass
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception as e:  # a table left behind costs room, not results
+            print(f"could not delete {path}: {e}", file=sys.stderr)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        """``df`` written and read again. ``_scratch_rows``: its number of rows, counted as they were written."""
+        path, seen = f"{self.root}/{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        back._scratch_path = path
+        back._scratch_path, back._scratch_rows = path, seen.get["rows"]
         return back
 
     def drop(self, df: DataFrame | None) -> None:
