@@ -1,7 +1,7 @@
 """Connected components by random-mate contraction, in SQL joins.
 
 Each round every vertex that still has an edge draws a coin from a hash of its id and the round (so a
-recomputed task draws the same); shared values are vertices too, with odd ids, as hubs of the rows. A tails vertex with heads neighbours collapses into the least of
+recomputed task draws the same). A tails vertex with heads neighbours collapses into the least of
 them; edges are renamed, loops and repeats go. When no edge is left, the rounds' moves are unwound
 in one plan, which gives each vertex its final representative.
 
@@ -19,13 +19,13 @@ from ..session import Scratch
 
 
 def _heads(vertex: str):
-    """Even ids (rows) always come up tails. Hubs (odd ids) are heads seven times in eight in the first round, which melts their stars, then every other time."""
+    """Heads every other time. In the first round odd ids, which ``linked_groups`` gives to shared values, are heads seven times in eight and even ids once: that melts stars at once and costs other graphs a slow first round."""
     draw = F.pmod(F.xxhash64(F.col(vertex), F.col("turn")), F.lit(8))
-    return (F.col(vertex) % 2 != 0) & (draw < F.when(F.col("turn") == 0, 7).otherwise(4))
+    return draw < F.when(F.col("turn") > 0, 4).when(F.col(vertex) % 2 != 0, 7).otherwise(1)
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFrame:
-    """``(a, b)`` long edges -> ``(vertex, root)`` for each vertex that has an edge to another one. Hubs have odd ids; no edge joins two even ids.
+    """``(a, b)`` long edges -> ``(vertex, root)`` for each vertex that has an edge to another one. Any graph will do.
 
     Null ends, loops and repeated edges are allowed and don't count. An empty table gives an empty
     table. ``root`` is one vertex of the component, the same for all its vertices.
@@ -37,7 +37,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
     # The round's number is a column, not a literal: all rounds then run the same generated code.
     moves = []
     for _ in range(rounds):
-        if left.isEmpty():
+        if not left._scratch_rows:
             break
         ends = left.select(F.col("a").alias("v"), F.col("b").alias("w"), "turn").union(left.select("b", "a", "turn"))
         move = scratch.cut(ends.filter(~_heads("v") & _heads("w")).groupBy("v").agg(F.min("w").alias("w")))
@@ -53,7 +53,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFra
         scratch.drop(left)
         left = renamed
     else:
-        if not left.isEmpty():
+        if left._scratch_rows:
             raise RuntimeError(f"edges are left after {rounds} rounds")
     scratch.drop(left)
     if not moves:

@@ -14,7 +14,7 @@ from ..functions.keys import clip_name, clip_of_frame, frame_name, split_name
 from ..session import Scratch
 from .components import linked_groups
 
-BUCKETS = 256
+SLOT_GROUPS = 20_000  # groups of one source in one slot of its line
 
 
 def clip_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
@@ -31,30 +31,46 @@ def straddling(records: DataFrame, scratch: Scratch) -> DataFrame:
     return member.join(torn, "group_id", "left_semi").select("record_id").distinct()
 
 
-def assign_splits(records: DataFrame, targets: DataFrame, scratch: Scratch, buckets: int = BUCKETS) -> DataFrame:
+def related_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(record_id, source, group_id)`` of every record: records of one clip or of one source frame are one group, directly or by way of others.
+
+    A null clip_key takes the clip of the record's source frame; a record that names nothing is a group of its own.
+    A null source is "". Equal checksums don't link: they chain most clips into one group, which no ratio survives.
+    """
+    frame = frame_name(F.col("source_key"))
+    base = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.nullif(clip_name(F.col("clip_key")), F.lit("")), clip_of_frame(frame), F.lit("")).alias("clip"), frame.alias("frame"))
+    base = scratch.cut(base)
+    return linked_groups(base.select("record_id", "clip", "frame"), "record_id", ["clip", "frame"], scratch).join(base.select("record_id", "source"), "record_id")
+
+
+def assign_splits(records: DataFrame, targets: DataFrame, scratch: Scratch, slot_groups: int = SLOT_GROUPS) -> DataFrame:
     """``(record_id, source, group_id, new_split)`` for every record.
 
-    All records of one clip get one split; a null clip_key takes the clip of the record's source frame,
-    and a record with neither is a group of its own. A null source is a source of its own. Ratios are met
-    overall and within each source (a group counts for the source that holds most of it), to within half
-    the group on each cut. Groups beyond half the least ratio of their source lie first, in the largest
-    split. Ratios need not add up to one; null or negative ones count as nought.
+    All records of one group of ``related_groups`` get one split: clips and source frames stay whole. Ratios are met overall and within each source (a group counts for the source that holds most of
+    it), to within half the group on each cut. Groups beyond half the least ratio of their source lie first,
+    the largest in front, and so in the largest split. Ratios need not add up to one; null or negative ones
+    count as nought. More than 1,000 targets are refused. A source's line is cut into slots of about
+    ``slot_groups`` groups, which doesn't change the order of groups in it.
     """
-    clip = F.coalesce(clip_name(F.col("clip_key")), clip_of_frame(frame_name(F.col("source_key"))), F.lit(""))
-    base = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), F.col("clip_key").alias("spelled"), clip.alias("clip"))
-    grouped = scratch.cut(linked_groups(base.select("record_id", "spelled", "clip"), "record_id", ["spelled", "clip"], scratch).join(base.select("record_id", "source"), "record_id"))
+    grouped = scratch.cut(related_groups(records, scratch))
     weights = grouped.groupBy("group_id", "source").agg(F.count("*").alias("n"))
     groups = weights.groupBy("group_id").agg(F.max_by("source", F.struct("n", "source")).alias("home"), F.sum("n").alias("n"))
-    ratios = sorted(((max(r["ratio"] or 0.0, 0.0), r["split_name"]) for r in targets.filter("split_name IS NOT NULL").limit(1000).collect()), key=lambda r: (-r[0], r[1]))
+    named = targets.filter("split_name IS NOT NULL").limit(1001).collect()
+    if len(named) > 1000:
+        raise ValueError("more than 1,000 split targets")
+    ratios = sorted(((max(r["ratio"] or 0.0, 0.0), r["split_name"]) for r in named), key=lambda r: (-r[0], r[1]))
     whole = sum(r for r, _ in ratios) or 1.0
     least = min((r for r, _ in ratios if r > 0), default=1.0) / whole
-    totals = groups.groupBy("home").agg(F.sum("n").alias("total"))
-    placed = groups.join(totals, "home")
-    placed = placed.withColumn("slot", F.when(F.col("n") > F.col("total") * least / 2, F.lit(-1)).otherwise(F.pmod(F.xxhash64("group_id"), F.lit(buckets)).cast("int")))
+    totals = groups.groupBy("home").agg(F.sum("n").alias("total"), F.count("*").alias("groups"))
+    # Large groups first (there are fewer than 2 / least of them in a source), the others in order of their hash: a slot is a range of it.
+    large = F.col("n") > F.col("total") * least / 2
+    slots = F.greatest(F.ceil(F.col("groups") / slot_groups), F.lit(1))
+    hashed = F.conv(F.substring(F.md5(F.col("group_id").cast("string")), 1, 8), 16, 10).cast("long")
+    placed = groups.join(totals, "home").withColumn("hash", F.when(large, F.lit(-1)).otherwise(hashed)).withColumn("slot", F.when(large, F.lit(-1)).otherwise(F.shiftright(F.col("hash") * slots, 32)))
     placed = scratch.cut(placed)
     line = Window.partitionBy("home").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("home", "slot").agg(F.sum("n").alias("w")).withColumn("start", F.coalesce(F.sum("w").over(line), F.lit(0))).drop("w")
-    inside = Window.partitionBy("home", "slot").orderBy(F.xxhash64("group_id", F.lit(1)), "group_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("home", "slot").orderBy("hash", F.when(F.col("slot") < 0, -F.col("n")), "group_id").rowsBetween(Window.unboundedPreceding, -1)
     middle = placed.join(starts, ["home", "slot"]).withColumn("at", (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("n") / 2) / F.col("total"))
     chosen, upto = None, 0.0
     for ratio, name in ratios:
