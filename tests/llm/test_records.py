@@ -116,13 +116,68 @@ def test_pairs_across_splits(spark):
     ]
     got = sorted(tuple(r) for r in overlap.cross_split_pairs(table(spark, rows), Scratch(spark)).collect())
     assert got == [(1, 2), (1, 4)]
-    shares = {(r.record_id, r.field): r.across for r in overlap.overlaps(table(spark, rows)).collect()}
-    assert shares[1, 0] == 1.0 and shares[5, 0] < 1.0
-    assert overlap.cross_split_pairs(table(spark, []), Scratch(spark)).count() == 0 and overlap.overlap_report(table(spark, [])).count() == 0
-    report = {(r["split"], r["source"]): r.overlapping for r in overlap.overlap_report(table(spark, rows)).collect()}
+    shares = {r.record_id: r.overlap for r in overlap.overlaps(table(spark, rows)).collect()}
+    assert shares[1] > shares[5] and shares[3] == 0
+    empty = table(spark, [])
+    assert overlap.cross_split_pairs(empty, Scratch(spark)).count() == 0 and overlap.overlap_report(empty, Scratch(spark)).count() == 0 and overlap.overlap_members(empty, Scratch(spark)).count() == 0
+    assert {r.record_id: (r.group_id, r.links, r.near) for r in overlap.overlap_members(table(spark, rows), Scratch(spark)).collect()} == {
+        1: (1, 2, False), 2: (1, 1, False), 4: (1, 1, False), **{i: (i, 0, True) for i in (6, 7, 9)},  # 6, 7 and 9 name nothing: all there is of them are boxes
+    }
+    report = {(r["split"], r["source"]): r.overlapping for r in overlap.overlap_report(table(spark, rows), Scratch(spark)).collect()}
     assert report["train", "a"] == 1
 
 
+def test_covers_are_equal_where_values_are(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.choice([3, 30, 300, 9000]))) for _ in range(40)]
+    rows = [row(i, key=f"a:{rng.choice(words)}_{rng.choice('12')}_jpg" if rng.random() < 0.9 else None, h=None) for i in range(300)]
+    got = {r.record_id: r.group_id for r in overlap.image_groups(table(spark, rows), Scratch(spark)).collect()}
+    by = defaultdict(list)
+    for r in rows:
+        if r[4]:
+            by[r[4]].append(r[0])
+    assert got == brute([(v[0], x) for v in by.values() for x in v[1:]], [r[0] for r in rows])
+
+
+def test_near_copies_are_found_by_chunks_alone(spark):
+    rng = random.Random(4)
+    long = "_".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40))
+    many = [(round(rng.random(), 4), round(rng.random(), 4), 0.1, 0.1) for _ in range(30)]
+    near = [(0.3, 0.3, 0.1, 0.1), *many[1:]]
+    rows = [row(1, f"a:{long}_00001_jpg", h="aa:5", split="train", boxes=many), row(2, f"b:{long}_00002_jpg", h="ab:6", split="test", boxes=near), row(3, "a:other_1_jpg", h="ac:7", split="valid"), row(4, f"b:{long}_00003_jpg", h="ad:6", split=None, boxes=near)]
+    got = {r.record_id: r for r in overlap.overlap_members(table(spark, rows), Scratch(spark)).collect()}
+    assert set(got) == {1, 2} and all(r.near and r.links == 0 and r.overlap >= 0.8 for r in got.values())
+    assert overlap.cross_split_pairs(table(spark, rows), Scratch(spark)).count() == 0
+
+
+@pytest.mark.parametrize("edges", [[(0, 2), (2, 4)], [(1, 3), (3, 5), (5, 7), (7, 1), (2, 2), (None, 4)], [(i, i + 2) for i in range(0, 300, 2)], [(0, i) for i in range(1, 200)]])
+def test_any_graph_contracts(spark, edges):
+    got = {r.vertex: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    real = [e for e in edges if None not in e and e[0] != e[1]]
+    want = brute(real, {v for e in real for v in e})
+    assert set(got) == set(want) and len(set(zip(got.values(), (want[v] for v in got)))) == len(set(want.values())) == len(set(got.values()))
+
+
+def test_more_targets_than_can_be_are_refused(spark):
+    targets = spark.createDataFrame([(f"s{i}", 0.1) for i in range(1001)], "split_name string, ratio double")
+    with pytest.raises(ValueError):
+        splits.assign_splits(table(spark, [row(1)]), targets, Scratch(spark))
+
+
+def test_slots_change_nothing(spark):
+    rows = [row(i, key=f"a:c{i % 97}_{i:05d}_jpg", clip=f"a:c{i % 97}" if i % 5 else None, source="ab"[i % 2]) for i in range(600)]
+    targets = spark.createDataFrame([("train", 0.8), ("valid", 0.1), ("test", 0.1)], "split_name string, ratio double")
+    few, many = ({r.record_id: (r.group_id, r.new_split) for r in splits.assign_splits(table(spark, rows), targets, Scratch(spark), slot_groups=n).collect()} for n in (10**6, 3))
+    assert few == many and len(few) == 600
+
+
+def test_weights_that_do_not_settle_are_no_result(spark):
+    sources = spark.createDataFrame([("a", 0, 1), ("b", 1, 1)], "short_name string, priority int, n int")
+    df = spark.createDataFrame([(1, "clip", "x", "a", 1, None), (1, "clip", "y", "b", 2, None)], "group_id long, field string, value string, source string, n long, latest timestamp_ntz")
+    with pytest.raises(RuntimeError):
+        survivors.source_weights(df, sources, Scratch(spark), rounds=1)
+
+
 def test_survivors(spark):
     sources = spark.createDataFrame([("a", 0, 1), ("b", 1, 1), ("c", 2, 1)], "short_name string, priority int, n int")
     rows, i = [], 0
@@ -134,9 +189,9 @@ def test_survivors(spark):
     out = {r.group_id: r for r in survivors.survivors(table(spark, rows), sources, Scratch(spark)).collect()}
     assert len(out) == 63 and all(out[1 + 3 * g].file_size == 100 + g and len(out[1 + 3 * g].boxes) == 1 and out[1 + 3 * g].copies == 3 for g in range(60))
     assert out[i + 1].file_size == 7 and out[i + 2].file_size == 5 and out[i + 4].boxes is None
-    members = survivors.duplicate_members(table(spark, rows), sources, Scratch(spark)).collect()
+    members = survivors.duplicate_members(table(spark, rows), Scratch(spark)).collect()
     assert len(members) == 182 and (i + 1) not in {m.record_id for m in members}
-    assert survivors.survivors(table(spark, []), sources, Scratch(spark)).count() == 0 and survivors.duplicate_members(table(spark, []), sources, Scratch(spark)).count() == 0
+    assert survivors.survivors(table(spark, []), sources, Scratch(spark)).count() == 0 and survivors.duplicate_members(table(spark, []), Scratch(spark)).count() == 0
 
 
 def test_report_counts_the_records_and_pairs_across_splits(spark):

@@ -37,12 +37,17 @@ def p3_report(spark, d):
     return overlap.overlap_report(table(spark, d, "records"), Scratch(spark))
 
 
+def p3_overlaps(spark, d):
+    return overlap.overlap_members(table(spark, d, "records"), Scratch(spark))
+
+
 def p4_found(spark, d):
-    return survivors.duplicate_members(table(spark, d, "records"), table(spark, d, "sources"), Scratch(spark))
+    return survivors.duplicate_members(table(spark, d, "records"), Scratch(spark))
 
 
 def p4_survivors(spark, d):
-    return survivors.survivors(table(spark, d, "records"), table(spark, d, "sources"), Scratch(spark))
+    best = survivors.survivors(table(spark, d, "records"), table(spark, d, "sources"), Scratch(spark))
+    return best.withColumn("boxes", survivors.box_text(F.col("boxes")))
 
 
 def p6_pack(spark, d):
@@ -69,4 +74,4 @@ def p8_forms(spark, d):
     return forms.forms(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p4_found, p4_survivors, p6_pack, p6_report, p7_found, p7_leaks, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p3_overlaps, p4_found, p4_survivors, p6_pack, p6_report, p7_found, p7_leaks, p8_found, p8_forms)}

@@ -16,7 +16,7 @@ from ..session import Scratch
 from .components import linked_groups
 
 FIELDS = ("boxes", "ignored_objects", "file_size", "frame", "checksum", "clip", "original_split", "assigned_split")
-ROUNDS = 20
+ROUNDS, DAMPED = 100, 20  # from round DAMPED on a weight goes half the way, so that no two rounds swap for ever
 TOLERANCE = 1e-3
 
 
@@ -31,6 +31,18 @@ def good_boxes(boxes: F.Column) -> F.Column:
     return F.array_distinct(F.array_sort(rounded))
 
 
+def box_text(boxes: F.Column) -> F.Column:
+    """``x y w h`` of each box with four places, joined by "; "; "[]" for none."""
+    text = F.array_join(F.transform(boxes, lambda b: F.format_string("%.4f %.4f %.4f %.4f", *[b[c] for c in "xywh"])), "; ")
+    return F.when(F.size(boxes) == 0, "[]").otherwise(text)
+
+
+def text_boxes(text: str) -> F.Column:
+    """The boxes of a ``box_text`` column."""
+    numbers = f"transform(split({text}, '; '), t -> transform(split(t, ' '), v -> cast(v as double)))"
+    return F.expr(f"if({text} = '[]', array(), transform({numbers}, v -> named_struct('x', v[0], 'y', v[1], 'w', v[2], 'h', v[3])))")
+
+
 def image_members(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(record_id, group_id)``: records with the same source frame, or the same checksum and size, directly or by way of others; group_id is the least record_id. A record with neither is a group of its own."""
     keyed = scratch.cut(records.select("record_id", frame_name(F.col("source_key")).alias("frame"), checksum(F.col("image_hash")).alias("checksum")))
@@ -39,7 +51,7 @@ def image_members(records: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _values() -> dict[str, F.Column]:
     return {
-        "boxes": F.to_json(good_boxes(F.col("boxes"))),
+        "boxes": box_text(good_boxes(F.col("boxes"))),
         "ignored_objects": F.regexp_extract(F.col("ignored_objects").cast("string"), "^[0-9]+$", 0),
         "file_size": F.regexp_extract(F.col("file_size").cast("string"), "^[1-9][0-9]*$", 0),
         "frame": frame_name(F.col("source_key")), "checksum": checksum(F.col("image_hash")), "clip": clip_name(F.col("clip_key")),
@@ -66,7 +78,7 @@ def _boxed() -> F.Column:
 
 
 def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``field, source, weight`` by turns of weighted votes and agreement, until no weight moves by more than ``tolerance`` or ``rounds`` are over. Weights start equal.
+    """``field, source, weight`` by turns of weighted votes and agreement, until no weight moves by more than ``tolerance``. Weights start equal. Weights that still move after ``rounds`` are an error, never a result.
 
     Every claim counts: votes are exact, and those of groups with one value, which agree in every round, come as
     one sum per field and source. A round's winner is chosen as in ``chosen_values``: boxes before none, score,
@@ -86,7 +98,7 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
     table = scratch.cut(split.select("field", "pid", "groups", "vid", "vote.boxed", "vote.trust", F.explode("vote.by").alias("b")).select("field", "pid", "groups", "vid", "boxed", "trust", "b.source", "b.n"))
     weights = scratch.cut(table.select("field", "source").distinct().withColumn("weight", F.lit(1.0)))
     best = Window.partitionBy("field", "pid").orderBy(F.desc("boxed"), F.desc(F.round("score", 9)), F.desc("trust"), F.desc("vid"))
-    for _ in range(rounds):
+    for turn in range(rounds):
         scores = table.join(weights, ["field", "source"]).groupBy("field", "pid", "vid").agg(F.sum(F.col("n") * F.col("weight")).alias("score"), F.max("boxed").alias("boxed"), F.max("trust").alias("trust"))
         winners = scores.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("field", "pid", F.col("vid").alias("won"))
         judged = table.join(winners, ["field", "pid"]).groupBy("field", "source").agg(
@@ -94,13 +106,23 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
         )
         every = F.col("all") + F.coalesce("agreed", F.lit(0))
         new = judged.join(agreed, ["field", "source"], "left").select("field", "source", (-F.log((F.col("wrong") + 1) / (every + 2))).alias("weight"))
-        new = scratch.cut(new.withColumn("weight", F.col("weight") / F.max("weight").over(Window.partitionBy("field"))))
+        new = new.withColumn("weight", F.col("weight") / F.max("weight").over(Window.partitionBy("field")))
+        if turn >= DAMPED:
+            new = new.join(weights.withColumnRenamed("weight", "old"), ["field", "source"]).select("field", "source", ((F.col("weight") + F.col("old")) / 2).alias("weight"))
+        new = scratch.cut(new)
         moved = new.join(weights.withColumnRenamed("weight", "old"), ["field", "source"]).agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
         scratch.drop(weights)
         weights = new
         if moved is None or moved <= tolerance:
-            break
-    return weights
+            return weights
+    raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
+
+
+def shared_images(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """All members ``(record_id, group_id)``, and those of images that two or more records show, with ``copies``."""
+    members = scratch.cut(image_members(records, scratch))
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return members, members.join(sizes, "group_id")
 
 
 def chosen_values(records: DataFrame, sources: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,9 +132,8 @@ def chosen_values(records: DataFrame, sources: DataFrame, scratch: Scratch) -> t
     ``sources``, unknown ones last), the latest, the greatest. An empty box list loses to any boxes. A field
     that nobody claims has no row. Whatever a group's size, claims are counted before they move.
     """
-    members = scratch.cut(image_members(records, scratch))
-    sizes = members.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
-    shared = scratch.cut(members.join(sizes, "group_id"))
+    members, shared = shared_images(records, scratch)
+    shared = scratch.cut(shared)
     claims = scratch.cut(_claims(records, shared))
     weights = source_weights(claims, sources, scratch)
     ranks = _ranked_sources(sources)
@@ -133,7 +154,7 @@ def survivors(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataF
     """
     members, shared, chosen = chosen_values(records, sources, scratch)
     wide = chosen.groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS], F.round(F.min("support"), 4).alias("support"), F.max("latest").alias("latest"))
-    typed = [F.from_json("boxes", "array<struct<x:double,y:double,w:double,h:double>>").alias("boxes"), F.col("ignored_objects").cast("int").alias("ignored_objects"), F.col("file_size").cast("long").alias("file_size")]
+    typed = [text_boxes("boxes").alias("boxes"), F.col("ignored_objects").cast("int").alias("ignored_objects"), F.col("file_size").cast("long").alias("file_size")]
     plain = ["frame", "checksum", "clip", "original_split", "assigned_split", "image", "support", "latest"]
     ranks = _ranked_sources(sources)
     paths = records.filter("image IS NOT NULL").select("record_id", "source", "image", "scanned_at").join(shared, "record_id").join(ranks, "source", "left")
@@ -144,7 +165,6 @@ def survivors(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataF
     return groups.unionByName(singles)
 
 
-def duplicate_members(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(group_id, record_id)`` of images for which a survivor was chosen from two or more records."""
-    _, shared, chosen = chosen_values(records, sources, scratch)
-    return shared.join(chosen.select("group_id").distinct(), "group_id", "left_semi").select("group_id", "record_id").distinct()
+def duplicate_members(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(group_id, record_id)`` of the images for which ``survivors`` builds one record from two or more."""
+    return shared_images(records, scratch)[1].select("group_id", "record_id").distinct()
