@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, fields
 
 SCHEMA_VERSION = 1
@@ -56,9 +57,48 @@ SHIPPED = TrackerConfig(
 )
 
 
+def _scalar(text: str):
+    """A value of the block form: JSON where it is JSON, a list in brackets, else plain text without its quotes."""
+    text = text.strip()
+    if text in ("", "~", "null", "Null", "NULL"):
+        return None
+    if text[0] == "[" and text[-1] == "]":
+        return [_scalar(t) for t in text[1:-1].split(",") if t.strip()]
+    if text[0] == text[-1] == "'" and len(text) > 1:
+        return text[1:-1].replace("''", "'")
+    try:
+        return json.loads(text.lower() if text.lower() in ("true", "false") else text)
+    except json.JSONDecodeError:
+        return text
+
+
+def parse(text: str) -> dict:
+    """A configuration text as nested dictionaries: JSON, or YAML of mappings by indentation, scalars, lists in brackets and comments. Anything else is refused."""
+    if text.lstrip().startswith("{"):
+        return json.loads(text)
+    root: dict = {}
+    open_maps = [(-1, root)]
+    for number, raw in enumerate(text.splitlines(), 1):
+        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+        if not line.strip() or line == "---":
+            continue
+        match = re.fullmatch(r"( *)([\w.-]+):(?: +(.*))?", line)
+        if not match:
+            raise ValueError(f"line {number} is no mapping: {raw!r}")
+        depth, key, value = len(match[1]), match[2], match[3]
+        while open_maps[-1][0] >= depth:
+            open_maps.pop()
+        if value is None:
+            open_maps[-1][1][key] = {}
+            open_maps.append((depth, open_maps[-1][1][key]))
+        else:
+            open_maps[-1][1][key] = _scalar(value)
+    return root
+
+
 def load(text: str) -> TrackerConfig:
-    """A configuration from JSON ``{"schema_version": 1, "tracker": {...}}``; unknown names and other versions fail."""
-    data = json.loads(text)
+    """The tracker of a configuration (``schema_version: 1``, ``tracker: ...``) in YAML or JSON; unknown names and other versions fail. Other sections are for ``parse``."""
+    data = parse(text)
     if data.get("schema_version") != SCHEMA_VERSION:
         raise ValueError(f"schema_version must be {SCHEMA_VERSION}")
     values = data.get("tracker", {})

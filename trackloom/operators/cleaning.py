@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -116,48 +117,64 @@ def limit_negatives(records: DataFrame, ratio: float = 0.25) -> DataFrame:
     return positives.select(*records.columns).unionByName(kept)
 
 
-def grouped_split(records: DataFrame) -> DataFrame:
+MAX_CLIPS = 2_000_000
+
+
+def grouped_split(records: DataFrame, most: int = MAX_CLIPS) -> DataFrame:
     """``clip_key, clean_split`` of every clip: each source with three clips or more first gives one to test and one to valid (the nearest to its target, then by hash), the rest go by size to the split that leaves the least squared relative error overall and in its sources.
 
-    The choice is sequential by definition, so it runs in one task over the table of clips (not of records);
-    ``assign_splits`` of the training-data subpackage is the distributed operator.
+    The choice is sequential by definition: it runs in one task over the table of clips (a row per clip and
+    source, never of records). More than ``most`` clips are refused, as one task holds them all;
+    ``assign_splits`` of the training-data subpackage is the distributed operator. Null clips have no row.
     """
     clips = records.filter("clip_key IS NOT NULL").groupBy("clip_key", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
-    clips = clips.withColumn("hash", F.sha1("clip_key"))
+    lists = clips.groupBy("clip_key").agg(F.collect_list("source").alias("sources"), F.collect_list("n").alias("counts"))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
+        if len(pdf) > most:
+            raise ValueError(f"{len(pdf)} clips, more than {most}: use a distributed split")
         sha = lambda t: hashlib.sha1(t.encode("utf-8", errors="replace")).hexdigest()
-        table = pdf.pivot_table(index="clip_key", columns="source", values="n", aggfunc="sum", fill_value=0)
-        names, sources, m = table.index.to_numpy(), list(table.columns), table.to_numpy(float)
+        names = pdf["clip_key"].tolist()
+        sources = sorted({s for own in pdf["sources"] for s in own})
+        at = {s: j for j, s in enumerate(sources)}
+        own = [np.array([at[s] for s in x]) for x in pdf["sources"]]
+        m = [np.asarray(x, float) for x in pdf["counts"]]
+        size = np.array([x.sum() for x in m])
+        holds: list[list[int]] = [[] for _ in sources]
+        for i, js in enumerate(own):
+            for j in js:
+                holds[j].append(i)
+        amount = lambda i, j: m[i][own[i] == j][0]
         ratio = np.array(RATIOS)
-        goal, goals = m.sum() * ratio, m.sum(0)[:, None] * ratio
-        have, haves = np.zeros(3), np.zeros((len(sources), 3))
-        split = np.full(len(names), -1)
+        goals = np.array([sum(amount(i, j) for i in holds[j]) for j in range(len(sources))])[:, None] * ratio
+        goal = size.sum() * ratio
+        have, haves, split = np.zeros(3), np.zeros((len(sources), 3)), np.full(len(names), -1)
 
         def put(i: int, k: int) -> None:
             split[i] = k
-            have[k] += m[i].sum()
-            haves[:, k] += m[i]
+            have[k] += size[i]
+            haves[own[i], k] += m[i]
 
-        for j in sorted(range(len(sources)), key=lambda j: ((m[:, j] > 0).sum(), sources[j])):
-            if ((m[:, j] > 0) & (split < 0)).sum() < 3:
+        for j in sorted(range(len(sources)), key=lambda j: (len(holds[j]), sources[j])):
+            if sum(split[i] < 0 for i in holds[j]) < 3:
                 continue
             for k in (2, 1):
-                free = np.flatnonzero((m[:, j] > 0) & (split < 0))
-                gap = np.abs(m[free, j] - goals[j, k])
-                tied = free[gap == gap.min()]
-                put(min(tied, key=lambda i: sha(f"{sources[j]}:{SPLITS[k]}:{names[i]}")), k)
-        order = sorted(np.flatnonzero(split < 0), key=lambda i: (-m[i].sum(), sha(names[i])))
-        for i in order:
-            own = np.flatnonzero(m[i])
-            whole = (have[None] + m[i].sum() * np.eye(3) - goal) / np.maximum(goal, 1)
-            parts = (haves[own][:, None] + m[i][own][:, None, None] * np.eye(3) - goals[own][:, None]) / np.maximum(goals[own], 1)[:, None]
+                free = [i for i in holds[j] if split[i] < 0]
+                put(min(free, key=lambda i: (abs(amount(i, j) - goals[j, k]), sha(f"{sources[j]}:{SPLITS[k]}:{names[i]}"))), k)
+        for i in sorted(np.flatnonzero(split < 0), key=lambda i: (-size[i], sha(names[i]))):
+            whole = (have[None] + size[i] * np.eye(3) - goal) / np.maximum(goal, 1)
+            parts = (haves[own[i]][:, None] + m[i][:, None, None] * np.eye(3) - goals[own[i]][:, None]) / np.maximum(goals[own[i]], 1)[:, None]
             put(i, int(((whole**2).sum(1) + (parts**2).sum((0, 2))).argmin()))
         return pd.DataFrame({"clip_key": names, "clean_split": [SPLITS[k] for k in split]})
 
-    return clips.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(assign, "clip_key string, clean_split string")
+    return lists.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(assign, "clip_key string, clean_split string")
+
+
+def split_overlap(records: DataFrame, split: DataFrame) -> DataFrame:
+    """``clips, frames``: clips, and source frames, whose records stand in two or more splits of ``split`` (clip_key, clean_split). Measured, not stated."""
+    placed = records.join(split, "clip_key").select("clip_key", "source_key", "clean_split")
+    torn = lambda key: placed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct("clean_split").alias("n")).agg(F.count_if(F.col("n") > 1))
+    return torn("clip_key").toDF("clips").crossJoin(torn("source_key").toDF("frames"))
 
 
 def manifest(records: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .tracker import names, spine
+from .blocks import BLOCK
+from .tracker import names, pieced, spine
 
 OUTPUT = "stream_id string, frame_index long, status string, cx double, cy double, confidence double, vx double, vy double, missing_frames int, drop_reason string"
 
@@ -66,19 +68,28 @@ class Ball:
         return "predicted", *np.mean(self.history, 0).tolist(), faded, *self.state[2:4], self.missing, reason
 
 
-def run(frames: DataFrame, detections: DataFrame) -> DataFrame:
-    """One row per frame: observed, predicted or absent, the smoothed center and why no detection was taken."""
+def run(frames: DataFrame, detections: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per frame: observed, predicted or absent, the smoothed center and why no detection was taken.
+
+    The filter's state outlives a loss (the next detection is blended with it), so a stream can't be cut where
+    the ball is lost: the longest stream bounds the run time. Only frames with a usable detection, or up to
+    ``horizon`` frames after one, take part in the fold; the others are absent and spread by blocks.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ball, current = None, None
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                if ball is None or r.stream_id != current:
-                    ball, current = Ball(), r.stream_id
+                if ball is None or (r.stream_id, r.piece) != current:
+                    ball, current = Ball(), (r.stream_id, r.piece)
                 det = np.zeros((0, 5)) if r.det is None else np.asarray(r.det, float).reshape(-1, 5)
                 rows.append((r.stream_id, r.frame_index, *ball.frame(det)))
             if rows:
                 yield pd.DataFrame(rows, columns=names(OUTPUT))
 
-    return spine(frames, detections).repartition("stream_id").sortWithinPartitions("stream_id", "frame_index").mapInPandas(work, OUTPUT)
+    fields = Ball()
+    laid = pieced(spine(frames, detections), fields.horizon + 1, fields.least, block).drop("det_conf")
+    # Pieces of one stream share the filter's state: all that isn't idle is one piece.
+    laid = laid.withColumn("piece", F.when(F.col("piece") >= 0, 0).otherwise(F.col("piece")))
+    return laid.repartition("stream_id", "piece").sortWithinPartitions("stream_id", "piece", "frame_index").mapInPandas(work, OUTPUT)

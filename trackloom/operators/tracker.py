@@ -1,8 +1,9 @@
 """Multi-object tracking: one pure step per frame, shared by the grouped-map and the streaming driver.
 
 State of a stream is a table of tracks, one NumPy column per field; a step moves all tracks at once and
-resolves the one-to-one matches greedily by cost. Streams are independent, so they are the unit of
-parallelism; inside a stream the state is sequential.
+resolves the one-to-one matches greedily by cost. Inside a stream the state is sequential, but it is empty
+once no detection was kept for longer than a track can be missing: there a stream is cut into pieces, which
+are the unit of parallelism. Ids are counted in each piece and moved on by the tracks made before it.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SHIPPED, TrackerConfig
+from ..session import Scratch
+from .blocks import BLOCK
 
 COLUMNS = ("id", "x", "y", "vx", "vy", "pa", "pb", "pc", "w", "h", "conf", "age", "hits", "missing", "seen", "lx", "ly", "ax", "ay", "af", "rx", "ry", "rf", "moving", "still")
 INDEX = {name: i for i, name in enumerate(COLUMNS)}
@@ -27,7 +30,9 @@ COUNTS = (
     "input_detections", "high_conf_detections", "low_conf_detections", "high_conf_matches", "low_conf_recoveries", "created_tracks", "removed_tracks", "retained_tracks", "emitted_tracks", "eligible_tracks",
     "output_limited_tracks", "physical_gate_rejections", "impact_recoveries", "motion_unconfirmed_tracks", "stationary_suppressed_tracks",
 )
-DIAGNOSTICS = "stream_id string, frame_index long, " + ", ".join(f"{c} int" for c in COUNTS)
+STATES = "array<struct<track_id:long,center:array<double>,velocity:array<double>,missing_frames:int,motion_confirmed:boolean,observed_this_frame:boolean>>"
+# What a piece gives: shown tracks (kind T), one row of counts a frame (D) and at its end the tracks made (E, in track_id).
+PIECES = f"kind string, piece long, {TRACKS}, " + ", ".join(f"{c} int" for c in COUNTS) + f", camera_motion_dx double, camera_motion_dy double, track_states {STATES}"
 
 
 @dataclass
@@ -208,28 +213,93 @@ def spine(frames: DataFrame, kept: DataFrame) -> DataFrame:
     per = kept.groupBy("stream_id", "frame_index").agg(F.array_sort(F.collect_list(boxes)).alias("d"))
     flat = F.flatten(F.transform("d", lambda b: F.array(b["cx"], b["cy"], b["w"], b["h"], b["confidence"])))
     base = frames.select("stream_id", "frame_index", "width", "height", F.coalesce("cam_dx", F.lit(0.0)).alias("dx"), F.coalesce("cam_dy", F.lit(0.0)).alias("dy"))
-    return base.join(per, ["stream_id", "frame_index"], "left").select("stream_id", "frame_index", "width", "height", "dx", "dy", flat.alias("det"))
+    return base.join(per, ["stream_id", "frame_index"], "left").select("stream_id", "frame_index", "width", "height", "dx", "dy", flat.alias("det"), F.transform("d", lambda b: b["confidence"]).alias("det_conf"))
 
 
-def run(frames: DataFrame, kept: DataFrame, config: TrackerConfig = SHIPPED, diagnostics: bool = False) -> DataFrame:
-    """Tracks (or per-frame diagnostics) of all streams; ``kept`` are detections after suppression.
+def states(state: State) -> list[dict]:
+    """All tracks of a stream as the diagnostics show them."""
+    out = []
+    for r in state.rows:
+        v = dict(zip(COLUMNS, r.tolist()))
+        out.append({
+            "track_id": int(v["id"]), "center": [round(v["x"], 3), round(v["y"], 3)], "velocity": [round(v["vx"], 3), round(v["vy"], 3)], "missing_frames": int(v["missing"]), "motion_confirmed": v["moving"] > 0,
+            "observed_this_frame": v["seen"] > 0,
+        })
+    return out
+
+
+def pieced(rows: DataFrame, longest: int, least: float, block: int = BLOCK) -> DataFrame:
+    """Adds ``piece`` to a spine. A piece begins at a frame with a detection of at least ``least`` after more than ``longest`` frames without one; frames with nothing to follow get negative pieces, by blocks.
+
+    Frames are counted as rows, as the trackers do. No window is longer than a block of ``block`` frame indices.
+    """
+    keys = ["stream_id", "_block"]
+    inner = Window.partitionBy(*keys).orderBy("frame_index")
+    before = inner.rowsBetween(Window.unboundedPreceding, -1)
+    good = F.exists("det_conf", lambda c: c >= least)
+    cut = rows.withColumn("_block", F.floor(F.col("frame_index") / block)).withColumn("_good", F.coalesce(good, F.lit(False))).withColumn("_i", F.row_number().over(inner))
+    cut = cut.withColumn("_last", F.max(F.when(F.col("_good"), F.col("_i"))).over(before)).withColumn("_new", F.col("_good") & (F.col("_i") - F.col("_last") > longest))
+    ends = cut.groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.when(F.col("_good"), F.col("_i"))).alias("first"), F.max(F.when(F.col("_good"), F.col("_i"))).alias("last"), F.max(F.when(F.col("_new"), F.col("_i"))).alias("new"))
+    earlier = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_at", F.coalesce(F.sum("c").over(earlier), F.lit(0))).withColumn("_seen", F.max(F.col("_at") + F.col("last")).over(earlier))
+    # The first detection of a block is judged by the last one of any block before.
+    opens = F.coalesce(F.col("_at") + F.col("first") - F.col("_seen") > longest, F.lit(True)) & F.col("first").isNotNull()
+    ends = ends.withColumn("_opens", F.when(opens, F.col("first")))
+    ends = ends.withColumn("_held", F.max(F.col("_at") + F.coalesce("new", "_opens")).over(earlier)).select(*keys, "_at", "_seen", "_opens", "_held")
+    both = cut.join(ends, keys)
+    start = F.when(F.col("_new") | (F.col("_i") == F.col("_opens")), F.col("_at") + F.col("_i"))
+    begun = F.coalesce(F.max(start).over(inner.rowsBetween(Window.unboundedPreceding, 0)), "_held")
+    idle = ~F.col("_good") & F.coalesce(F.col("_at") + F.col("_i") - F.coalesce(F.col("_at") + F.col("_last"), "_seen") > longest, F.lit(True))
+    return both.withColumn("piece", F.when(idle, -1 - F.col("_block")).otherwise(begun)).select(*rows.columns, "piece")
+
 
-    Frames come sorted by the shuffle and stream through a task in Arrow batches; only a stream's state is
-    held. A stream is sequential by nature, so the longest stream bounds the run time.
+def track(frames: DataFrame, kept: DataFrame, scratch: Scratch, config: TrackerConfig = SHIPPED, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Shown tracks, and per frame the 18 diagnostics, of all streams in one pass; ``kept`` are detections after suppression.
+
+    Frames come sorted by the shuffle and stream through a task in Arrow batches; only the state of one piece
+    is held. A frame index below nought, or one that stands twice in a stream, is a frame like any other, in order.
+    A stream without detections gives diagnostics alone; empty tables give none.
     """
-    schema = DIAGNOSTICS if diagnostics else TRACKS
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = State(), None
-        for pdf in batches:
-            rows: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                if r.stream_id != current:
-                    state, current = State(), r.stream_id
-                det = np.zeros(0) if r.det is None else np.asarray(r.det, float)
-                state, out, counts = step(state, det, float(r.width), float(r.height), r.dx, r.dy, config)
-                rows.extend([(r.stream_id, r.frame_index, *counts.values())] if diagnostics else track_rows(r.stream_id, r.frame_index, out, float(r.width), float(r.height), config))
-            if rows:
-                yield pd.DataFrame(rows, columns=names(schema))
-
-    return spine(frames, kept).repartition("stream_id").sortWithinPartitions("stream_id", "frame_index").mapInPandas(work, schema)
+    fields = dict(c.split(" ", 1) for c in PIECES.split(", "))
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    two = pa.list_(pa.float64())
+    shown_states = pa.list_(pa.struct([("track_id", pa.int64()), ("center", two), ("velocity", two), ("missing_frames", pa.int32()), ("motion_confirmed", pa.bool_()), ("observed_this_frame", pa.bool_())]))
+    types = [kinds.get(t, shown_states) for t in fields.values()]
+    tracks, counts = len(names(TRACKS)), len(COUNTS) + 3
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current, rows = State(), None, []
+
+        def end() -> None:
+            if current is not None and state.next_id > 1:
+                rows.append(("E", current[1], current[0], None, state.next_id - 1, *[None] * (tracks - 3 + counts)))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(fields))
+
+        for part in batches:
+            for r in part.to_pylist():
+                key = r["stream_id"], r["piece"]
+                if key != current:
+                    end()
+                    state, current = State(), key
+                det = np.zeros(0) if r["det"] is None else np.asarray(r["det"], float)
+                width, height = float(r["width"]), float(r["height"])
+                state, out, found = step(state, det, width, height, r["dx"], r["dy"], config)
+                rows += [("T", key[1], *t, *[None] * counts) for t in track_rows(key[0], r["frame_index"], out, width, height, config)]
+                rows.append(("D", key[1], key[0], r["frame_index"], *[None] * (tracks - 2), *found.values(), r["dx"], r["dy"], states(state)))
+            if len(rows) > 20_000:
+                yield batch()
+                rows.clear()
+        end()
+        if rows:
+            yield batch()
+
+    laid = pieced(spine(frames, kept), config.max_missing_frames + 1, config.low_conf, block)
+    done = scratch.cut(laid.drop("det_conf").repartition("stream_id", "piece").sortWithinPartitions("stream_id", "piece", "frame_index").mapInArrow(work, PIECES))
+    earlier = Window.partitionBy("stream_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    made = done.filter("kind = 'E'").select("stream_id", "piece", F.coalesce(F.sum("track_id").over(earlier), F.lit(0)).alias("_made"))
+    on = done.join(made, ["stream_id", "piece"], "left").withColumn("_made", F.coalesce("_made", F.lit(0)))
+    moved = F.transform("track_states", lambda t: t.withField("track_id", t["track_id"] + F.col("_made")))
+    shown = on.filter("kind = 'T'").withColumn("track_id", F.col("track_id") + F.col("_made")).select(*names(TRACKS))
+    return shown, on.filter("kind = 'D'").withColumn("track_states", moved).select("stream_id", "frame_index", *COUNTS, "camera_motion_dx", "camera_motion_dy", "track_states")

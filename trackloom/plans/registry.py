@@ -135,12 +135,18 @@ def association_anti(spark, d):
     return _det(spark, d).join(reached, [*KEYS, "det_idx"], "left_anti").filter("confidence >= 0.25").select(*KEYS, "det_idx")
 
 
+def _tracker(spark, d):
+    return tracker.track(table(spark, d, "frames"), _kept(spark, d), Scratch(spark))
+
+
 def track_multi(spark, d):
-    return tracker.run(table(spark, d, "frames"), _kept(spark, d))
+    rounded = {c: F.round(c, 4) for c in ("cx", "cy", "x1", "y1", "x2", "y2", "vx", "vy")} | {"confidence": F.round("confidence", 6)}
+    return _tracker(spark, d)[0].withColumns(rounded)
 
 
 def track_diagnostics(spark, d):
-    return tracker.run(table(spark, d, "frames"), _kept(spark, d), diagnostics=True)
+    line = lambda s: F.concat_ws(" ", s["track_id"], *[F.format_string("%.3f", s[c][i] + 0.0) for c in ("center", "velocity") for i in (0, 1)], s["missing_frames"], s["motion_confirmed"], s["observed_this_frame"])
+    return _tracker(spark, d)[1].withColumn("track_states", F.array_join(F.transform("track_states", line), "; "))
 
 
 def frame_results_json(spark, d):
@@ -267,8 +273,8 @@ def grouped_split(spark, d):
 
 
 def split_overlap_check(spark, d):
-    r = table(spark, d, "records").join(_split(spark, d), "clip_key")
-    return r.groupBy("clip_key").agg(F.countDistinct("clean_split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("overlap"))
+    """Source frames that the split by clip leaves in two splits, as they are filed under two clips: measured, by frame and clip."""
+    return cleaning.split_overlap(table(spark, d, "records"), _split(spark, d))
 
 
 def split_counts(spark, d):
@@ -360,7 +366,8 @@ def homography_fit(spark, d):
 
 
 def track_single(spark, d):
-    return single.run(table(spark, d, "frames"), _kept(spark, d))
+    rounded = {c: F.round(c, 4) for c in ("cx", "cy", "vx", "vy")} | {"confidence": F.round("confidence", 6)}
+    return single.run(table(spark, d, "frames"), _kept(spark, d)).withColumns(rounded)
 
 
 QUERIES = {

@@ -1,5 +1,7 @@
 """SQL for the queries of the registry, written from the definitions."""
 
+from . import tracker_sql as T
+
 _DET = "det AS (SELECT * FROM detections QUALIFY row_number() OVER (PARTITION BY stream_id, frame_index, det_idx ORDER BY source NULLS LAST, x1, y1) = 1)"
 _KEEP = "kept AS (SELECT * FROM det WHERE confidence >= 0.15 AND class_id = 0)"
 _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY confidence DESC, det_idx) rk FROM kept)"
@@ -51,7 +53,25 @@ _PLANE = f"plane AS (SELECT *, CASE WHEN ({_U}) BETWEEN -20 AND 40 AND ({_V}) BE
 _CANDIDATES = f"""WITH {_DET}, cand AS (SELECT n.stream_id, n.frame_index, n.det_idx, p.det_idx prev_idx, sqrt(pow(n.cx - p.cx, 2) + pow(n.cy - p.cy, 2)) distance
   FROM det n JOIN det p ON n.stream_id = p.stream_id AND n.frame_index = p.frame_index + 1 WHERE sqrt(pow(n.cx - p.cx, 2) + pow(n.cy - p.cy, 2)) <= 55)"""
 
+_BOUNCES = f"""WITH RECURSIVE {_T}, {_FIN}, s AS (SELECT *, lead(frame_index, 5) OVER w decided_at, count(*) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) nb, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) na,
+  max(cy) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) mb, max(cy) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) ma, min(cy) OVER (w ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) mi FROM fin WHERE status = 'observed' {_W}),
+c AS (SELECT stream_id, track_id, decided_at, row_number() OVER (PARTITION BY stream_id, track_id ORDER BY decided_at) n FROM s WHERE nb = 5 AND na = 5 AND cy > mb AND cy >= ma AND mi > 0),
+f AS (SELECT stream_id, track_id, n, decided_at frame_index, decided_at kept, true yes FROM c WHERE n = 1
+  UNION ALL SELECT c.stream_id, c.track_id, c.n, c.decided_at, CASE WHEN c.decided_at - f.kept >= 15 THEN c.decided_at ELSE f.kept END, c.decided_at - f.kept >= 15 FROM f JOIN c ON f.stream_id = c.stream_id AND f.track_id = c.track_id AND c.n = f.n + 1)
+SELECT stream_id, track_id, frame_index FROM f WHERE yes"""
+# The adjugate of the test plane, times x = cx / 100 and y = cy / 30.
+_INVERSE = f"""WITH {_DET}, p AS (SELECT *, 0.016::DOUBLE a, 0.001::DOUBLE b, -1::DOUBLE c, 0.0005::DOUBLE d, 0.05::DOUBLE e, -2::DOUBLE f, 0.00001::DOUBLE g, 0.0002::DOUBLE i, 1::DOUBLE j, cx / 100 x, cy / 30 y FROM det),
+q AS (SELECT *, (e * j - f * i) * x + (c * i - b * j) * y + (b * f - c * e) u, (f * g - d * j) * x + (a * j - c * g) * y + (c * d - a * f) v, (d * i - e * g) * x + (b * g - a * i) * y + (a * e - b * d) w FROM p)
+SELECT stream_id, frame_index, det_idx, round(u / w, 2) x, round(v / w, 2) y FROM q"""
+_SPLITS = "WITH RECURSIVE " + T.grouped_split()
+
 ORACLE = {
+    "track_multi": T.tracker(_DEDUP) + T.TRACKS,
+    "track_diagnostics": T.tracker(_DEDUP) + T.DIAGNOSTICS,
+    "track_single": T.single(_DEDUP),
+    "bounce_events": _BOUNCES,
+    "homography_inverse": _INVERSE,
+    "grouped_split": _SPLITS + f"SELECT clip_key, {T.SPLIT_NAME} clean_split FROM placed",
     "det_conf_tiers": f"WITH {_DET} SELECT stream_id, CASE WHEN confidence >= 0.25 THEN 'high' WHEN confidence >= 0.15 THEN 'low' ELSE 'none' END tier, count(*) n FROM det GROUP BY ALL",
     "det_filter": f"WITH {_DET}, {_KEEP} SELECT stream_id, frame_index, det_idx, confidence FROM kept WHERE NOT (cx BETWEEN 100 AND 400 AND cy BETWEEN 100 AND 300)",
     "det_box_forms": f"""WITH {_DET} SELECT stream_id, frame_index, det_idx, round(cx - (x2 - x1) / 2, 4) bx1, round(cy - (y2 - y1) / 2, 4) by1, round(cx + (x2 - x1) / 2, 4) bx2, round(cy + (y2 - y1) / 2, 4) by2,
@@ -125,7 +145,8 @@ SELECT record_id, len(list_distinct(good))::INT boxes, ig ignored, 0 converted,
     "dedup_stats": f"SELECT count(*) frames, sum(n - 1)::BIGINT variants_removed, count(*) FILTER (s > 1) leaking, count(*) FILTER (b > 1) disagreeing FROM (SELECT count(*) n, count(DISTINCT original_split) s, count(DISTINCT {_N}) b FROM records WHERE source_key IS NOT NULL GROUP BY source_key)",
     "exact_stats": "SELECT count(*) images, sum(n - 1)::BIGINT duplicates_removed, count(*) FILTER (b > 1) disagreeing FROM (SELECT count(*) n, count(DISTINCT coalesce(boxes, [])) b FROM records WHERE image_hash IS NOT NULL GROUP BY image_hash)",
     "negative_cap": f"SELECT record_id FROM ({_CAP.format('records')})",
-    "split_overlap_check": "SELECT 0 overlap",
+    "split_overlap_check": _SPLITS + """, j AS (SELECT clip_key, source_key, k FROM records JOIN placed USING (clip_key))
+SELECT (SELECT count(*) FROM (SELECT clip_key FROM j GROUP BY clip_key HAVING count(DISTINCT k) > 1)) clips, (SELECT count(*) FROM (SELECT source_key FROM j WHERE source_key IS NOT NULL GROUP BY source_key HAVING count(DISTINCT k) > 1)) frames""",
     "split_counts": "SELECT assigned_split, source, count(*) n, grouping_id(assigned_split, source) level FROM records GROUP BY ROLLUP (assigned_split, source)",
     "manifest": f"SELECT record_id, assigned_split clean_split, original_split, source, source_key, clip_key, {_N}::INT boxes, ignored_objects, image_hash, lower(source) || '__' || substr(sha1(image), 1, 16) target FROM records",
     "label_lines": "SELECT record_id, array_to_string(list_transform(boxes, lambda b: printf('0 %.8f %.8f %.8f %.8f', round(b.x, 5), round(b.y, 5), round(b.w, 5), round(b.h, 5))), chr(10)).replace('nan', 'NaN') label_text FROM records",
