@@ -81,3 +81,35 @@ def zone(x: Column, y: Column) -> Column:
     out = (x < -0.1) | (x > 20.1) | (y < -0.1) | (y > 44.1)
     name = F.when(x.isNull() | y.isNull(), "unknown").when(out, "out_of_court").when(y < 15, F.concat(F.lit("far_"), side)).when(y < 22, "far_nvz").when(y < 29, "near_nvz").otherwise(F.concat(F.lit("near_"), side))
     return F.struct(name.alias("zone"), (~name.isin("unknown", "out_of_court")).alias("is_in_court"), name.isin("far_nvz", "near_nvz").alias("is_nvz"))
+
+
+def foot(x1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """Middle of a box's lower edge; null where a side is."""
+    return (x1 + x2) / 2, F.when(x1.isNotNull() & x2.isNotNull(), y2)
+
+
+def anchor(x1: Column, x2: Column, y2: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
+    """The point that is projected: the middle of the box's lower edge, else the center, else null."""
+    u, v = foot(x1, x2, y2)
+    boxed = u.isNotNull() & v.isNotNull()
+    return F.when(boxed, u).otherwise(cx), F.when(boxed, v).otherwise(cy)
+
+
+def camera_gate(dx: Column, dy: Column, inliers: Column | None = None, least_inliers: int = 20, most_shift: float = 80.0) -> tuple[Column, Column, Column]:
+    """Whether a frame's camera motion counts, and what is left of it: enough inliers (where they are known) and not beyond ``most_shift`` (0: no limit). Null motion doesn't count."""
+    counts = F.lit(True) if most_shift == 0 else F.hypot(dx, dy) <= most_shift
+    if inliers is not None:
+        counts = counts & (inliers >= least_inliers)
+    counts = F.coalesce(counts & dx.isNotNull() & dy.isNotNull(), F.lit(False))
+    return counts, F.when(counts, dx).otherwise(0.0), F.when(counts, dy).otherwise(0.0)
+
+
+def marker(track_id: Column, x1: Column, y1: Column, x2: Column, y2: Column, colours: int = 7) -> tuple[Column, Column]:
+    """Number of a track's colour, and the radius of its mark: half the longest side, from 5 to 15 whole pixels, 7 without a box."""
+    half = (F.greatest(F.bround(x2) - F.bround(x1), F.bround(y2) - F.bround(y1)) / 2).cast("int")
+    return F.pmod(F.coalesce(track_id, F.lit(0)) - 1, F.lit(colours)), F.when(x1.isNull(), 7).otherwise(F.greatest(F.lit(5), F.least(F.lit(15), half)))
+
+
+def timestamp(frame_index: Column, fps: Column) -> Column:
+    """Seconds of a frame; a rate of nought or none counts as 30."""
+    return frame_index / F.when(fps > 0, fps).otherwise(30.0)

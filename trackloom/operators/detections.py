@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inside
+from .blocks import numbered
 
 FRAME = ["stream_id", "frame_index"]
 
@@ -57,8 +58,34 @@ def nms(detections: DataFrame, iou: float = 0.5) -> DataFrame:
 
 def sampled(frames: DataFrame, interval: int) -> DataFrame:
     """``detector_skipped``: the detector runs on every interval-th processed frame of a stream, counted, not by index."""
-    n = F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_index")) - 1
-    return frames.select(*FRAME, (n % max(1, interval) != 0).alias("detector_skipped"))
+    return numbered(frames.select(*FRAME), ["stream_id"], "frame_index").select(*FRAME, ((F.col("n") - 1) % max(1, interval) != 0).alias("detector_skipped"))
+
+
+def none(frames: DataFrame) -> DataFrame:
+    """The detector that finds nothing: no rows, with the columns of detections."""
+    return frames.select(*FRAME, *[F.lit(None).cast(t).alias(n) for n, t in (("det_idx", "int"), *((c, "double") for c in ("x1", "y1", "x2", "y2", "cx", "cy", "confidence")), ("source", "string"), ("class_id", "int"))]).filter(F.lit(False))
+
+
+def guarded(detections: DataFrame, failed: DataFrame, strict: bool = True) -> DataFrame:
+    """Detections of a detector that fails: from a stream's first failure on (stream_id, frame_index in ``failed``) it gives nothing more. ``strict`` stops the run at a failure instead."""
+    first = failed.groupBy("stream_id").agg(F.min("frame_index").alias("_off"))
+    joined = detections.join(first, "stream_id", "left")
+    if strict:
+        stop = F.when(F.col("_off").isNotNull(), F.raise_error(F.concat(F.lit("the detector failed in "), "stream_id"))).otherwise(F.lit(True))
+        return joined.filter(stop).drop("_off")
+    return joined.filter("_off IS NULL OR frame_index < _off").drop("_off")
+
+
+def as_rows(heads: DataFrame) -> DataFrame:
+    """Raw two-dimensional outputs (stream_id, frame_index, ``head`` array<array<double>>) -> one row per candidate: ``row, output``.
+
+    Rows of six are finished candidates; else a head with fewer rows than columns, and at most 256 of them, has
+    candidates in its columns and is turned. A dimension of one around the head must be gone.
+    """
+    rows, columns = F.size("head"), F.size(F.get("head", F.lit(0)))
+    turned = (columns != 6) & (rows < columns) & (rows <= 256)
+    across = F.expr("transform(sequence(0, size(head[0]) - 1), c -> transform(head, r -> r[c]))")
+    return heads.filter("size(head) > 0").select(*FRAME, F.posexplode(F.when(turned, across).otherwise(F.col("head"))).alias("row", "output"))
 
 
 def decode_scores(raw: DataFrame, threshold: float) -> DataFrame:

@@ -12,6 +12,46 @@ def latency(timings: DataFrame, warmup: int = 20, by: list[str] | None = None) -
     return timings.filter(F.col("frame_index") >= warmup).groupBy(*(by or [])).agg(*agg)
 
 
+def latency_report(timings: DataFrame, warmup: int = 20, by: list[str] | None = None) -> DataFrame:
+    """Figures of the pipeline (``ms``) from ``frame_index`` >= warmup on, and of the detector (``detector_ms``) over those of them it wasn't skipped on; 0 where it never ran."""
+    ran = F.when(~F.col("detector_skipped"), F.col("detector_ms"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    mean = F.avg("ms")
+    return timings.filter(F.col("frame_index") >= warmup).groupBy(*(by or [])).agg(
+        F.count("ms").alias("measured_frames"), mean.alias("pipeline_ms_mean"), F.percentile("ms", F.lit(0.5)).alias("pipeline_ms_p50"), F.percentile("ms", F.lit(0.95)).alias("pipeline_ms_p95"), (1000 / mean).alias("throughput_fps"),
+        zero(F.avg(ran)).alias("detector_ms_mean"), zero(F.percentile(ran, F.lit(0.95))).alias("detector_ms_p95"),
+    )
+
+
+def throughput(frames: DataFrame) -> DataFrame:
+    """Frames, seconds from the first to the last time, and frames a second of each stream; null without two times."""
+    span = F.max("ts_s") - F.min("ts_s")
+    return frames.groupBy("stream_id").agg(F.count("*").alias("processed"), span.alias("elapsed_s"), F.when(span > 0, F.count("*") / span).alias("fps"))
+
+
+def compare(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Two trackers (keys ``by``, frame_index, x, y; one row a frame) side by side: frames that both, only one or the other have, and how far apart they are."""
+    both = a.select(*by, "frame_index", F.col("x").alias("ax"), F.col("y").alias("ay")).join(b.select(*by, "frame_index", F.col("x").alias("bx"), F.col("y").alias("by")), [*by, "frame_index"], "full")
+    in_a, in_b = F.col("ax").isNotNull(), F.col("bx").isNotNull()
+    far = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    return both.groupBy(*by).agg(F.count_if(in_a & in_b).alias("both"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(in_b & ~in_a).alias("only_b"), F.avg(far).alias("mean_distance"), F.max(far).alias("max_distance"))
+
+
+def stop_at_failure(runs: DataFrame, fail_fast: bool) -> DataFrame:
+    """Runs (position, stream_id, status) of a batch as its policy leaves them: all of them, or up to the first failure (the others are ``not_run``)."""
+    if not fail_fast:
+        return runs
+    first = runs.filter("status = 'failed'").agg(F.min("position").alias("_stop"))
+    return runs.crossJoin(F.broadcast(first)).withColumn("status", F.when(F.col("position") > F.col("_stop"), "not_run").otherwise(F.col("status"))).drop("_stop")
+
+
+def run_metadata(report: DataFrame, values: dict[str, str | int | float | bool | None]) -> DataFrame:
+    """One JSON line per row of a benchmark or export report, with the run's own values (paths, sizes, arguments) and when it was made (UTC)."""
+    own = [F.lit(v).alias(k) for k, v in values.items()]
+    made = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("created_at")
+    return report.select(F.to_json(F.struct(made, *own, *report.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def gate(current: DataFrame, baseline: DataFrame, map50_drop: float = 0.015, recall_drop: float = 0.02) -> DataFrame:
     """Joins two tables of (model, map50, recall); a drop beyond a limit rejects. Missing figures count as 0."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))

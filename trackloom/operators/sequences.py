@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import carried, haloed
+
 KEYS = ["stream_id", "track_id"]
 
 
@@ -36,11 +41,65 @@ def bounce_shape(tracks: DataFrame, half: int = 5) -> DataFrame:
     return seen.withColumn("bounce", shape).withColumn("decided_at", decided).filter("bounce").select(*KEYS, "frame_index", "decided_at", "cy")
 
 
+def folded(rows: DataFrame, keys: list[str], order: str, values: list[str], schema: str, begin: Callable[[], Callable]) -> DataFrame:
+    """A fold along each sequence, in time linear in its length: ``begin()`` gives a fresh function for a sequence, which takes a row's (order, *values) and returns the columns after ``keys, order``, or None to leave the row out.
+
+    Rows come sorted by the shuffle and stream through a task; only the fold's own state is held.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+    types = [kinds.get(c.split()[1], pa.list_(pa.string())) for c in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, take = None, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out: list[tuple] = []
+            for key, rest in zip(zip(*columns[: len(keys)]), zip(*columns[len(keys) :])):
+                if key != current:
+                    current, take = key, begin()
+                got = take(*rest)
+                if got is not None:
+                    out.append((*key, rest[0], *got))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return rows.select(*keys, order, *values).repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(work, schema)
+
+
 def bounces(tracks: DataFrame, half: int = 5, least_gap: int = 15) -> DataFrame:
     """Candidates at least ``least_gap`` frames after the last one kept, by a fold over a track's few candidates."""
-    shape = bounce_shape(tracks, half).groupBy(*KEYS).agg(F.array_sort(F.collect_list("decided_at")).alias("at"))
-    kept = f"aggregate(at, cast(array() as array<bigint>), (kept, t) -> if(size(kept) = 0 or t - element_at(kept, -1) >= {least_gap}, concat(kept, array(t)), kept))"
-    return shape.select(*KEYS, F.explode(F.expr(kept)).alias("frame_index"))
+
+    def begin() -> Callable:
+        last: list[int] = []
+
+        def take(at: int) -> tuple | None:
+            if last and at - last[0] < least_gap:
+                return None
+            last[:] = [at]
+            return ()
+
+        return take
+
+    shape = bounce_shape(tracks, half).select(*KEYS, F.col("decided_at").alias("frame_index"))
+    return folded(shape, KEYS, "frame_index", [], "stream_id string, track_id long, frame_index long", begin)
+
+
+def smoothed_points(points: DataFrame, keys: list[str], alpha: float = 0.35) -> DataFrame:
+    """Exponential mean of x and y along each point's frames (``keys``: stream_id and a whole number); it never expires. Rows without x or y leave it as it is and have no row."""
+
+    def begin() -> Callable:
+        at: list[float] = []
+
+        def take(_, x: float | None, y: float | None) -> tuple | None:
+            if x is None or y is None:
+                return None
+            at[:] = [alpha * x + (1 - alpha) * at[0], alpha * y + (1 - alpha) * at[1]] if at else [x, y]
+            return tuple(at)
+
+        return take
+
+    return folded(points, keys, "frame_index", ["x", "y"], f"{keys[0]} string, {keys[1]} long, frame_index long, sx double, sy double", begin)
 
 
 def leave_side(tracks: DataFrame, frames: DataFrame, margin: float = 12.0) -> DataFrame:
@@ -68,20 +127,43 @@ def smoothed(tracks: DataFrame, window: int = 3) -> DataFrame:
 
 def cached(values: DataFrame, value: str, longest: int = 30) -> DataFrame:
     """A homography (or any value) that is used again for up to ``longest`` frames: status homography, cached or unavailable; none before the first."""
-    w = Window.partitionBy("stream_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col(value).isNotNull(), F.col("frame_index")), ignorenulls=True).over(w)
-    age = F.col("frame_index") - at
-    status = F.when(at.isNull(), "none").when(age == 0, "homography").when(age <= longest, "cached").otherwise("unavailable")
-    return values.withColumn("used", F.when(age <= longest, F.last(value, ignorenulls=True).over(w))).withColumn("projection_status", status)
+    held = carried(values, ["stream_id"], "frame_index", F.when(F.col(value).isNotNull(), F.struct(F.col("frame_index").alias("at"), F.col(value).alias("v"))), "_held")
+    age = F.col("frame_index") - F.col("_held.at")
+    status = F.when(F.col("_held").isNull(), "none").when(age == 0, "homography").when(age <= longest, "cached").otherwise("unavailable")
+    return held.withColumn("used", F.when(age <= longest, F.col("_held.v"))).withColumn("projection_status", status).drop("_held")
+
+
+def rolling_rate(frames: DataFrame, length: int = 30) -> DataFrame:
+    """``fps``: mean of the last ``length`` rates from frame to frame; frames without a time are left out, steps that don't rise count for nothing."""
+    timed = frames.filter("ts_s IS NOT NULL").select("stream_id", "frame_index", "ts_s")
+    spread, keys = haloed(timed, ["stream_id"], "frame_index", length)
+    w = Window.partitionBy(*keys).orderBy("frame_index")
+    step = F.col("ts_s") - F.lag("ts_s").over(w)
+    rated = spread.withColumn("_r", F.when(step > 0, 1 / step))
+    return rated.withColumn("fps", F.avg("_r").over(w.rowsBetween(-(length - 1), 0))).filter("NOT halo").select("stream_id", "frame_index", "fps")
 
 
 def kalman_smooth(tracks: DataFrame, process_noise: float = 12.0, measurement_noise: float = 4.0) -> DataFrame:
-    """Constant-velocity filter along each track: positions after each frame, predicted where nothing was observed. A fold on the JVM; covariance is shared by both axes."""
+    """Constant-velocity filter along each track: positions after each frame, predicted where nothing was observed; null until something was. Covariance is shared by both axes."""
     q, r = process_noise**2, measurement_noise**2
-    rows = tracks.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("frame_index", "cx", "cy"))).alias("seq"))
-    first = "named_struct('x', seq[0].cx, 'y', seq[0].cy, 'vx', 0D, 'vy', 0D, 'a', 100D, 'b', 0D, 'c', 100D)"
-    predict = f"named_struct('x', s.s.x + s.s.vx, 'y', s.s.y + s.s.vy, 'vx', s.s.vx, 'vy', s.s.vy, 'a', s.s.a + 2 * s.s.b + s.s.c + {q / 4}D, 'b', s.s.b + s.s.c + {q / 2}D, 'c', s.s.c + {q}D)"
-    update = f"named_struct('x', p.x + p.a / (p.a + {r}D) * (m.cx - p.x), 'y', p.y + p.a / (p.a + {r}D) * (m.cy - p.y), 'vx', p.vx + p.b / (p.a + {r}D) * (m.cx - p.x), 'vy', p.vy + p.b / (p.a + {r}D) * (m.cy - p.y), 'a', p.a * {r}D / (p.a + {r}D), 'b', p.b * {r}D / (p.a + {r}D), 'c', p.c - p.b * p.b / (p.a + {r}D))"
-    fold = f"""aggregate(slice(seq, 2, greatest(size(seq) - 1, 0)), named_struct('s', {first}, 'out', array(named_struct('frame_index', seq[0].frame_index, 'sx', seq[0].cx, 'sy', seq[0].cy))),
-      (s, m) -> transform(array({predict}), p -> transform(array(if(m.cx is null, p, {update})), u -> named_struct('s', u, 'out', concat(s.out, array(named_struct('frame_index', m.frame_index, 'sx', u.x, 'sy', u.y)))))[0])[0]).out"""
-    return rows.select(*KEYS, F.expr(f"inline({fold})"))
+
+    def begin() -> Callable:
+        state: list[float] = []
+
+        def take(_, mx: float | None, my: float | None) -> tuple:
+            if not state:
+                if mx is not None:
+                    state[:] = [mx, my, 0.0, 0.0, 100.0, 0.0, 100.0]
+                return mx, my
+            x, y, vx, vy, a, b, c = state
+            x, y, a, b, c = x + vx, y + vy, a + 2 * b + c + q / 4, b + c + q / 2, c + q
+            if mx is not None:
+                g, k = a / (a + r), b / (a + r)
+                x, y, vx, vy = x + g * (mx - x), y + g * (my - y), vx + k * (mx - x), vy + k * (my - y)
+                a, b, c = a * r / (a + r), b * r / (a + r), c - b * k
+            state[:] = [x, y, vx, vy, a, b, c]
+            return x, y
+
+        return take
+
+    return folded(tracks, KEYS, "frame_index", ["cx", "cy"], "stream_id string, track_id long, frame_index long, sx double, sy double", begin)

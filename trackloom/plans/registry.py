@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.tracks import status_name
-from ..operators import cleaning, court, detections, metrics, sequences, single, spikes, tracker
+from ..operators import cleaning, court, detections, events, metrics, sequences, single, spikes, tracker
+from ..operators.blocks import haloed
 from ..session import Scratch, table
 from ..sources import files
 from .sql import ORACLE
@@ -76,10 +77,25 @@ def det_topk_per_frame(spark, d):
 
 
 def det_decode(spark, d):
-    score = F.array("cx", "cy", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "confidence", F.col("confidence") * F.col("class_id") * 2)
-    long = F.concat(F.slice(score, 1, 4), F.array(F.col("confidence"), F.col("confidence") * F.col("class_id") * 2, F.lit(0.01)))
-    raw = _det(spark, d).select(*KEYS, F.col("det_idx").alias("row"), long.alias("output"))
-    return detections.decode_scores(raw, 0.15).select(*KEYS, "row", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"), F.round("confidence", 6).alias("confidence"), "class_id")
+    """Heads of a frame: candidates in columns (few rows, many columns), turned and decoded."""
+    row = F.struct("det_idx", F.array("cx", "cy", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), "confidence", F.col("confidence") * F.col("class_id") * 2, F.lit(0.01)).alias("v"))
+    whole = _det(spark, d).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["v"]).alias("rows"))
+    # Padded to 300 candidates of no score, as a head has them, and laid with one row per number.
+    pad = F.array_repeat(F.array(*[F.lit(0.0)] * 7), 300 - F.size("rows"))
+    head = F.expr("transform(sequence(0, 6), c -> transform(full, r -> r[c]))")
+    heads = whole.withColumn("full", F.concat("rows", pad)).select(*KEYS, head.alias("head"))
+    return detections.decode_scores(detections.as_rows(heads), 0.15).select(*KEYS, "row", F.round("x1", 4).alias("x1"), F.round("y2", 4).alias("y2"), F.round("confidence", 6).alias("confidence"), "class_id")
+
+
+def det_none(spark, d):
+    """The detector that finds nothing, seen from the frames: no frame has a detection."""
+    return table(spark, d, "frames").join(detections.none(table(spark, d, "frames")).groupBy(*KEYS).agg(F.count("*").alias("n")), KEYS, "left").select(*KEYS, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def det_failure(spark, d):
+    """Detections up to a stream's first failure; an inference that returns a box below 4 px counts as failed here."""
+    det = _det(spark, d)
+    return detections.guarded(det, det.filter("x2 - x1 < 4"), strict=False).groupBy("stream_id").agg(F.count("*").alias("n"), F.max("frame_index").alias("last_frame"))
 
 
 def frame_sampling(spark, d):
@@ -117,8 +133,10 @@ def frame_counters(spark, d):
 
 
 def camera_gate(spark, d):
-    moved = F.coalesce(F.hypot("cam_dx", "cam_dy") <= 80.0, F.lit(False))
-    return table(spark, d, "frames").select(*KEYS, moved.alias("applied"), F.when(moved, F.col("cam_dx")).otherwise(0.0).alias("dx"), F.when(moved, F.col("cam_dy")).otherwise(0.0).alias("dy"))
+    """The gate by shift, by shift and inliers (a frame's width in tens of pixels stands for its inliers), and without a limit."""
+    dx, dy, inliers = F.col("cam_dx"), F.col("cam_dy"), F.col("width") / 100
+    a, b, c = G.camera_gate(dx, dy, most_shift=3.0), G.camera_gate(dx, dy, inliers, 15, 3.0), G.camera_gate(dx, dy, most_shift=0)
+    return table(spark, d, "frames").select(*KEYS, a[0].alias("applied"), a[1].alias("dx"), a[2].alias("dy"), b[0].alias("sure"), c[0].alias("free"), c[1].alias("free_dx"))
 
 
 def gated_candidates(spark, d):
@@ -150,13 +168,22 @@ def track_diagnostics(spark, d):
 
 
 def frame_results_json(spark, d):
-    lines = files.frame_json(table(spark, d, "frames"), _kept(spark, d).withColumn("source", F.lit("detector")), _finite(_tracks(spark, d)))
-    j = F.from_json("value", "frame_index bigint, ball_detections array<struct<det_idx:int>>, ball_tracks array<struct<track_id:bigint>>, ball_track struct<track_id:bigint>")
-    return lines.select("stream_id", j.alias("j")).select("stream_id", "j.frame_index", F.coalesce(F.greatest(F.size("j.ball_detections"), F.lit(0)), F.lit(0)).alias("detections"), F.coalesce(F.greatest(F.size("j.ball_tracks"), F.lit(0)), F.lit(0)).alias("tracks"), F.col("j.ball_track.track_id").alias("single"))
+    """Lines of frames with their diagnostics, read back field by field."""
+    t = _finite(_tracks(spark, d)).withColumn("hits", F.lit(1))
+    camera = table(spark, d, "frames").select(*KEYS, "cam_dx")
+    lines = files.frame_json(table(spark, d, "frames"), _kept(spark, d).withColumn("source", F.lit("detector")), t, camera)
+    schema = "frame_index bigint, timestamp double, ball_detections array<struct<bbox:array<double>,center:array<double>,confidence:double,source:string>>, ball_tracks array<struct<track_id:bigint,status:string,center:array<double>,velocity:array<double>,roi:array<double>,hits:int>>, ball_track struct<track_id:bigint,confidence:double>, diagnostics struct<cam_dx:double>, width int"
+    j = lines.select("stream_id", F.from_json("value", schema).alias("j"), (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"roi":null'), F.lit("")))).alias("nulls"))
+    first = F.get("j.ball_tracks", F.lit(0))
+    best = F.get("j.ball_detections", F.lit(0))
+    return j.select(
+        "stream_id", "j.frame_index", F.size("j.ball_detections").alias("detections"), F.size("j.ball_tracks").alias("tracks"), F.col("j.ball_track.track_id").alias("single"), F.round("j.ball_track.confidence", 6).alias("single_confidence"), first["status"].alias("status"), F.round(first["center"][0], 4).alias("cx"),
+        F.round(first["velocity"][1], 4).alias("vy"), F.round(best["bbox"][2], 4).alias("x2"), best["source"].alias("source"), F.round("j.timestamp", 4).alias("timestamp"), F.round("j.diagnostics.cam_dx", 6).alias("cam_dx"), F.col("j.width").alias("width"), (F.col("nulls") / 10).cast("int").alias("nulls"),
+    )
 
 
 def track_trails(spark, d):
-    return sequences.trails(_finite(_tracks(spark, d)), 30).select("stream_id", "track_id", "frame_index", F.size("trail").alias("points"), F.round(F.get("trail", F.lit(0))["cx"], 4).alias("first_x"))
+    return sequences.trails(_finite(_tracks(spark, d)), 30).select("stream_id", "track_id", "frame_index", F.size("trail").alias("points"), F.array_join(F.transform("trail", lambda p: F.format_string("%.3f %.3f", p["cx"], p["cy"])), "; ").alias("trail"))
 
 
 def status_counts(spark, d):
@@ -231,13 +258,35 @@ def homography_cache(spark, d):
     return sequences.cached(v, "h").select(*KEYS, "used", "projection_status")
 
 
-def label_parse(spark, d):
+def _labels(spark, d):
+    """Label text of every record: boxes that are wider than high as outlines, ignored objects as lines of another class, and a null box as a line without numbers."""
     r, s = table(spark, d, "records"), table(spark, d, "sources")
-    good = F.filter("boxes", lambda b: b["w"].isNotNull())
-    line = F.transform(good, lambda b: F.format_string("%d %.5f %.5f %.5f %.5f", F.col("ball_class"), b["x"], b["y"], b["w"], b["h"]))
-    text = F.concat(F.coalesce(F.array_join(line, "\n"), F.lit("")), F.lit("\n\n"), F.array_join(F.array_repeat(F.lit("9 0.5 0.5 0.1 0.1"), F.coalesce(F.col("ignored_objects"), F.lit(0))), "\n"))
-    p = cleaning.parse_labels(r.join(s, r["source"] == s["short_name"]).select("record_id", "ball_class", text.alias("label_text")))
-    return p.select("record_id", F.size("parsed.boxes").alias("boxes"), "parsed.ignored", "parsed.converted", "parsed.errors")
+    corner = lambda b, sx, sy: F.concat_ws(" ", F.format_string("%.6f", b["x"] + sx * b["w"] / 2), F.format_string("%.6f", b["y"] + sy * b["h"] / 2))
+
+    def line(b):
+        box = F.format_string("%d %.5f %.5f %.5f %.5f", F.col("ball_class"), b["x"], b["y"], b["w"], b["h"])
+        outline = F.concat_ws(" ", F.col("ball_class").cast("string"), *[corner(b, x, y) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+        return F.when(b["w"].isNull() | b["h"].isNull() | b["x"].isNull() | b["y"].isNull(), "none").when(b["w"] > b["h"], outline).otherwise(box)
+
+    text = F.concat(F.coalesce(F.array_join(F.transform("boxes", line), "\n"), F.lit("")), F.lit("\r\n\n"), F.array_join(F.array_repeat(F.lit("9 0.5 0.5 0.1 0.1"), F.coalesce(F.col("ignored_objects"), F.lit(0))), "\n"))
+    parsed = cleaning.parse_labels(r.join(s, r["source"] == s["short_name"]).select(*r.columns, "ball_class", text.alias("label_text")))
+    return parsed.withColumns({"boxes": F.col("parsed.boxes"), "ignored": F.col("parsed.ignored"), "converted": F.col("parsed.converted"), "errors": F.col("parsed.errors"), "messages": F.col("parsed.messages")})
+
+
+def label_parse(spark, d):
+    return _labels(spark, d).select("record_id", F.size("boxes").alias("boxes"), "ignored", "converted", "errors", F.array_join("messages", "; ").alias("messages"), F.round(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["w"] + 2 * b["y"]), 8).alias("sum"))
+
+
+def label_errors(spark, d):
+    return cleaning.error_list(_labels(spark, d)).select("record_id", "error")
+
+
+def court_labels(spark, d):
+    """Lines of court points made from boxes: one in a picture with a single box lacks a value, others have a second class."""
+    b = lambda i: F.get("boxes", F.lit(i))
+    values = F.array_join(F.array_repeat(F.format_string("%.5f", b(0)["x"]), 39), " ")
+    text = F.when(F.size("boxes") == 1, F.concat(F.lit("0 "), values)).when(F.size("boxes") == 2, F.concat(F.lit("1 0.5 "), values)).when(F.size("boxes") > 2, F.concat(F.lit("0 0.5 "), values, F.lit("\n0 x "), values))
+    return cleaning.parse_court_labels(table(spark, d, "records").filter("boxes IS NULL OR NOT exists(boxes, b -> b.x IS NULL)").select("record_id", text.alias("label_text"))).select("record_id", "court_error")
 
 
 def norm_source_key(spark, d):
@@ -290,20 +339,95 @@ def label_lines(spark, d):
 
 
 def source_audit(spark, d):
-    return cleaning.audit(table(spark, d, "records"))
+    return cleaning.audit(_labels(spark, d))
+
+
+def negative_stats(spark, d):
+    return cleaning.negative_stats(table(spark, d, "records"))
+
+
+def cleaned_splits(spark, d):
+    """Counts of the split that the job makes."""
+    done = cleaning.clean(table(spark, d, "records"), table(spark, d, "sources"))
+    return cleaning.split_counts(done.filter("clean_split IS NOT NULL"), "clean_split")
 
 
 def clean_pipeline(spark, d):
-    """Variants, exact copies, negative cap: records kept per source and split, in one plan."""
-    r, s = table(spark, d, "records"), table(spark, d, "sources")
-    kept = cleaning.limit_negatives(cleaning.best_exact(cleaning.best_variant(r), s), 0.25)
-    return kept.groupBy("source", "original_split").agg(F.count("*").alias("records"))
+    """Variants, exact copies, negative cap, split by clip: records kept per source and splits."""
+    done = cleaning.clean(table(spark, d, "records"), table(spark, d, "sources"))
+    return done.groupBy("source", "original_split", "clean_split").agg(F.count("*").alias("records"))
+
+
+def cleaning_report(spark, d):
+    """The whole job from label text on, as the rows of its report."""
+    return cleaning.report_rows(_labels(spark, d), table(spark, d, "sources"))
+
+
+def _timings(spark, d):
+    """Times of frames from the frames themselves: milliseconds since the frame before; the detector takes the camera's shift, and is skipped where that isn't known."""
+    from pyspark.sql import Window
+
+    spread, keys = haloed(table(spark, d, "frames").select(*KEYS, "ts_s", "cam_dx"), ["stream_id"], "frame_index", 1)
+    step = (F.col("ts_s") - F.lag("ts_s").over(Window.partitionBy(*keys).orderBy("frame_index"))) * 1000
+    return spread.withColumn("ms", step).filter("NOT halo AND ms > 0").select(*KEYS, "ms", F.abs("cam_dx").alias("detector_ms"), F.col("cam_dx").isNull().alias("detector_skipped"))
 
 
 def latency_summary(spark, d):
-    t = table(spark, d, "frames").select("stream_id", "frame_index", (F.abs("cam_dx") + 5).alias("ms")).filter("ms IS NOT NULL")
-    m = metrics.latency(t, 20, ["stream_id"])
-    return m.select("stream_id", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms", "fps")])
+    m = metrics.latency_report(_timings(spark, d), 20, ["stream_id"])
+    return m.select("stream_id", "measured_frames", *[F.round(c, 6).alias(c) for c in m.columns[2:]])
+
+
+def throughput(spark, d):
+    return metrics.throughput(table(spark, d, "frames")).select("stream_id", "processed", F.round("elapsed_s", 6).alias("elapsed_s"), F.round("fps", 6).alias("fps"))
+
+
+def ab_compare(spark, d):
+    """Delivered tracks against the most confident detections, frame by frame."""
+    a = _finite(_tracks(spark, d)).groupBy(*KEYS).agg(F.min_by("cx", "track_id").alias("x"), F.min_by("cy", "track_id").alias("y"))
+    b = metrics.best_detection(_det(spark, d)).select(*KEYS, F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return metrics.compare(a, b, ["stream_id"]).select("stream_id", "both", "only_a", "only_b", F.round("mean_distance", 4).alias("mean_distance"), F.round("max_distance", 4).alias("max_distance"))
+
+
+def _watched(spark, d):
+    """One row a frame: the first track of it, the picture, and the projection status of a plane that comes with every known camera shift."""
+    t = _tracks(spark, d).groupBy(*KEYS).agg(F.min_by(F.struct("status", "cx", "cy"), "track_id").alias("t"))
+    plane = sequences.cached(table(spark, d, "frames").select(*KEYS, "width", "height", F.when(F.col("cam_dx") > 1.5, F.col("cam_dx")).alias("h")), "h")
+    return plane.join(t, KEYS, "left").select(*KEYS, "t.status", "t.cx", "t.cy", "width", "height", "projection_status")
+
+
+def event_flags(spark, d):
+    return events.flags(_watched(spark, d))
+
+
+def frame_events(spark, d):
+    return events.events(_watched(spark, d))
+
+
+def projection_anchor(spark, d):
+    """Foot of a delivered box, else the center."""
+    w = table(spark, d, "ball_tracks").filter("track_id IS NOT NULL")
+    b = lambda i: F.get("bbox", F.lit(i))
+    c = lambda i: F.get("center", F.lit(i))
+    u, v = G.anchor(b(0), b(2), b(3), c(0), c(1))
+    colour, radius = G.marker(F.col("track_id"), b(0), b(1), b(2), b(3))
+    return w.select("row_id", F.round(u, 4).alias("u"), F.round(v, 4).alias("v"), colour.alias("colour"), radius.alias("radius"))
+
+
+def keypoint_ema(spark, d):
+    return sequences.smoothed_points(_finite(_tracks(spark, d)).select("stream_id", "track_id", "frame_index", F.col("cx").alias("x"), F.col("cy").alias("y")), ["stream_id", "track_id"])
+
+
+def frame_timestamp(spark, d):
+    return table(spark, d, "frames").select(*KEYS, F.round(G.timestamp(F.col("frame_index"), F.when(F.col("cam_dx").isNotNull(), F.col("width") / 32)), 6).alias("t"))
+
+
+def court_observations(spark, d):
+    o = court.observations(_keypoints(spark, d), "manual")
+    return o.select("stream_id", F.array_join(F.transform("visible_indices", lambda i: i.cast("string")), " ").alias("visible"), "num_visible", "is_reliable", "source")
+
+
+def court_lines(spark, d):
+    return court.lines(spark, "top").select("line", "a", "b", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("length"))
 
 
 def regression_gate(spark, d):
@@ -321,22 +445,26 @@ def skip_existing(spark, d):
 
 
 def rolling_fps(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("stream_id").orderBy("frame_index")
-    dt = F.col("ts_s") - F.lag("ts_s").over(w)
-    f = table(spark, d, "frames").filter("ts_s IS NOT NULL").withColumn("fps", F.when(dt > 0, 1 / dt))
-    return f.select(*KEYS, F.round(F.avg("fps").over(w.rowsBetween(-29, 0)), 3).alias("smooth_fps"))
+    return sequences.rolling_rate(table(spark, d, "frames")).select(*KEYS, F.round("fps", 3).alias("smooth_fps"))
 
 
 def best_detection(spark, d):
     return metrics.best_detection(_det(spark, d))
 
 
-def batch_summary(spark, d):
+def _runs(spark, d):
     n = _det(spark, d).groupBy("stream_id").agg(F.count("*").alias("n"))
     f = table(spark, d, "frames").select("stream_id").distinct().join(n, "stream_id", "left")
-    return metrics.batch_summary(f.select("stream_id", F.when(F.col("n").isNull(), "skipped").when(F.col("n") < 20, "failed").otherwise("succeeded").alias("status")))
+    status = F.when(F.col("n").isNull(), "skipped").when(F.col("n") < 20, "failed").otherwise("succeeded")
+    return f.select(F.col("stream_id").alias("position"), "stream_id", status.alias("status"))
+
+
+def batch_summary(spark, d):
+    return metrics.batch_summary(_runs(spark, d))
+
+
+def batch_fail_fast(spark, d):
+    return metrics.stop_at_failure(_runs(spark, d), True).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def search_region(spark, d):
@@ -373,9 +501,11 @@ def track_single(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p5_found, p5_spikes, det_conf_tiers, det_filter, det_box_forms, det_letterbox, det_crop, det_topk_per_frame, det_decode, frame_sampling, frame_range, frame_spine_gaps, pair_metrics, dedup_greedy, nms_iou, frame_counters,
-        camera_gate, gated_candidates, association_anti, track_multi, track_diagnostics, frame_results_json, track_trails, status_counts, lost_events, bounce_candidates, bounce_events, leave_side, confidence_decay, velocity_lag,
-        moving_average, kalman_smooth, track_metrics, homography_project, homography_inverse, zone_classify, homography_cache, label_parse, norm_source_key, dedup_variants, dedup_exact, dedup_stats, exact_stats, negative_cap, grouped_split,
-        split_overlap_check, split_counts, manifest, label_lines, source_audit, clean_pipeline, latency_summary, regression_gate, skip_existing, rolling_fps, best_detection, batch_summary, search_region, court_pixels, court_coverage, homography_fit, track_single,
+        p5_found, p5_spikes, det_conf_tiers, det_filter, det_box_forms, det_letterbox, det_crop, det_topk_per_frame, det_decode, det_none, det_failure, frame_sampling, frame_range, frame_spine_gaps, pair_metrics, dedup_greedy, nms_iou,
+        frame_counters, camera_gate, gated_candidates, association_anti, track_multi, track_diagnostics, frame_results_json, track_trails, status_counts, lost_events, bounce_candidates, bounce_events, leave_side, confidence_decay, velocity_lag,
+        moving_average, kalman_smooth, track_metrics, homography_project, homography_inverse, zone_classify, homography_cache, label_parse, label_errors, court_labels, norm_source_key, dedup_variants, dedup_exact, dedup_stats, exact_stats,
+        negative_cap, negative_stats, grouped_split, split_overlap_check, split_counts, cleaned_splits, manifest, label_lines, source_audit, clean_pipeline, cleaning_report, latency_summary, throughput, ab_compare, event_flags, frame_events,
+        projection_anchor, keypoint_ema, frame_timestamp, court_observations, court_lines, regression_gate, skip_existing, rolling_fps, best_detection, batch_summary, batch_fail_fast, search_region, court_pixels, court_coverage, homography_fit,
+        track_single,
     )
 }

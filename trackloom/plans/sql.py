@@ -64,6 +64,66 @@ _INVERSE = f"""WITH {_DET}, p AS (SELECT *, 0.016::DOUBLE a, 0.001::DOUBLE b, -1
 q AS (SELECT *, (e * j - f * i) * x + (c * i - b * j) * y + (b * f - c * e) u, (f * g - d * j) * x + (a * j - c * g) * y + (c * d - a * f) v, (d * i - e * g) * x + (b * g - a * i) * y + (a * e - b * d) w FROM p)
 SELECT stream_id, frame_index, det_idx, round(u / w, 2) x, round(v / w, 2) y FROM q"""
 _SPLITS = "WITH RECURSIVE " + T.grouped_split()
+_CLEANED = f"""v AS MATERIALIZED ({_VARIANTS}), e AS MATERIALIZED ({_EXACT.format("v")}), c AS MATERIALIZED ({_CAP.format("e")}), """
+_CLEAN = "WITH RECURSIVE " + _CLEANED + T.grouped_split("c") + f", done AS (SELECT c.*, {T.SPLIT_NAME} named, CASE WHEN k IS NOT NULL THEN named END clean_split FROM c LEFT JOIN placed USING (clip_key))\n"
+# Lines of label text, box by box, as the registry writes them, and what becomes of each.
+_IN = "b.v.{0} BETWEEN 0 AND 1"
+_BOXED = """lines AS (SELECT r.*, list_transform(coalesce(boxes, []), lambda b, i: {'n': i, 'none': b.x IS NULL OR b.y IS NULL OR b.w IS NULL OR b.h IS NULL, 'wide': b.w > b.h, 'odd': NOT (isfinite(b.x) AND isfinite(b.y) AND isfinite(b.w) AND isfinite(b.h)),
+    'v': {'x': round(CASE WHEN isfinite(b.x) THEN b.x END::DECIMAL(18, 9), 5)::DOUBLE, 'y': round(CASE WHEN isfinite(b.y) THEN b.y END::DECIMAL(18, 9), 5)::DOUBLE, 'w': round(CASE WHEN isfinite(b.w) THEN b.w END::DECIMAL(18, 9), 5)::DOUBLE, 'h': round(CASE WHEN isfinite(b.h) THEN b.h END::DECIMAL(18, 9), 5)::DOUBLE},
+    'l': round(CASE WHEN isfinite(b.x - b.w / 2) THEN b.x - b.w / 2 END::DECIMAL(18, 9), 6)::DOUBLE, 'r': round(CASE WHEN isfinite(b.x + b.w / 2) THEN b.x + b.w / 2 END::DECIMAL(18, 9), 6)::DOUBLE, 't': round(CASE WHEN isfinite(b.y - b.h / 2) THEN b.y - b.h / 2 END::DECIMAL(18, 9), 6)::DOUBLE, 'b': round(CASE WHEN isfinite(b.y + b.h / 2) THEN b.y + b.h / 2 END::DECIMAL(18, 9), 6)::DOUBLE}) b
+  FROM records r JOIN sources ON source = short_name),
+kinds AS (SELECT *, list_transform(b, lambda q: {'n': q.n, 'outline': NOT q.none AND NOT q.odd AND q.wide AND q.l BETWEEN 0 AND 1 AND q.r BETWEEN 0 AND 1 AND q.t BETWEEN 0 AND 1 AND q.b BETWEEN 0 AND 1, 'bad': CASE WHEN q.none THEN 'non-numeric value' WHEN q.odd THEN 'non-finite coordinate'
+    WHEN q.wide AND NOT (q.l BETWEEN 0 AND 1 AND q.r BETWEEN 0 AND 1 AND q.t BETWEEN 0 AND 1 AND q.b BETWEEN 0 AND 1) THEN 'polygon coordinate outside YOLO range'
+    WHEN q.wide AND NOT (q.r > q.l AND q.b > q.t) THEN 'coordinate outside YOLO range'
+    WHEN NOT q.wide AND NOT (q.v.x BETWEEN 0 AND 1 AND q.v.y BETWEEN 0 AND 1 AND q.v.w > 0 AND q.v.w <= 1 AND q.v.h > 0 AND q.v.h <= 1) THEN 'coordinate outside YOLO range' END,
+    'box': CASE WHEN q.wide THEN {'x': (q.l + q.r) / 2, 'y': (q.t + q.b) / 2, 'w': q.r - q.l, 'h': q.b - q.t} ELSE q.v END}) k FROM lines),
+parsed AS MATERIALIZED (SELECT * EXCLUDE (boxes, b, k), list_transform(list_filter(k, lambda x, i: x.bad IS NULL AND len(list_filter(k[1:i - 1], lambda y: y.bad IS NULL AND y.box = x.box)) = 0), lambda x: x.box) boxes, coalesce(ignored_objects, 0) ignored, len(list_filter(k, lambda x: x.outline))::INT converted, len(list_filter(k, lambda x: x.bad IS NOT NULL))::INT errors,
+  list_transform(list_filter(k, lambda x: x.bad IS NOT NULL), lambda x: 'line ' || x.n || ': ' || x.bad) messages FROM kinds)
+"""
+_LABELS = "WITH " + _BOXED
+_ROW = "SELECT '{0}' section, {1} source, unnest([{2}]) name, unnest([{3}])::DOUBLE \"value\" FROM {4}"
+
+
+def _row(section: str, values: dict[str, str], table: str, source: str = "NULL::VARCHAR") -> str:
+    return _ROW.format(section, source, ", ".join(f"'{k}'" for k in values), ", ".join(f"({v})::DOUBLE" for v in values.values()), table)
+
+
+_REPORT = "WITH RECURSIVE " + _BOXED + ", valid AS MATERIALIZED (SELECT * FROM parsed WHERE errors = 0), " + _CLEANED.replace("FROM records", "FROM valid", 1) + T.grouped_split("c") + f""", done AS (SELECT c.*, {T.SPLIT_NAME} clean_split FROM c JOIN placed USING (clip_key)),
+sized AS (SELECT count(*) n, count(DISTINCT original_split) s, count(DISTINCT {_N}) b FROM valid WHERE source_key IS NOT NULL GROUP BY source_key),
+same AS (SELECT count(*) n, count(DISTINCT boxes) b FROM v WHERE image_hash IS NOT NULL GROUP BY image_hash),
+rows AS (
+  SELECT * FROM (SELECT 'sources' section, source, unnest(['images', 'ball_boxes', 'ignored_objects', 'converted_polygon_boxes', 'positive_images', 'multi_ball_images', 'negative_images', 'invalid_images']) name,
+    unnest([count(*), sum(len(boxes)), sum(ignored), sum(converted), nullif(count(*) FILTER (len(boxes) > 0), 0), nullif(count(*) FILTER (len(boxes) > 1), 0), nullif(count(*) FILTER (len(boxes) = 0), 0), nullif(count(*) FILTER (errors > 0), 0)])::DOUBLE "value" FROM parsed GROUP BY source)
+  UNION ALL {_row("raw", {"raw_valid_records": "count(*)"}, "valid")}
+  UNION ALL {_row("source_deduplication", {"unique_source_frames": "count(*)", "selected_positive_images": f"count(*) FILTER ({_N} > 0)", "selected_negative_images": f"count(*) FILTER ({_N} = 0)", "selected_ball_boxes": f"coalesce(sum({_N}), 0)"}, "v")}
+  UNION ALL {_row("source_deduplication", {"variants_removed": "sum(n - 1)", "source_frames_leaking_across_original_splits": "count(*) FILTER (s > 1)", "variant_groups_with_ball_count_disagreement": "count(*) FILTER (b > 1)"}, "sized")}
+  UNION ALL {_row("exact_deduplication", {"unique_images": "count(*)"}, "e")}
+  UNION ALL {_row("exact_deduplication", {"exact_duplicates_removed": "sum(n - 1)", "duplicate_groups_with_label_disagreement": "count(*) FILTER (b > 1)"}, "same")}
+  UNION ALL {_row("negative_sampling", {"positive_images": f"count(*) FILTER ({_N} > 0)", "available_negative_images": f"count(*) FILTER ({_N} = 0)", "kept_negative_images": f"least(count(*) FILTER ({_N} = 0), floor(count(*) FILTER ({_N} > 0) * 0.25))", "max_negative_to_positive_ratio": "0.25"}, "e")}
+  UNION ALL SELECT 'cleaned_splits', NULL, clean_split, count(*)::DOUBLE FROM done GROUP BY clean_split
+  UNION ALL SELECT 'cleaned_source_splits', source, clean_split, count(*)::DOUBLE FROM done GROUP BY source, clean_split
+  UNION ALL {_row("clips", {"clip_groups": "count(*)"}, "placed")}
+  UNION ALL SELECT 'clips', NULL, 'clip_group_overlap_after_resplit', count(*)::DOUBLE FROM (SELECT clip_key FROM done GROUP BY clip_key HAVING count(DISTINCT clean_split) > 1))
+SELECT * FROM rows WHERE "value" IS NOT NULL"""
+# One row a frame with its first track and the state of a plane that comes with every camera shift beyond 1.5.
+_WATCH = f"""{_T}, held AS (SELECT stream_id, frame_index, width, height, last_value(CASE WHEN cam_dx > 1.5 THEN frame_index END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING) h_at FROM frames),
+one AS (SELECT stream_id, frame_index, arg_min({{'status': status, 'cx': cx, 'cy': cy}}, track_id) t FROM t GROUP BY ALL),
+watched AS MATERIALIZED (SELECT h.stream_id, h.frame_index, t.status, t.cx, t.cy, width, height, CASE WHEN h_at IS NULL THEN 'none' WHEN h.frame_index = h_at THEN 'homography' WHEN h.frame_index - h_at <= 30 THEN 'cached' ELSE 'unavailable' END projection_status,
+  row_number() OVER (PARTITION BY h.stream_id ORDER BY h.frame_index) n FROM held h LEFT JOIN one USING (stream_id, frame_index))
+"""
+_WATCHED = "WITH " + _WATCH
+_NUMBER = "({0} IS NOT NULL AND NOT isnan({0}))"
+_EVENTS = "WITH RECURSIVE " + _WATCH + f""", fold AS (
+  SELECT stream_id, 0::BIGINT n, 0::BIGINT frame_index, []::VARCHAR[] events, false active, 0::BIGINT run, NULL::BIGINT bounced, NULL::DOUBLE x, NULL::DOUBLE y, []::DOUBLE[] heights FROM watched WHERE n = 1
+  UNION ALL
+  SELECT stream_id, n, frame_index, CASE WHEN status IS NULL THEN ['ball_missing'] ELSE list_concat(CASE WHEN status = 'observed' THEN CASE WHEN hit THEN ['ball_seen', 'bounce_candidate'] ELSE ['ball_seen'] END WHEN status = 'predicted' THEN CASE WHEN run + 1 > 5 THEN ['ball_lost'] ELSE [] END
+      WHEN NOT active THEN [] WHEN side IS NULL THEN ['ball_lost'] ELSE ['ball_lost', 'leave_view_' || side] END, CASE WHEN projection_status IN ('homography', 'cached') THEN [] ELSE ['projection_unavailable'] END) END,
+    coalesce(status IN ('observed', 'predicted'), false), CASE WHEN status = 'predicted' THEN run + 1 ELSE 0 END, CASE WHEN hit THEN frame_index ELSE bounced END, CASE WHEN status IS NOT NULL AND known THEN cx ELSE x END, CASE WHEN status IS NOT NULL AND known THEN cy ELSE y END, past FROM (
+    SELECT *, coalesce(status = 'observed' AND {_NUMBER.format("cy")} AND len(past) = 11 AND list_min(past) > 0 AND (bounced IS NULL OR frame_index - bounced >= 15) AND past[6] > list_max(past[1:5]) AND past[6] >= list_max(past[7:11]), false) hit,
+      CASE WHEN x <= 12 THEN 'left' WHEN x >= width - 12 THEN 'right' WHEN y <= 12 THEN 'top' WHEN y >= height - 12 THEN 'bottom' END side FROM (
+    SELECT w.*, f.active, f.run, f.bounced, f.x, f.y, {_NUMBER.format("w.cx")} AND {_NUMBER.format("w.cy")} known, CASE WHEN w.status = 'observed' AND {_NUMBER.format("w.cy")} THEN list_append(f.heights, w.cy)[-11:] ELSE f.heights END past
+    FROM fold f JOIN watched w ON f.stream_id = w.stream_id AND w.n = f.n + 1)))
+SELECT stream_id, frame_index, events FROM fold WHERE n > 0"""
 
 ORACLE = {
     "track_multi": T.tracker(_DEDUP) + T.TRACKS,
@@ -83,8 +143,12 @@ SELECT stream_id, frame_index, det_idx, round_even((640 - round_even(width * sc,
   FROM det d JOIN frames f USING (stream_id, frame_index))
 SELECT stream_id, frame_index, det_idx, CASE WHEN c > a AND d > b THEN round(a, 4) END x1, CASE WHEN c > a AND d > b THEN round(b, 4) END y1, CASE WHEN c > a AND d > b THEN round(c, 4) END x2, CASE WHEN c > a AND d > b THEN round(d, 4) END y2 FROM p""",
     "det_topk_per_frame": f"WITH {_DET} SELECT stream_id, frame_index, det_idx, row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY confidence DESC, det_idx) rank FROM det QUALIFY rank <= 3",
-    "det_decode": f"""WITH {_DET}, s AS (SELECT *, [confidence, confidence * class_id * 2, 0.01] sc FROM det)
-SELECT stream_id, frame_index, det_idx "row", round(cx - (x2 - x1) / 2, 4) x1, round(cy + (y2 - y1) / 2, 4) y2, round(list_max(sc), 6) confidence, (list_position(sc, list_max(sc)) - 1)::INT class_id FROM s WHERE list_max(sc) >= 0.15""",
+    "det_decode": f"""WITH {_DET}, s AS (SELECT *, [confidence, confidence * class_id * 2, 0.01] sc, row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY det_idx) - 1 r FROM det)
+SELECT stream_id, frame_index, r::INT "row", round(cx - (x2 - x1) / 2, 4) x1, round(cy + (y2 - y1) / 2, 4) y2, round(list_max(sc), 6) confidence, CASE WHEN confidence = list_max(sc) THEN 0 ELSE list_position(sc, list_max(sc)) - 1 END::INT class_id
+FROM s WHERE list_max(sc) >= 0.15""",
+    "det_none": "SELECT stream_id, frame_index, 0::BIGINT n FROM frames",
+    "det_failure": f"""WITH {_DET}, f AS (SELECT stream_id, min(frame_index) off FROM det WHERE x2 - x1 < 4 GROUP BY stream_id)
+SELECT stream_id, count(*) n, max(frame_index) last_frame FROM det LEFT JOIN f USING (stream_id) WHERE off IS NULL OR frame_index < off GROUP BY stream_id""",
     "frame_sampling": "SELECT stream_id, frame_index, (row_number() OVER (PARTITION BY stream_id ORDER BY frame_index) - 1) % 3 <> 0 detector_skipped FROM frames",
     "frame_range": "SELECT stream_id, frame_index, width FROM frames WHERE frame_index >= 50 AND frame_index < 150",
     "frame_spine_gaps": f"""WITH {_DET}, p AS (SELECT stream_id, frame_index, count(*) n FROM det GROUP BY ALL)
@@ -96,13 +160,16 @@ SELECT stream_id, frame_index, a_det_idx, b_det_idx, round(CASE WHEN s - i > 0 T
     "dedup_greedy": _DEDUP + "SELECT * FROM final",
     "nms_iou": _NMS + "SELECT * FROM final",
     "frame_counters": _DEDUP + ", a AS (SELECT stream_id, frame_index, count(*) raw FROM kept GROUP BY ALL), b AS (SELECT stream_id, frame_index, count(*) n FROM final GROUP BY ALL) SELECT stream_id, frame_index, raw, coalesce(n, 0) kept, raw - coalesce(n, 0) removed FROM a LEFT JOIN b USING (stream_id, frame_index)",
-    "camera_gate": "SELECT stream_id, frame_index, coalesce(sqrt(cam_dx * cam_dx + cam_dy * cam_dy) <= 80, false) applied, CASE WHEN applied THEN cam_dx ELSE 0 END dx, CASE WHEN applied THEN cam_dy ELSE 0 END dy FROM frames",
+    "camera_gate": """SELECT stream_id, frame_index, coalesce(sqrt(cam_dx * cam_dx + cam_dy * cam_dy) <= 3, false) applied, CASE WHEN applied THEN cam_dx ELSE 0 END dx, CASE WHEN applied THEN cam_dy ELSE 0 END dy,
+  coalesce(sqrt(cam_dx * cam_dx + cam_dy * cam_dy) <= 3 AND width / 100 >= 15, false) sure, cam_dx IS NOT NULL AND cam_dy IS NOT NULL free, CASE WHEN free THEN cam_dx ELSE 0 END free_dx FROM frames""",
     "gated_candidates": _CANDIDATES + " SELECT stream_id, frame_index, det_idx, prev_idx, round(distance, 4) distance FROM cand",
     "association_anti": _CANDIDATES + " SELECT stream_id, frame_index, det_idx FROM det ANTI JOIN cand USING (stream_id, frame_index, det_idx) WHERE confidence >= 0.25",
-    "frame_results_json": _DEDUP + f""", {_T}, {_FIN}, a AS (SELECT stream_id, frame_index, count(*) n FROM final GROUP BY ALL), b AS (SELECT stream_id, frame_index, count(*) m, min(track_id) id FROM fin GROUP BY ALL)
-SELECT stream_id, frame_index, coalesce(n, 0) detections, coalesce(m, 0) tracks, CASE WHEN m = 1 THEN id END single FROM frames LEFT JOIN a USING (stream_id, frame_index) LEFT JOIN b USING (stream_id, frame_index)""",
+    "frame_results_json": _DEDUP + f""", {_T}, {_FIN}, a AS (SELECT f.stream_id, f.frame_index, count(*) n, arg_min(d.x2, det_idx) x2 FROM final f JOIN det d USING (stream_id, frame_index, det_idx) GROUP BY ALL),
+b AS (SELECT stream_id, frame_index, count(*) m, min(track_id) id, any_value(confidence) conf, arg_min(status, track_id) status, arg_min(cx, track_id) cx, arg_min(vy, track_id) vy FROM fin GROUP BY ALL)
+SELECT stream_id, frame_index, coalesce(n, 0)::INT detections, coalesce(m, 0)::INT tracks, CASE WHEN m = 1 THEN id END single, CASE WHEN m = 1 THEN round(conf, 6) END single_confidence, status, round(cx, 4) cx, round(vy, 4) vy, round(x2, 4) x2, CASE WHEN n > 0 THEN 'detector' END source,
+  round(ts_s, 4) "timestamp", round(cam_dx, 6) cam_dx, width, (coalesce(m, 0) + CASE WHEN m = 1 THEN 1 ELSE 0 END)::INT nulls FROM frames LEFT JOIN a USING (stream_id, frame_index) LEFT JOIN b USING (stream_id, frame_index)""",
     "track_trails": f"""WITH {_T}, {_FIN}, i AS (SELECT *, frame_index - row_number() OVER w isl FROM fin {_W})
-SELECT stream_id, track_id, frame_index, count(*) OVER v points, round(first_value(cx) OVER v, 4) first_x FROM i WINDOW v AS (PARTITION BY stream_id, track_id, isl ORDER BY frame_index ROWS 29 PRECEDING)""",
+SELECT stream_id, track_id, frame_index, (count(*) OVER v)::INT points, array_to_string(list(printf('%.3f %.3f', cx, cy)) OVER v, '; ') trail FROM i WINDOW v AS (PARTITION BY stream_id, track_id, isl ORDER BY frame_index ROWS 29 PRECEDING)""",
     "status_counts": f"WITH {_T} SELECT stream_id, frame_index, count(*) FILTER (status = 'observed') observed, count(*) FILTER (status = 'predicted') predicted FROM t GROUP BY ALL",
     "lost_events": f"""WITH {_T}, g AS (SELECT *, sum((status <> 'predicted')::INT) OVER w g, lag(status) OVER w before FROM t {_W}),
 h AS (SELECT *, sum((status = 'predicted')::INT) OVER (PARTITION BY stream_id, track_id, g ORDER BY frame_index) run FROM g)
@@ -116,7 +183,8 @@ FROM l JOIN frames f USING (stream_id, frame_index) WHERE status = 'absent' AND
     "confidence_decay": f"WITH {_T} SELECT stream_id, track_id, frame_index, round(confidence * pow(0.82::DOUBLE, missing_frames), 6) decayed, round(confidence * greatest(0.0::DOUBLE, 1 - missing_frames / 4), 6) linear FROM t WHERE missing_frames IS NOT NULL AND confidence IS NOT NULL",
     "velocity_lag": f"WITH {_T}, {_FIN} SELECT stream_id, track_id, frame_index, (cx - lag(cx) OVER w) / greatest(1, frame_index - lag(frame_index) OVER w) mvx, (cy - lag(cy) OVER w) / greatest(1, frame_index - lag(frame_index) OVER w) mvy FROM fin WHERE status = 'observed' {_W}",
     "moving_average": f"WITH {_T}, {_FIN} SELECT stream_id, track_id, frame_index, round(avg(cx) OVER (w ROWS 2 PRECEDING), 4) mx, round(avg(cy) OVER (w ROWS 2 PRECEDING), 4) my FROM fin {_W}",
-    "kalman_smooth": f"""WITH RECURSIVE {_T}, {_FIN}, s AS (SELECT stream_id, track_id, frame_index, CASE WHEN status = 'observed' THEN cx END cx, CASE WHEN status = 'observed' THEN cy END cy, row_number() OVER w n FROM fin WHERE status IN ('observed', 'predicted') {_W}),
+    "kalman_smooth": f"""WITH RECURSIVE {_T}, {_FIN}, r AS (SELECT stream_id, track_id, frame_index, CASE WHEN status = 'observed' THEN cx END cx, CASE WHEN status = 'observed' THEN cy END cy, min(CASE WHEN status = 'observed' THEN frame_index END) OVER (PARTITION BY stream_id, track_id) begun FROM fin WHERE status IN ('observed', 'predicted')),
+s AS (SELECT *, row_number() OVER w n FROM r WHERE frame_index >= begun {_W}),
 k AS (
   SELECT stream_id, track_id, frame_index, n, cx x, cy y, 0::DOUBLE vx, 0::DOUBLE vy, 100::DOUBLE a, 0::DOUBLE b, 100::DOUBLE c FROM s WHERE n = 1
   UNION ALL
@@ -126,7 +194,7 @@ k AS (
     CASE WHEN m IS NULL THEN pa ELSE pa * 16 / (pa + 16) END, CASE WHEN m IS NULL THEN pb ELSE pb * 16 / (pa + 16) END, CASE WHEN m IS NULL THEN pc ELSE pc - pb * pb / (pa + 16) END
   FROM (SELECT s.stream_id, s.track_id, s.frame_index, s.n, s.cx m, s.cy my, k.x + k.vx px, k.y + k.vy py, k.vx, k.vy, k.a + 2 * k.b + k.c + 36 pa, k.b + k.c + 72 pb, k.c + 144 pc
     FROM k JOIN s ON k.stream_id = s.stream_id AND k.track_id = s.track_id AND s.n = k.n + 1) p)
-SELECT stream_id, track_id, frame_index, round(x, 3) sx, round(y, 3) sy FROM k""",
+SELECT stream_id, track_id, frame_index, round(x, 3) sx, round(y, 3) sy FROM k UNION ALL SELECT stream_id, track_id, frame_index, NULL, NULL FROM r WHERE begun IS NULL OR frame_index < begun""",
     "track_metrics": f"WITH {_T} SELECT stream_id, count(DISTINCT track_id) tracks, round(count(*) FILTER (status = 'observed') / count(*), 6) observed_share, max(missing_frames) longest_gap FROM t GROUP BY stream_id",
     "homography_project": f"WITH {_DET}, {_PLANE} SELECT stream_id, frame_index, det_idx, round(u, 4) u, round(v, 4) v FROM plane",
     "zone_classify": f"""WITH {_DET}, {_PLANE}, z AS (SELECT *, CASE WHEN u IS NULL OR v IS NULL THEN 'unknown' WHEN u < -0.1 OR u > 20.1 OR v < -0.1 OR v > 44.1 THEN 'out_of_court' WHEN v < 15 THEN 'far_' || CASE WHEN u < 10 THEN 'left' ELSE 'right' END || '_service'
@@ -135,9 +203,10 @@ SELECT stream_id, frame_index, det_idx, zone, zone NOT IN ('unknown', 'out_of_co
     "homography_cache": """WITH v AS (SELECT stream_id, frame_index, CASE WHEN frame_index % 47 = 5 THEN cam_dx END h FROM frames),
 l AS (SELECT *, last_value(h IGNORE NULLS) OVER w h_last, last_value(CASE WHEN h IS NOT NULL THEN frame_index END IGNORE NULLS) OVER w h_at FROM v WINDOW w AS (PARTITION BY stream_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING))
 SELECT stream_id, frame_index, CASE WHEN frame_index - h_at <= 30 THEN h_last END used, CASE WHEN h_at IS NULL THEN 'none' WHEN frame_index = h_at THEN 'homography' WHEN frame_index - h_at <= 30 THEN 'cached' ELSE 'unavailable' END projection_status FROM l""",
-    "label_parse": """WITH b AS (SELECT record_id, list_transform(list_filter(coalesce(boxes, []), lambda b: b.w IS NOT NULL), lambda b: {'x': round(b.x, 5), 'y': round(b.y, 5), 'w': round(b.w, 5), 'h': round(b.h, 5)}) v, coalesce(ignored_objects, 0) ig, ball_class FROM records JOIN sources ON source = short_name),
-g AS (SELECT *, list_filter(v, lambda b: b.x BETWEEN 0 AND 1 AND b.y BETWEEN 0 AND 1 AND b.w > 0 AND b.w <= 1 AND b.h > 0 AND b.h <= 1) good FROM b)
-SELECT record_id, len(list_distinct(good))::INT boxes, ig ignored, 0 converted, (len(v) - len(good))::INT errors FROM g""",
+    "label_parse": _LABELS + """SELECT record_id, len(boxes)::INT boxes, ignored, converted, errors, array_to_string(messages, '; ') messages, round(coalesce(list_sum(list_transform(boxes, lambda b: b.w + 2 * b.y)), 0), 8) "sum" FROM parsed""",
+    "label_errors": _LABELS + """SELECT record_id, coalesce(image, '') || ': ' || array_to_string(messages, '; ') error FROM parsed WHERE errors > 0 ORDER BY record_id LIMIT 100""",
+    "court_labels": """SELECT record_id, CASE len(boxes) WHEN 1 THEN 'line 1: expected 41 values, got 40' WHEN 2 THEN 'line 1: invalid class or coordinate' WHEN 0 THEN NULL ELSE CASE WHEN NOT isfinite(boxes[1].x) THEN 'line 1: invalid class or coordinate' WHEN boxes IS NOT NULL THEN 'line 2: non-numeric value' END END court_error
+FROM records WHERE boxes IS NULL OR len(list_filter(boxes, lambda b: b.x IS NULL)) = 0""",
     "norm_source_key": rf"""SELECT record_id, CASE WHEN regexp_matches({_BARE}, '^pickleball\d+_mp4-') THEN 'moving_family:' || {_BARE} ELSE source || ':' || lower({_STEM}) END k,
   CASE WHEN regexp_matches({_CLIP}, '^pickleball\d+_mp4$') THEN 'moving_family:' || ({_CLIP}) ELSE source || ':' || ({_CLIP}) END c FROM records""",
     "dedup_variants": f"SELECT record_id, source_key FROM ({_VARIANTS})",
@@ -148,11 +217,37 @@ SELECT record_id, len(list_distinct(good))::INT boxes, ig ignored, 0 converted,
     "split_overlap_check": _SPLITS + """, j AS (SELECT clip_key, source_key, k FROM records JOIN placed USING (clip_key))
 SELECT (SELECT count(*) FROM (SELECT clip_key FROM j GROUP BY clip_key HAVING count(DISTINCT k) > 1)) clips, (SELECT count(*) FROM (SELECT source_key FROM j WHERE source_key IS NOT NULL GROUP BY source_key HAVING count(DISTINCT k) > 1)) frames""",
     "split_counts": "SELECT assigned_split, source, count(*) n, grouping_id(assigned_split, source) level FROM records GROUP BY ROLLUP (assigned_split, source)",
-    "manifest": f"SELECT record_id, assigned_split clean_split, original_split, source, source_key, clip_key, {_N}::INT boxes, ignored_objects, image_hash, lower(source) || '__' || substr(sha1(image), 1, 16) target FROM records",
-    "label_lines": "SELECT record_id, array_to_string(list_transform(boxes, lambda b: printf('0 %.8f %.8f %.8f %.8f', round(b.x, 5), round(b.y, 5), round(b.w, 5), round(b.h, 5))), chr(10)).replace('nan', 'NaN') label_text FROM records",
-    "source_audit": f"SELECT source, count(*) images, nullif(sum({_N}), 0)::BIGINT ball_boxes, nullif(sum(ignored_objects), 0)::BIGINT ignored_objects, nullif(count(*) FILTER ({_N} > 0), 0) positive_images, nullif(count(*) FILTER ({_N} = 0), 0) negative_images, nullif(count(*) FILTER ({_N} > 1), 0) multi_images FROM records GROUP BY source",
-    "clean_pipeline": f"WITH v AS ({_VARIANTS}), e AS ({_EXACT.format('v')}), c AS ({_CAP.format('e')}) SELECT source, original_split, count(*) records FROM c GROUP BY ALL",
-    "latency_summary": "SELECT stream_id, round(avg(ms), 6) mean_ms, round(quantile_cont(ms, 0.5), 6) p50_ms, round(quantile_cont(ms, 0.95), 6) p95_ms, round(1000 / avg(ms), 6) fps FROM (SELECT stream_id, frame_index, abs(cam_dx) + 5 ms FROM frames WHERE cam_dx IS NOT NULL) WHERE frame_index >= 20 GROUP BY stream_id",
+    "negative_stats": f"SELECT count(*) FILTER ({_N} > 0) positive_images, count(*) FILTER ({_N} = 0) available_negative_images, least(count(*) FILTER ({_N} = 0), floor(count(*) FILTER ({_N} > 0) * 0.25)::BIGINT) kept_negative_images, 0.25::DOUBLE max_negative_to_positive_ratio FROM records",
+    "cleaned_splits": _CLEAN + f"SELECT clean_split, source, count(*) n, grouping_id(clean_split, source) level FROM done WHERE clean_split IS NOT NULL GROUP BY ROLLUP (clean_split, source)",
+    "manifest": f"""SELECT assigned_split clean_split, assigned_split || '/images/' || source || '__' || substr(sha1(source || ':' || coalesce(source_key, '') || ':' || coalesce(image_hash, '')), 1, 16) || lower(regexp_extract(image, '[^/](\\.[^./]*)$', 1)) clean_image, source source_dataset,
+  original_split source_split, image source_image, source_key source_frame_key, clip_key, {_N}::INT ball_count, ignored_objects ignored_non_ball_objects, image_hash content_fingerprint FROM records""",
+    "label_lines": "SELECT record_id, array_to_string(list_transform(boxes, lambda b: printf('0 %.8f %.8f %.8f %.8f', round(b.x, 5), round(b.y, 5), round(b.w, 5), round(b.h, 5)) || chr(10)), '').replace('nan', 'NaN') label_text FROM records",
+    "source_audit": _LABELS + """SELECT source, count(*) images, sum(len(boxes))::BIGINT ball_boxes, sum(ignored)::BIGINT ignored_objects, sum(converted)::BIGINT converted_polygon_boxes, nullif(count(*) FILTER (len(boxes) > 0), 0) positive_images, nullif(count(*) FILTER (len(boxes) > 1), 0) multi_ball_images,
+  nullif(count(*) FILTER (len(boxes) = 0), 0) negative_images, nullif(count(*) FILTER (errors > 0), 0) invalid_images FROM parsed GROUP BY source""",
+    "clean_pipeline": _CLEAN + "SELECT source, original_split, clean_split, count(*) records FROM done GROUP BY ALL",
+    "cleaning_report": _REPORT,
+    "latency_summary": """WITH t AS (SELECT stream_id, frame_index, (ts_s - lag(ts_s) OVER (PARTITION BY stream_id ORDER BY frame_index)) * 1000 ms, abs(cam_dx) dms FROM frames)
+SELECT stream_id, count(ms) measured_frames, round(avg(ms), 6) pipeline_ms_mean, round(quantile_cont(ms, 0.5), 6) pipeline_ms_p50, round(quantile_cont(ms, 0.95), 6) pipeline_ms_p95, round(1000 / avg(ms), 6) throughput_fps, round(coalesce(avg(dms), 0), 6) detector_ms_mean,
+  round(coalesce(quantile_cont(dms, 0.95), 0), 6) detector_ms_p95 FROM t WHERE ms > 0 AND frame_index >= 20 GROUP BY stream_id""",
+    "throughput": "SELECT stream_id, count(*) processed, round(max(ts_s) - min(ts_s), 6) elapsed_s, CASE WHEN max(ts_s) > min(ts_s) THEN round(count(*) / (max(ts_s) - min(ts_s)), 6) END fps FROM frames GROUP BY stream_id",
+    "ab_compare": f"""WITH {_DET}, {_T}, {_FIN}, a AS (SELECT stream_id, frame_index, arg_min(cx, track_id) ax, arg_min(cy, track_id) ay FROM fin GROUP BY ALL),
+b AS (SELECT stream_id, frame_index, cx bx, cy "by" FROM det QUALIFY row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY confidence DESC, det_idx) = 1),
+j AS (SELECT *, sqrt(pow(ax - bx, 2) + pow(ay - "by", 2)) far FROM a FULL JOIN b USING (stream_id, frame_index))
+SELECT stream_id, count(*) FILTER (ax IS NOT NULL AND bx IS NOT NULL) "both", count(*) FILTER (bx IS NULL) only_a, count(*) FILTER (ax IS NULL) only_b, round(avg(far), 4) mean_distance, round(max(far), 4) max_distance FROM j GROUP BY stream_id""",
+    "event_flags": _WATCHED + """SELECT stream_id, frame_index, coalesce(status = 'observed', false) seen, status IS NULL missing, status IS NOT NULL AND projection_status NOT IN ('homography', 'cached') projection_unavailable FROM watched""",
+    "frame_events": _EVENTS,
+    "projection_anchor": """WITH b AS (SELECT *, bbox[1] x1, bbox[2] y1, bbox[3] x2, bbox[4] y2 FROM ball_tracks WHERE track_id IS NOT NULL),
+h AS (SELECT *, trunc(greatest(round_even(x2, 0) - round_even(x1, 0), round_even(y2, 0) - round_even(y1, 0)) / 2)::INT half FROM b)
+SELECT row_id, round(CASE WHEN x1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL THEN (x1 + x2) / 2 ELSE center[1] END, 4) u, round(CASE WHEN x1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL THEN y2 ELSE center[2] END, 4) v,
+  (track_id - 1) % 7 colour, CASE WHEN x1 IS NULL THEN 7 ELSE greatest(5, least(15, half)) END radius FROM h""",
+    "keypoint_ema": f"""WITH RECURSIVE {_T}, {_FIN}, s AS (SELECT stream_id, track_id, frame_index, cx, cy, row_number() OVER w n FROM fin {_W}),
+e AS (SELECT stream_id, track_id, frame_index, n, cx sx, cy sy FROM s WHERE n = 1
+  UNION ALL SELECT s.stream_id, s.track_id, s.frame_index, s.n, 0.35::DOUBLE * s.cx + 0.65::DOUBLE * e.sx, 0.35::DOUBLE * s.cy + 0.65::DOUBLE * e.sy FROM e JOIN s ON e.stream_id = s.stream_id AND e.track_id = s.track_id AND s.n = e.n + 1)
+SELECT stream_id, track_id, frame_index, sx, sy FROM e""",
+    "frame_timestamp": "SELECT stream_id, frame_index, round(frame_index / CASE WHEN cam_dx IS NOT NULL THEN width / 32 ELSE 30 END, 6) t FROM frames",
+    "court_observations": """WITH s AS (SELECT stream_id, count(*) n FROM frames GROUP BY ALL), j AS (SELECT stream_id, kp FROM s, (SELECT unnest(range(14)) kp) WHERE n % 14 <> kp)
+SELECT stream_id, string_agg(kp::VARCHAR, ' ' ORDER BY kp) visible, count(*)::INT num_visible, count(*) >= 4 is_reliable, 'manual' source FROM j GROUP BY stream_id""",
+    "court_lines": """SELECT * FROM (VALUES (0, 0, 2, 20.0::DOUBLE), (1, 11, 13, 20), (2, 0, 11, 44), (3, 2, 13, 44), (4, 6, 7, 20), (5, 3, 5, 20), (6, 8, 10, 20), (7, 1, 4, 15), (8, 9, 12, 15), (9, 3, 8, 14), (10, 5, 10, 14)) t(line, a, b, length)""",
     "regression_gate": f"""WITH {_T}, c AS (SELECT stream_id model, avg(confidence) m, avg((status = 'observed')::INT) r FROM t GROUP BY stream_id), b AS (SELECT avg(confidence) bm, avg((status = 'observed')::INT) br FROM t)
 SELECT model, round(bm - m, 6) map50_drop, round(br - r, 6) recall_drop, NOT (bm - m > 0.015 OR br - r > 0.02) accepted FROM c, b""",
     "skip_existing": f"WITH {_DET} SELECT DISTINCT stream_id FROM frames WHERE stream_id NOT IN (SELECT stream_id FROM det GROUP BY stream_id HAVING count(DISTINCT class_id = 0) >= 2)",
@@ -161,6 +256,8 @@ SELECT stream_id, frame_index, round(avg(CASE WHEN dt > 0 THEN 1 / dt END) OVER
     "best_detection": f"WITH {_DET} SELECT stream_id, frame_index, det_idx, cx, cy, confidence FROM det QUALIFY row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY confidence DESC, det_idx) = 1",
     "batch_summary": f"""WITH {_DET}, n AS (SELECT stream_id, count(*) n FROM det GROUP BY ALL), s AS (SELECT DISTINCT stream_id, n FROM frames LEFT JOIN n USING (stream_id))
 SELECT count(*) FILTER (n >= 20) succeeded, count(*) FILTER (n IS NULL) skipped, count(*) FILTER (n < 20) failed, (count(*) FILTER (n < 20) > 0)::INT exit_code FROM s""",
+    "batch_fail_fast": f"""WITH {_DET}, n AS (SELECT stream_id, count(*) n FROM det GROUP BY ALL), s AS (SELECT DISTINCT stream_id, n FROM frames LEFT JOIN n USING (stream_id)), f AS (SELECT min(stream_id) stop FROM s WHERE n < 20)
+SELECT CASE WHEN stream_id > stop THEN 'not_run' WHEN n IS NULL THEN 'skipped' WHEN n < 20 THEN 'failed' ELSE 'succeeded' END status, count(*) n FROM s, f GROUP BY 1""",
     "search_region": f"""WITH {_DET}, a AS (SELECT d.stream_id, d.frame_index, det_idx, greatest(cx - 120, 0) x1, greatest(cy - 120, 0) y1, least(cx + 120, width) x2, least(cy + 120, height) y2, width, height FROM det d JOIN frames f USING (stream_id, frame_index))
 SELECT stream_id, frame_index, det_idx, [round_even(CASE WHEN x2 - x1 < 60 THEN greatest((x1 + x2) / 2 - 30, 0) ELSE x1 END, 1), round_even(CASE WHEN y2 - y1 < 60 THEN greatest((y1 + y2) / 2 - 30, 0) ELSE y1 END, 1),
   round_even(CASE WHEN x2 - x1 < 60 THEN least((x1 + x2) / 2 + 30, width) ELSE x2 END, 1), round_even(CASE WHEN y2 - y1 < 60 THEN least((y1 + y2) / 2 + 30, height) ELSE y2 END, 1)] roi FROM a""",
