@@ -83,12 +83,13 @@ def linked_groups(rows: DataFrame, row_id: str, links: list[str], scratch: Scrat
 
     ``group_id`` is the least row id of the group; a row without any link value is a group of its own.
     Rows with the same link values become one vertex before anything is contracted, so copies and hot
-    values add no edges. Link columns are strings; null links nothing. Repeated row ids are one row.
+    values add no edges. Link columns are all strings or all binary; null and empty link nothing. Repeated row ids are one row.
     """
-    filled = rows.select(F.col(row_id).alias("_id"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in links])
-    nodes = scratch.cut(filled.groupBy(*links).agg(F.min("_id").alias("node")).filter(" OR ".join(f"`{c}` <> ''" for c in links)))
+    filled = rows.select(F.col(row_id).alias("_id"), *[F.coalesce(F.col(c), F.lit("").cast(rows.schema[c].dataType)).alias(c) for c in links])
+    has = " OR ".join(f"length(`{c}`) > 0" for c in links)
+    nodes = scratch.cut(filled.groupBy(*links).agg(F.min("_id").alias("node")).filter(has))
     values = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("value")) for i, c in enumerate(links)])).alias("x"))
-    values = values.select("node", "x.kind", "x.value").filter("value <> ''")
+    values = values.select("node", "x.kind", "x.value").filter("length(value) > 0")
     shared = values.groupBy("kind", "value").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     # Vertices: 2 * node for a row, 2 * k + 1 for a shared value, k being unique by least row and kind.
     edges = values.join(shared, ["kind", "value"]).select((F.col("node") * 2).alias("a"), ((F.col("rep") * len(links) + F.col("kind")) * 2 + 1).alias("b"))
@@ -97,6 +98,5 @@ def linked_groups(rows: DataFrame, row_id: str, links: list[str], scratch: Scrat
     groups = nodes.join(roots.filter("vertex % 2 = 0").join(least, "root").select(F.expr("vertex div 2").alias("node"), "group_id"), "node", "left")
     groups = groups.select(*links, F.coalesce("group_id", "node").alias("group_id"))
     # A row without links would meet all others of its kind in one task: it goes round the join.
-    has = " OR ".join(f"`{c}` <> ''" for c in links)
     joined = filled.filter(has).join(groups, links).select(F.col("_id").alias(row_id), "group_id")
     return joined.unionByName(filled.filter(f"NOT ({has})").select(F.col("_id").alias(row_id), F.col("_id").alias("group_id")))

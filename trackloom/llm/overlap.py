@@ -135,7 +135,7 @@ def overlaps(records: DataFrame) -> DataFrame:
 def image_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(record_id, side, group_id)`` of every record: records whose frames, or whose checksums, have the same chunks in the same order are one image, directly or by way of others. Covers have 128 bits."""
     schema = "record_id long, side string, " + ", ".join(f"{f}_{k} long" for f in IDENTITY for k in (0, 1))
-    covers = _sided(records).mapInArrow(_covers, schema).select("record_id", "side", *[F.concat(F.hex(f"{f}_0"), F.lit("-"), F.hex(f"{f}_1")).alias(f) for f in IDENTITY])
+    covers = _sided(records).mapInArrow(_covers, schema).select("record_id", "side", *[F.unhex(F.concat(*[F.lpad(F.hex(f"{f}_{k}"), 16, "0") for k in (0, 1)])).alias(f) for f in IDENTITY])
     covers = scratch.cut(covers)
     return linked_groups(covers, "record_id", list(IDENTITY), scratch).join(covers.select("record_id", "side"), "record_id")
 
