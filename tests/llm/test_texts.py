@@ -77,12 +77,34 @@ def test_leaks(spark):
     assert leaks.leaks(df.limit(0), ev).count() == 0 and leaks.leaks(df, ev.limit(0)).count() == 0
 
 
-def test_the_bound_loses_no_stretch_within_the_budget():
-    """A stretch of the least length keeps enough q-grams when changed words destroy up to the budget."""
-    for length in (120, 400, 900):
-        stretch = int(np.ceil(0.3 * length))
-        whole = stretch - leaks.Q_LETTERS + 1
-        assert leaks.need(np.array([length]), leaks.Q_LETTERS)[0] <= max(3, np.ceil(whole * (1 - leaks.LOST)))
+def test_recall_against_edits():
+    """Items with one word in twelve changed, inside other text: found by nearly all; with every other word changed an item is contained no more."""
+    rng = random.Random(5)
+    items = [(i, sentence(rng, rng.choice([40, 80, 150]))) for i in range(30)]
+    index = leaks.build_index(items, [0] * len(items))
+
+    def found(every):
+        docs = [sentence(rng, 40) + " " + " ".join(w if rng.random() > 1 / every else sentence(rng, 1) for w in t.split()) + " " + sentence(rng, 40) for _, t in items]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["doc_id", "text"])
+        return {(d, i) for r in leaks._leaks(iter([batch]), [index]) for d, i in zip(r.column(0).to_pylist(), r.column(1).to_pylist())}
+
+    got = found(12)
+    assert len(got & {(i, i) for i in range(30)}) >= 28 and not got - {(i, i) for i in range(30)}
+    assert len(found(2)) <= 2
+
+
+def test_blocks_of_items_change_nothing(spark):
+    """Openings are found over all items, and openings and rows are the same in one block and in many."""
+    rng = random.Random(21)
+    opening = "Read the following court log and answer with one track number only. "
+    items = [(i, opening + sentence(rng, 60)) for i in range(8)] + [(i, sentence(rng, 60)) for i in range(8, 12)] + [(3, sentence(rng, 60))]
+    docs = [(i, sentence(rng, 30) + " " + t) for i, t in items[::2]] + [(90, opening + sentence(rng, 50)), (91, opening * 9)]
+    df = spark.createDataFrame([(*d, 1, "f", 1) for d in docs], DOCS)
+    ev = spark.createDataFrame([(i, "s", "en", t, 1) for i, t in items], "item_id long, suite string, lang string, item_text string, doc_id int")
+    opened = {(r.item_id, r.item_text): r.opening for r in leaks.shared_openings(ev).collect()}
+    assert [opened[i] for i in items] == [len(opening.replace(" ", "")) - 1] * 8 + [0] * 5
+    whole, cut = (sorted((r.doc_id, r.item_id, r.share) for r in leaks.leaks(df, ev, n).collect()) for n in (10**6, 500))
+    assert whole == cut and [x[:2] for x in whole] == sorted((i, i) for i, _ in items[::2])
 
 
 def test_least_squares_are_those_of_brute_force():

@@ -1,24 +1,28 @@
 """Problem 7: evaluation texts inside training text, by q-gram lemma filtering and banded alignment.
 
-The evaluation items are the stated query set. They are indexed once on the driver, in blocks of bounded
-size, and each block goes to all tasks; the corpus itself is never shuffled. In a task a slice of documents
-is one array of letters (one form, no case, accents, space or punctuation). Its q-grams are looked up at
-once; hits of one item are counted in overlapping diagonal bands, bands that meet the lemma's bound for the
-edit budget are kept, and what is left is verified by local alignment inside the band, many bands in step; a loose alignment is cut and its
-pieces are aligned on their own.
+The evaluation items are the stated query set. Openings that items share are found over all of them; then the
+items are dealt to blocks of bounded size, each indexed in a task. Several blocks go to all tasks together, and
+the corpus is read once for them; it is never shuffled. In a task a slice of documents is one array of letters
+(one form, no case, accents, space or punctuation). Its q-grams are looked up at once; hits of one item are
+counted in overlapping diagonal bands, bands that meet the lemma's bound for the edit budget are kept, and what
+is left is verified by local alignment inside the band, many bands in step; a loose alignment is cut and its
+pieces are aligned on their own. Bound and share are of the same thing: the item behind its opening.
 """
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .forms import code_points, folded, slices, tables
 
 SHARE = 0.3  # of an item's words (characters in Chinese)
@@ -28,7 +32,8 @@ DENSITY = 0.7  # least score per letter of a verified stretch: a changed word in
 BAND = 64
 HALF = 56  # of the verified band, around its middle
 OPENING_ITEMS, OPENING_LETTERS = 4, 20
-BLOCK_LETTERS = 2_000_000
+BLOCK_LETTERS, BLOCKS_A_PASS = 1_000_000, 4  # of items: one index, and those that the corpus is read once for
+TOP = 20  # bits of a hash that the index is laid out by
 TOGETHER = 96
 PATH_CELLS = 16_000_000  # of the alignments traced back at once, or a single one
 
@@ -81,96 +86,126 @@ def grams(text: np.ndarray, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def build_index(items: list[tuple[int, str]]) -> dict:
-    """Arrays over the items: letters, word weights, openings, q-grams sorted by hash."""
-    points, ends = folded(*code_points(pa.array([t for _, t in items], pa.string())))
-    text, stop, words = letters(points, ends)
+def shared_openings(items: DataFrame) -> DataFrame:
+    """``item_id, item_text, opening``: distinct items with the letters of the longest opening that at least ``OPENING_ITEMS`` items share letter for letter; 0 where it is short, or most of the item.
+
+    One row a letter of the items is counted, whatever blocks they are cut into later.
+    """
+    key = ["item_id", "item_text"]
+    once = items.filter("item_text <> ''").select(*key).distinct().withColumn("key", F.xxhash64(*key))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "item_text"):
+                text, stop, _ = letters(*folded(*code_points(part.column(part.schema.get_field_index("item_text")))))
+                start = np.concatenate([[0], stop[:-1]])
+                size = stop - start
+                place = np.arange(len(text)) - np.repeat(start, size)
+                with np.errstate(over="ignore"):
+                    powers = np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64)
+                    powers[:1] = 1
+                    powers = np.multiply.accumulate(powers)
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[place], dtype=np.uint64)])
+                    head = total[1:] - np.repeat(total[start], size)
+                owner = np.repeat(np.arange(len(stop)), size)
+                zh = np.repeat(_is_ideographic(text, start, stop), size)
+                long = place + 1 >= np.where(zh, OPENING_LETTERS // 2, OPENING_LETTERS)
+                keys = part.column(part.schema.get_field_index("key"))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner[long])), pa.array(head[long].view(np.int64)), pa.array(place[long] + 1), pa.array(size[owner[long]])], names=["key", "head", "length", "size"])
+
+    heads = once.mapInArrow(prefixes, "key long, head long, length long, size long")
+    common = heads.groupBy("head", "length").agg(F.count("*").alias("n")).filter(F.col("n") >= OPENING_ITEMS).select("head", "length")
+    best = heads.join(common, ["head", "length"]).groupBy("key").agg(F.max("length").alias("opening"), F.max("size").alias("size"))
+    best = best.filter(F.col("opening") <= 0.7 * F.col("size")).select("key", "opening")
+    return once.join(best, "key", "left").select(*key, F.coalesce("opening", F.lit(0)).cast("long").alias("opening"))
+
+
+def _is_ideographic(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    cum = np.concatenate([[0], np.cumsum(_letters()[1][text])])
+    return (stop > start) & (2 * (cum[stop] - cum[start]) > stop - start)
+
+
+def build_index(items: list[tuple[int, str]], openings: list[int]) -> dict:
+    """Arrays over the items: letters, word weights, openings, and the q-grams behind the openings sorted by hash."""
+    text, stop, words = letters(*folded(*code_points(pa.array([t for _, t in items], pa.string()))))
     start = np.concatenate([[0], stop[:-1]])
-    _, ideograph = _letters()
-    index = {"ids": np.array([i for i, _ in items], np.int64), "text": text, "start": start, "stop": stop}
+    index = {"ids": np.array([i for i, _ in items], np.int64), "text": text, "start": start, "stop": stop, "opening": np.array(openings, np.int64)}
     _, inverse, per = np.unique(words, return_inverse=True, return_counts=True)
     index["weight"] = 1.0 / per[inverse] if len(words) else np.zeros(0)
-    index["total"] = np.array([index["weight"][a:b].sum() for a, b in zip(start, stop)])
-    index["zh"] = np.array([bool(b > a) and ideograph[text[a:b]].mean() > 0.5 for a, b in zip(start, stop)])
-    # An opening is a first stretch that several items share word for word.
-    opening = np.zeros(len(items), np.int64)
-    strings = [text[a:b] for a, b in zip(start, stop)]
-    order = sorted(range(len(items)), key=lambda i: strings[i].tolist())
-
-    def common(i: int, j: int) -> int:
-        m = min(len(strings[i]), len(strings[j]))
-        differ = np.flatnonzero(strings[i][:m] != strings[j][:m])
-        return int(differ[0]) if len(differ) else m
-
-    near = [common(i, j) for i, j in zip(order, order[1:])]
-    for k, i in enumerate(order):
-        for lo in range(max(0, k - OPENING_ITEMS + 1), k + 1):
-            run = near[lo : lo + OPENING_ITEMS - 1]
-            if len(run) == OPENING_ITEMS - 1:
-                opening[i] = max(opening[i], min(run))
-    opening[opening < np.where(index["zh"], OPENING_LETTERS // 2, OPENING_LETTERS)] = 0
-    opening[opening > 0.7 * (stop - start)] = 0
-    index["opening"] = opening
+    index["zh"] = _is_ideographic(text, start, stop)
     # Letters of the shortest stretch behind the opening that holds the share.
     least = np.zeros(len(items), np.int64)
-    for i, (a, b) in enumerate(zip(start + opening, stop)):
+    for i, (a, b) in enumerate(zip(start + index["opening"], stop)):
         cum = np.concatenate([[0], np.cumsum(index["weight"][a:b])])
         reach = np.searchsorted(cum, cum + SHARE * cum[-1] - 1e-6)
         ends = reach < len(cum)
         least[i] = (reach - np.arange(len(cum)))[ends].min() if b > a else 0
     index["least"] = least
     for q, zh in ((Q_LETTERS, False), (Q_IDEOGRAPHS, True)):
-        hashes, item, place = [], [], []
+        hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(index["zh"] == zh):
-            g = grams(strings[i], q)
+            first = index["opening"][i]
+            g = grams(text[start[i] + first : stop[i]], q)
             hashes.append(g)
             item.append(np.full(len(g), i))
-            place.append(np.arange(len(g)))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            place.append(np.arange(len(g)) + first)
+        h = np.concatenate(hashes)
         o = np.argsort(h, kind="stable")
-        bits = np.zeros(1 << 22, bool)
-        bits[h >> np.uint64(42)] = True
-        index[q] = (h[o], (np.concatenate(item) if item else np.zeros(0, int))[o], (np.concatenate(place) if place else np.zeros(0, int))[o], bits)
+        h = h[o]
+        top = np.searchsorted(h, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)).astype(np.int32)
+        index[q] = (h, np.concatenate(item)[o].astype(np.int32), np.concatenate(place)[o].astype(np.int32), np.append(top, np.int32(len(h))))
+    index["need"] = {q: need(least, q) for q in (Q_LETTERS, Q_IDEOGRAPHS)}
     return index
 
 
-def need(length: np.ndarray, q: int) -> np.ndarray:
-    """The q-gram lemma's bound for the least stretch of an item of so many letters that counts."""
-    return np.maximum(3, np.ceil((1 - LOST) * (SHARE * length - q + 1)))
+def need(least: np.ndarray, q: int) -> np.ndarray:
+    """The q-gram lemma's bound for a stretch of so many letters, of whose q-grams changed words may destroy the part ``LOST``."""
+    return np.maximum(3, np.ceil((1 - LOST) * (least - q + 1)))
 
 
-def candidates(index: dict, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc, item, middle diagonal and q-gram count of each band that meets the bound."""
+def candidates(index: dict, hashed: dict[int, np.ndarray], stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, item, middle diagonal and q-gram count of each band that meets the bound. ``hashed``: the documents' q-grams by q."""
     found = []
     doc_start = np.concatenate([[0], stop[:-1]])
-    _, ideograph = _letters()
-    for q in (Q_LETTERS, Q_IDEOGRAPHS):
-        h, item, place, bits = index[q]
-        if not len(h) or len(text) < q:
-            continue
-        g = grams(text, q)
-        at = np.flatnonzero(bits[g >> np.uint64(42)])
-        if q == Q_IDEOGRAPHS:
-            at = at[ideograph[text[at]]]
-        doc = np.searchsorted(stop, at, "right")
-        inside = at + q <= stop[np.minimum(doc, len(stop) - 1)]
-        at, doc = at[inside], doc[inside]
-        lo, hi = np.searchsorted(h, g[at], "left"), np.searchsorted(h, g[at], "right")
-        n = hi - lo
-        if not n.sum():
+    items = len(index["ids"])
+    for q, g in hashed.items():
+        h, item, place, top = index[q]
+        if not len(h) or not len(g):
             continue
+        slot = (g >> np.uint64(64 - TOP)).astype(np.int32)
+        lo = top[slot]
+        n = top[slot + 1] - lo
+        at = np.flatnonzero(n)
+        lo, n = lo[at], n[at]
         each = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        d, i = np.repeat(doc, n), item[each]
-        diagonal = np.repeat(at - doc_start[doc], n) - place[each]
-        bound = need(index["stop"] - index["start"], q)
+        at = np.repeat(at, n)
+        same = h[each] == g[at]
+        at, each = at[same], each[same]
+        d = np.searchsorted(stop, at, "right")
+        inside = at + q <= stop[np.minimum(d, len(stop) - 1)]
+        at, each, d = at[inside], each[inside], d[inside]
+        i = item[each].astype(np.int64)
+        bound = index["need"][q]
+        pair = d * items + i
+        # A pair with too few hits in all has too few in any band.
+        if len(stop) * items <= 1 << 24:
+            often = np.bincount(pair, minlength=len(stop) * items)[pair]
+        else:
+            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+            often = count[inverse]
+        keep = often >= bound[i]
+        if not keep.any():
+            continue
+        pair, at, each, d = pair[keep], at[keep], each[keep], d[keep]
+        key = np.sort(pair << 32 | ((at - doc_start[d]) - place[each] + (1 << 31)))
         for shift in (0, BAND // 2):
-            band = (diagonal + shift) // BAND + (1 << 27)
-            key = (d.astype(np.int64) << 44) | (i.astype(np.int64) << 28) | band
-            unique, count = np.unique(key, return_counts=True)
-            who = (unique >> 28) & 0xFFFF
+            band = (key + shift) // BAND  # 2 ** 32 is a multiple of it: a band never joins two pairs but at the far end, where no diagonal is
+            head = np.flatnonzero(np.diff(band, prepend=-1))
+            count = np.diff(np.append(head, len(band)))
+            who = (key[head] >> 32) % items
             good = count >= bound[who]
-            u = unique[good]
-            found.append((u >> 44, who[good], ((u & 0xFFFFFFF) - (1 << 27)) * BAND - shift + BAND // 2, count[good]))
+            head, count, who = head[good], count[good], who[good]
+            found.append(((key[head] >> 32) // items, who, (band[head] * BAND - shift & 0xFFFFFFFF) - (1 << 31) + BAND // 2, count))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -187,40 +222,45 @@ def _align(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, ite
     doc_start = np.concatenate([[0], stop[:-1]])[doc]
     doc_end = stop[doc]
     padded = np.append(text, 0)
-    offset = np.arange(width) - HALF
-    ramp = np.arange(width, dtype=np.int64) << 24
-    one = np.int64(1 << 24)
-    h = np.zeros((m, width), np.int64)  # score << 24 | where the alignment began, counted from the end
-    best = np.zeros(m, np.int64)
+    # Score above, where the alignment began (counted from the end) below: in 32 bits where both fit.
+    bits, kind = (15, np.int32) if rows < 1 << 15 else (24, np.int64)
+    mask = (1 << bits) - 1
+    ramp = np.arange(width).astype(kind) << bits
+    one = kind(1 << bits)
+    h = np.zeros((m, width), kind)
+    best = np.zeros(m, kind)
     best_end = np.zeros(m, np.int64)
     best_at = np.zeros(m, np.int64)
-    shifted = np.full((m, width), -(1 << 50), np.int64)
+    shifted = np.full((m, width), -one, kind)
+    # Letters of the texts along each band, once: row r sees the window from r on.
+    reach = doc_start[:, None] + low[:, None] + middle[:, None] - HALF + np.arange(rows + width)
+    along = padded[np.where((reach >= doc_start[:, None]) & (reach < doc_end[:, None]), reach, len(text))]
+    along = np.where((reach >= doc_start[:, None]) & (reach < doc_end[:, None]), along, np.uint32(0))
+    own = index["text"][np.minimum(index["start"][item][:, None] + low[:, None] + np.arange(rows), len(index["text"]) - 1)]
+    left = high - low
+    shortest = int(left.min())
     ways = np.zeros((rows if cut else 0, m, width), np.int8)  # 1 match, 2 other letter, 3 item letter left out, 4 letter of the text left out
     for r in range(rows):
-        active = r < high - low
-        letter = index["text"][np.minimum(index["start"][item] + low + r, len(index["text"]) - 1)]
-        j = doc_start[:, None] + (low + r + middle)[:, None] + offset
-        valid = (j >= doc_start[:, None]) & (j < doc_end[:, None])
-        same = valid & (padded[np.where(valid, j, len(text))] == letter[:, None])
-        fresh = np.int64(rows - r)
-        start = np.where(h < one, fresh, h)
-        new = np.where(same, start + one, np.where(h < 3 * one, 0, h - 2 * one))
+        same = along[:, r : r + width] == own[:, r, None]
+        start = np.maximum(h, kind(rows - r))  # what has no score begins here
+        new = np.where(same, start + one, h - 2 * one)
         shifted[:, :-1] = h[:, 1:] - one
         straight = new.copy() if cut else new
         np.maximum(new, shifted, out=new)
         np.maximum(np.maximum.accumulate(new + ramp, axis=1) - ramp, 0, out=new)
         new[new < one] = 0
-        new[~active] = 0
+        if r >= shortest:
+            new[r >= left] = 0
         h = new
         if cut:
             ways[r] = np.where(h == straight, np.where(same, 1, 2), np.where(h == shifted, 3, 4))
         top = h.max(1)
-        better = (top >> 24) > (best >> 24)
+        better = (top >> bits) > (best >> bits)
         best = np.where(better, top, best)
         best_end = np.where(better, r + 1, best_end)
         best_at = np.where(better, h.argmax(1), best_at)
-    begin = np.where(best > 0, rows - (best & 0xFFFFFF), 0)
-    out = best >> 24, low + begin, low + best_end
+    begin = np.where(best > 0, rows - (best & mask).astype(np.int64), 0)
+    out = (best >> bits).astype(np.int64), low + begin, low + best_end
     if not cut:
         return out
     gain = np.zeros((m, rows), np.int64)
@@ -248,7 +288,7 @@ def verify(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, ite
     """
     cum = np.concatenate([[0], np.cumsum(index["weight"])])
     first, opening = index["start"][item], index["opening"][item]
-    whole = np.maximum(index["total"][item] - (cum[first + opening] - cum[first]), 1e-9)
+    whole = np.maximum(cum[index["stop"][item]] - cum[first + opening], 1e-9)
 
     def part(who: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         outside = np.minimum(np.maximum(begin, opening[who]), end)
@@ -282,58 +322,78 @@ def verify(index: dict, text: np.ndarray, stop: np.ndarray, doc: np.ndarray, ite
         score, begin, end = (np.concatenate(x) for x in zip(*got))
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.RecordBatch]:
+def _leaks(batches: Iterator[pa.RecordBatch], indexes: list[dict]) -> Iterator[pa.RecordBatch]:
     tables()
     for batch in batches:
         for part in slices(batch, "text"):
             text, stop, _ = letters(*folded(*code_points(part.column(part.schema.get_field_index("text")))))
-            doc, item, middle, count = candidates(index, text, stop)
-            order = np.lexsort((-count, item, doc))
-            doc, item, middle = doc[order], item[order], middle[order]
-            out_doc, out_item, out_share = [], [], []
-            while len(doc):  # the fullest band of each pair first; the others only if it fails
-                lead = np.ones(len(doc), bool)
-                lead[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-                pair = np.cumsum(lead) - 1
-                first = np.flatnonzero(lead)
-                share = np.concatenate([verify(index, text, stop, doc[s], item[s], middle[s]) for s in (first[k : k + TOGETHER] for k in range(0, len(first), TOGETHER))])
-                hit = share >= SHARE
-                out_doc.append(doc[first[hit]])
-                out_item.append(item[first[hit]])
-                out_share.append(share[hit])
-                rest = ~lead & ~hit[pair]
-                doc, item, middle = doc[rest], item[rest], middle[rest]
-            if out_doc and sum(map(len, out_doc)):
-                d = np.concatenate(out_doc)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")).take(pa.array(d)), pa.array(index["ids"][np.concatenate(out_item)]), pa.array(np.round(np.concatenate(out_share), 4))], names=["doc_id", "item_id", "share"]
-                )
-
-
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+            hashed = {q: grams(text, q) for q in (Q_LETTERS, Q_IDEOGRAPHS) if any(len(index[q][0]) for index in indexes)}
+            for index in indexes:
+                yield from _found(index, part.column(part.schema.get_field_index("doc_id")), text, stop, hashed)
+
+
+def _found(index: dict, ids: pa.Array, text: np.ndarray, stop: np.ndarray, hashed: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one slice of documents with one block of items."""
+    doc, item, middle, count = candidates(index, hashed, stop)
+    order = np.lexsort((-count, item, doc))
+    doc, item, middle = doc[order], item[order], middle[order]
+    out_doc, out_item, out_share = [], [], []
+    while len(doc):  # the fullest band of each pair first; the others only if it fails
+        lead = np.ones(len(doc), bool)
+        lead[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+        pair = np.cumsum(lead) - 1
+        first = np.flatnonzero(lead)
+        # Items of like length are aligned in step.
+        share, by_length = np.zeros(len(first)), np.argsort((index["stop"] - index["start"])[item[first]], kind="stable")
+        for k in range(0, len(first), TOGETHER):
+            some = by_length[k : k + TOGETHER]
+            at = first[some]
+            share[some] = verify(index, text, stop, doc[at], item[at], middle[at])
+        hit = share >= SHARE
+        out_doc.append(doc[first[hit]])
+        out_item.append(item[first[hit]])
+        out_share.append(share[hit])
+        rest = ~lead & ~hit[pair]
+        doc, item, middle = doc[rest], item[rest], middle[rest]
+    if out_doc and sum(map(len, out_doc)):
+        d = np.concatenate(out_doc)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(d)), pa.array(index["ids"][np.concatenate(out_item)]), pa.array(np.round(np.concatenate(out_share), 4))], names=["doc_id", "item_id", "share"]
+        )
+
+
+def leaks(documents: DataFrame, items: DataFrame, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """``doc_id, item_id, share``: documents that hold an item, or a stretch of three tenths of its words.
 
     ``share`` counts the item's words in the best stretch, a shared opening instruction left out on both
     sides. Null and empty texts and items, and items shorter than a q-gram, match nothing; repeated
-    documents are each reported; an item id that stands twice is reported for either text. Items come in
-    blocks of ``BLOCK_LETTERS``, so that what goes to a task stays bounded however many there are.
+    documents are each reported; an item id that stands twice is reported for either text. Items are dealt to
+    blocks of about ``block_letters`` characters, so that what goes to a task stays bounded however many there
+    are; ``BLOCKS_A_PASS`` blocks share one pass over the corpus. Blocks don't change the rows.
     """
-    blocks: list[list[tuple[int, str]]] = []
-    size = BLOCK_LETTERS + 1
-    for row in items.filter("item_text <> ''").select("item_id", "item_text").orderBy("item_id", "item_text").toLocalIterator():
-        if size + len(row[1]) > BLOCK_LETTERS or len(blocks[-1]) >= 60_000:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += len(row[1])
-    out = None
+    spark = documents.sparkSession
+    scratch = Scratch(spark)
+    opened = scratch.cut(shared_openings(items))
+    size = opened.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0)), F.count("*")).first()
+    schema = "doc_id long, item_id long, share double"
+    if not size[1]:
+        return spark.createDataFrame([], schema)
+    blocks = max(-(-size[0] // block_letters), -(-size[1] // 50_000))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item_id", "item_text"])
+        return pd.DataFrame({"index": [pickle.dumps(build_index(list(zip(pdf["item_id"], pdf["item_text"])), pdf["opening"].tolist()), protocol=5)]})
+
+    built = scratch.cut(opened.groupBy(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)).alias("block")).applyInPandas(build, "index binary"))
     docs = documents.filter("text <> ''").select("doc_id", "text")
-    for block in blocks:
-        shared = documents.sparkSession.sparkContext.broadcast(build_index(block))
+    # The driver hands the indexes on, one block at a time.
+    held = [spark.sparkContext.broadcast(bytes(row["index"])) for row in built.toLocalIterator()]
+    out = None
+    for at in range(0, len(held), BLOCKS_A_PASS):
 
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            return _leaks(batches, shared.value)
+        def task(batches: Iterator[pa.RecordBatch], some=held[at : at + BLOCKS_A_PASS]) -> Iterator[pa.RecordBatch]:
+            return _leaks(batches, [pickle.loads(b.value) for b in some])
 
-        part = docs.mapInArrow(task, "doc_id long, item_id long, share double")
+        part = docs.mapInArrow(task, schema)
         out = part if out is None else out.unionByName(part)
-    return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, share double") if out is None else out
+    return out
