@@ -1,3 +1,4 @@
+import pytest
 from trackloom.operators import cleaning as C
 from trackloom.functions import keys as K
 from pyspark.sql import functions as F
@@ -16,6 +17,17 @@ def test_label_lines(spark):
     assert [tuple(round(v, 9) for v in boxes[0]), ignored, converted, errors] == [(0.2, 0.3, 0.2, 0.4), 0, 1, 0]
     assert parsed(spark, "0 0.5 0.5 0 0.1\n0 0.5 x 0.1 0.1\ninf 0.5 0.5 0.1 0.1\n0 nan 0.5 0.1 0.1\n0 1 2 3\n0 1.5 0.5 0.1 0.1")[3] == 6
     assert parsed(spark, None) == parsed(spark, "") == ([], 0, 0, 0)
+    text = "0 0.5 0.5 0.1 0.1\r\n\n0 1d 0.5 0.1 0.1\x0b0 nan 0.5 0.1 0.1\u20280 1 2 3\n0 0.5 0.5 0.1 1.5\r0 0.1 0.1 1.3 0.1 0.3 0.5\n7 1 1 1 1"
+    p = C.parse_labels(spark.createDataFrame([(text, 0)], "label_text string, ball_class int")).first().parsed
+    assert p.messages == ["line 3: non-numeric value", "line 4: non-finite coordinate", "line 5: expected box or polygon values", "line 6: coordinate outside YOLO range", "line 7: polygon coordinate outside YOLO range"]
+    assert len(p.boxes) == 1 and (p.ignored, p.converted, p.errors) == (1, 0, 5)
+
+
+def test_court_labels(spark):
+    good = "0 " + " ".join(["0.5"] * 40)
+    rows = [(1, good), (2, good + "\n" + good + "\n"), (3, good + " 1"), (4, good + "\n1" + good[1:]), (5, good.replace("0.5", "x", 1)), (6, good + "\n\n" + good), (7, ""), (8, None), (9, good.replace("0.5", "nan", 1))]
+    got = {r.i: r.court_error for r in C.parse_court_labels(spark.createDataFrame(rows, "i int, label_text string")).collect()}
+    assert got == {1: None, 2: None, 3: "line 1: expected 41 values, got 42", 4: "line 2: invalid class or coordinate", 5: "line 1: non-numeric value", 6: "line 2: expected 41 values, got 0", 7: None, 8: None, 9: "line 1: invalid class or coordinate"}
 
 
 def test_names(spark):
@@ -57,3 +69,18 @@ def test_grouped_split(spark):
     sizes = {s: sum(v == s for v in got.values()) * 10 for s in C.SPLITS}
     assert sizes == {"train": 320, "valid": 40, "test": 40}
     assert C.grouped_split(spark.createDataFrame([], RECORDS)).count() == 0
+    with pytest.raises(Exception, match="more than 3"):
+        C.grouped_split(spark.createDataFrame(rows, RECORDS), 3).collect()
+    split = spark.createDataFrame([("c1", "train"), ("c2", "test")], "clip_key string, clean_split string")
+    torn = [record(1, "same", 1, clip="c1"), record(2, "same", 1, clip="c2"), record(3, "own", 1, clip="c2"), record(4, None, 1, clip=None)]
+    assert tuple(C.split_overlap(spark.createDataFrame(torn, RECORDS), split).first()) == (0, 1)
+
+
+def test_manifest_and_negatives(spark):
+    df = spark.createDataFrame([record(1, "k", 5, h="aa:5"), record(2, None, 5, 0)], RECORDS).withColumn("assigned_split", F.lit("train"))
+    rows = {r.source_image: r for r in C.manifest(df).collect()}
+    import hashlib
+
+    assert rows["img1.jpg"].clean_image == "train/images/s__" + hashlib.sha1(b"s:k:aa:5").hexdigest()[:16] + ".jpg" and tuple(rows["img1.jpg"].asDict()) == C.MANIFEST
+    assert tuple(C.negative_stats(df).first()) == (1, 1, 0, 0.25) and tuple(C.negative_stats(df.limit(0)).first()) == (0, 0, 0, 0.25)
+    assert C.manifest(df.limit(0)).count() == 0

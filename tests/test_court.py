@@ -23,7 +23,11 @@ def test_fit_and_gates(spark):
     r = one([*seen(range(14)), ("s", 99, 1.0, 1.0)])[0]
     assert r.status == "accepted" and r.points == 14 and r.mean_error_px < 0.1
     off = one(seen(range(14), wrong=5))[0]
-    assert off.inlier_ratio < 1
+    assert off.inlier_ratio == round(13 / 14, 3)
+    few = seen([0, 2, 5, 8, 11, 13], wrong=5)  # one gross error among six points: seen through, but it counts in the mean error
+    h, near = court.robust(np.array([x[2:] for x in few]), np.array([court.POINTS[x[1]] for x in few]), 1.5)
+    assert near.tolist() == [True, True, False, True, True, True] and abs(h - np.array(r.h).reshape(3, 3)).max() < 1e-6
+    assert one(few)[0].status == "rejected_reproj_error" and one(few)[0].h is None
     assert one(seen([0, 1, 2]))[0].status == "too_few" and one(seen([0, 3, 6, 8, 11]))[0].status == "missing_left_right_coverage" and one(seen([0, 1, 2, 3, 5]))[0].status == "missing_near_far_coverage"
     assert one([]) == []
 
@@ -51,3 +55,12 @@ def test_single_ball():
     states = [ball.frame(np.zeros((0, 5)))[0] for _ in range(4)]
     assert states == ["predicted", "predicted", "absent", "absent"]
     assert ball.frame(d(900, 100))[0] == "observed"
+
+
+def test_observations_and_calibration(spark):
+    text = "court:\n  keypoints_14:\n    0: [0, 0]\n    3: [5.5, 6]\n    1: [0, 2]\n"
+    k = court.calibration(spark, text, "s")
+    o = court.observations(k.unionByName(k.limit(1)), "calibration_file").first()
+    assert o.visible_indices == [1, 3] and o.num_visible == 2 and not o.is_reliable and o.keypoints[3].x == 5.5 and set(o.confidences.values()) == {1.0}
+    assert court.calibration(spark, "", "s").count() == 0 and court.observations(k.limit(0)).count() == 0
+    assert court.lines(spark).count() == 19 and court.lines(spark, "short_end").count() == 19 and court.lines(spark, "top").count() == 11
