@@ -30,7 +30,7 @@ OUTSIDE = 0.05
 STUCK = 6
 ALPHA, CHART_LIMIT, RESTART = 0.3, 2.0, 6
 CHASES = (1.0, 0.4)  # a quick chart follows turns at once, a slow one sees the end of a long spike
-HOT_ROWS, BLOCK_FRAMES, MARGIN = 2_000_000, 250_000, 500
+HOT_ROWS, BLOCK_FRAMES, MARGIN = 50_000, 20_000, 500
 BATCH_ROWS = 100_000
 MEASURES = "stream_id string, track_id long, at long, kind int, key long, first array<double>, last array<double>, heads array<long>, tails array<long>"
 EDGES = "stream_id string, track_id long, at long, block long, lo long, hi long, key long"
@@ -316,11 +316,19 @@ def _ranked(values: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _tracks(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], Iterator[pa.RecordBatch]] = _judged) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
-    count = 0
+    count, tail = 0, None
+
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(batch.schema.get_field_index(c))[row].as_py() for c in ("stream_id", "track_id", "block"))
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = tail == key(batch, 0) == key(batch, batch.num_rows - 1)  # goes on with one track: nothing to give out, nothing to copy
+        tail = key(batch, batch.num_rows - 1)
         held.append(batch)
         count += batch.num_rows
-        if count < BATCH_ROWS:
+        if count < BATCH_ROWS or same:
             continue
         table = pa.Table.from_batches(held)
         last = {c: table.column(c)[-1].as_py() for c in ("stream_id", "track_id", "block")}
