@@ -21,7 +21,7 @@ def fold(texts):
     return forms.text_array(points, ends, column.is_valid().to_numpy(zero_copy_only=False)).to_pylist()
 
 
-ALPHABET = "aAеЕiі1lо0ȩ́́̈​  ﬁＡ，。⼈人K\n -‑ßйё﻿Ｚ"
+ALPHABET = "aAеЕiі1lо0ȩ́́̈​  ﬁＡ，。⼈人K\n -‑ßйё﻿Ｚ한가각\u1112\u1161\u11ab\u1100\u1175"
 
 
 @settings(deadline=None, max_examples=60)
@@ -32,11 +32,11 @@ def test_forms_equal_a_fold_by_character(texts):
 
 
 def test_what_looks_the_same_and_what_does_not():
-    same = [("café", "café"), ("paddle", "pаddlе"), ("a b", "a b"), ("ab", "a​b"), ("１２", "12"), ("ﬁn", "fin"), ("⼈", "人"), ("no-go", "no‑go"), ("ё", "ё"), ("x\ny", "x\r\ny")]
+    same = [("café", "café"), ("paddle", "pаddlе"), ("a b", "a b"), ("ab", "a​b"), ("１２", "12"), ("ﬁn", "fin"), ("⼈", "人"), ("no-go", "no‑go"), ("ё", "ё"), ("x\ny", "x\r\ny"), ("한국어", unicodedata.normalize("NFD", "한국어")), ("Set V", "Ꮪet Ⅴ"), ("HAND", "Ⲏꓮꓠꓓ"), ("5 µm", "5 μm")]
     for a, b in same:
         x, y = fold([a, b])
         assert x == y, (a, b)
-    for a, b in [("a", "A"), ("cafe", "café"), ("1", "2"), ("l", "1"), ("O", "0"), ("a b", "ab"), ("x² ", "x2 "), ("З", "3")]:
+    for a, b in [("a", "A"), ("cafe", "café"), ("1", "2"), ("l", "1"), ("O", "0"), ("a b", "ab"), ("x² ", "x2 "), ("З", "3"), ("한", "하"), ("Ⅷ", "VIII"), ("𝐀", "A")]:
         x, y = fold([a, b])
         assert x != y, (a, b)
     assert fold([None, "", "​"]) == [None, "", ""]
@@ -47,6 +47,7 @@ def test_same_looking_pairs(spark):
     df = spark.createDataFrame([(*r, 1, "f", 1) for r in rows], DOCS)
     assert sorted(tuple(r) for r in forms.same_looking(df, Scratch(spark)).collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
     assert forms.forms(df).count() == 10 and forms.same_looking(df.limit(0), Scratch(spark)).count() == 0
+    assert sorted(tuple(r) for r in forms.same_looking_classes(df, Scratch(spark)).collect()) == [(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 1, 4), (4, 1, 3)] and forms.same_looking_classes(df.limit(0), Scratch(spark)).count() == 0
 
 
 WORDS = ["gate", "net", "ball", "racket", "court", "umpire", "camera", "frame", "lens", "track", "shadow", "label", "box", "line", "serve", "drive", "clip", "paddle", "corner", "light"]

@@ -28,7 +28,13 @@ LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ԍ": "G",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ɡ": "g", "ɑ": "a", "ı": "i", "ⅼ": "l", "ⅰ": "i", "Ⅰ": "I",
+    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ɡ": "g", "ɑ": "a", "ı": "i", "µ": "μ",
+    "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
+    "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "զ": "q", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "ց": "g", "օ": "o",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲥ": "c",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O",
+    "ꓴ": "U",
 }
 HYPHENS = "‐‑﹣"
 LINE_ENDS = "  \x85"
@@ -128,6 +134,26 @@ def folded(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
             head = np.zeros(len(out) + 1, bool)
             head[np.concatenate([[0], ends])] = True
             head = head[:-1]
+    return syllables(out, ends, head)
+
+
+# First code points of Hangul syllables and their letters, and how many letters there are of each kind.
+SYLLABLE, LEAD, VOWEL, TRAIL = 0xAC00, 0x1100, 0x1161, 0x11A7
+LEADS, VOWELS, TRAILS = 19, 21, 28
+
+
+def syllables(out: np.ndarray, ends: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hangul letters composed into syllables: a leading one with a vowel, then such a syllable with a trailing one."""
+    for open_, last, first, count in ((lambda c: (c >= LEAD) & (c < LEAD + LEADS), lambda a, b: SYLLABLE + ((a - LEAD) * VOWELS + b - VOWEL) * TRAILS, VOWEL, VOWELS), (lambda c: (c >= SYLLABLE) & (c < SYLLABLE + LEADS * VOWELS * TRAILS) & ((c - SYLLABLE) % TRAILS == 0), lambda a, b: a + b - TRAIL, TRAIL + 1, TRAILS - 1)):
+        second = (out >= first) & (out < first + count) & ~head
+        if not second.any():
+            continue
+        at = np.flatnonzero(second[1:] & open_(out[:-1].astype(np.int64)))
+        out[at] = last(out[at].astype(np.int64), out[at + 1].astype(np.int64))
+        keep = np.ones(len(out), bool)
+        keep[at + 1] = False
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        out, head = out[keep], head[keep]
     return out, ends
 
 
@@ -185,17 +211,29 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), text, form], names=["doc_id", "text", "form"])
 
 
-def same_looking(documents: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id_a, doc_id_b`` (smaller first): documents with equal forms and different texts. Null and empty texts, and texts without any ink, don't count.
+def _seen(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, raw, form`` (digests) of all texts with ink, and ``form, raw, n`` of forms that have two or more texts.
 
-    Texts are read and folded once; only 128-bit digests of text and form are kept and moved.
+    Texts are read and folded once; only 128-bit digests of text and form are kept and moved. Forms of one text
+    alone, however often it was copied, go here.
     """
     both = documents.filter("text <> ''").select("doc_id", "text").mapInArrow(_digests, "doc_id long, text string, form string")
     seen = scratch.cut(both.filter("form <> ''").select("doc_id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("form")).alias("form")))
-    # One row per text of a form: forms of one text alone, however often it was copied, end here.
-    texts = seen.groupBy("form", "raw").agg(F.count("*").alias("n"))
-    mixed = texts.groupBy("form").agg(F.count("*").alias("texts")).filter("texts > 1").select("form")
-    rows = seen.join(mixed, "form", "left_semi")
+    texts = seen.groupBy("form", "raw").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    mixed = texts.groupBy("form").agg(F.count("*").alias("texts"), F.sum("n").alias("all"), F.min("least").alias("class_id")).filter("texts > 1")
+    return seen, texts.join(mixed, "form").select("form", "raw", "n", "class_id", (F.col("all") - F.col("n")).alias("links"))
+
+
+def same_looking_classes(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, class_id, links`` of every document that looks like one with another text: the least doc_id of those that look the same, and how many of them have another text. One row a document, whatever the size of a class; no pair is built. Null and empty texts, and texts without any ink, don't count."""
+    seen, texts = _seen(documents, scratch)
+    return seen.join(texts.select("form", "raw", "class_id", "links"), ["form", "raw"]).select("doc_id", "class_id", "links")
+
+
+def same_looking(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id_a, doc_id_b`` (smaller first): the classes of ``same_looking_classes`` written out as pairs of documents with different texts, as long as the pairs themselves are wanted."""
+    seen, texts = _seen(documents, scratch)
+    rows = seen.join(texts.select("form", "raw"), ["form", "raw"], "left_semi")
     a = rows.select("form", F.col("raw").alias("raw_a"), F.col("doc_id").alias("a"))
     b = rows.select("form", F.col("raw").alias("raw_b"), F.col("doc_id").alias("b"))
     return a.join(b, "form").filter("a < b AND raw_a <> raw_b").select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()

@@ -70,8 +70,12 @@ def p8_found(spark, d):
     return forms.same_looking(table(spark, d, "documents"), Scratch(spark))
 
 
+def p8_classes(spark, d):
+    return forms.same_looking_classes(table(spark, d, "documents"), Scratch(spark))
+
+
 def p8_forms(spark, d):
     return forms.forms(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p3_overlaps, p4_found, p4_survivors, p6_pack, p6_report, p7_found, p7_leaks, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_split, p2_report, p3_found, p3_report, p3_overlaps, p4_found, p4_survivors, p6_pack, p6_report, p7_found, p7_leaks, p8_found, p8_classes, p8_forms)}
