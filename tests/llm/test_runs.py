@@ -3,6 +3,7 @@ import random
 import pytest
 
 from trackloom.llm import runs
+from trackloom.session import Scratch
 
 SCHEMA = "row_id long, stream_id string, track_id long, frame_index long, status string, missing_frames int, block int, part int, run string"
 
@@ -53,13 +54,13 @@ def test_equals_brute_force_at_any_block_size(spark, block):
                 rows.append((len(rows), *rows[-1][1:]))
     rows.append((99999, "s", None, 5, "absent", 0, 1, 1, "x"))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = sorted((r.stream_id, r.track_id, r.first_frame, r.last_frame, r.frames) for r in runs.runs(df, block_frames=block).collect())
+    got = sorted((r.stream_id, r.track_id, r.first_frame, r.last_frame, r.frames) for r in runs.runs(df, Scratch(spark), block_frames=block).collect())
     assert got == brute(rows)
 
 
 def test_empty_and_null(spark):
-    assert runs.runs(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert runs.runs(spark.createDataFrame([], SCHEMA), Scratch(spark)).count() == 0
     one = spark.createDataFrame([(1, "s", 1, 4, None, None, 1, 1, "x"), (2, "s", 1, 5, None, None, 1, 1, "x")], SCHEMA)
-    assert [(r.first_frame, r.last_frame, r.frames) for r in runs.runs(one).collect()] == [(4, 5, 2)]
+    assert [(r.first_frame, r.last_frame, r.frames) for r in runs.runs(one, Scratch(spark)).collect()] == [(4, 5, 2)]
     frames = spark.createDataFrame([("s", 0, 0.0), ("s", 10, 1.0), ("s", 11, None)], "stream_id string, frame_index long, ts_s double")
-    assert runs.with_duration(runs.runs(one), frames).first().duration_s == 0.1
+    assert runs.with_duration(runs.runs(one, Scratch(spark)), frames).first().duration_s == 0.1

@@ -10,11 +10,11 @@ from . import forms, leaks, overlap, packing, runs, splits, survivors
 
 def p1_runs(spark, d):
     tracks, frames = table(spark, d, "ball_tracks"), table(spark, d, "frames")
-    return runs.with_duration(runs.runs(tracks), frames).select("stream_id", "track_id", "status", "first_frame", "last_frame", "frames", "duration_s")
+    return runs.with_duration(runs.runs(tracks, Scratch(spark)), frames).select("stream_id", "track_id", "status", "first_frame", "last_frame", "frames", "duration_s")
 
 
 def p1_found(spark, d):
-    return runs.runs(table(spark, d, "ball_tracks")).filter("last_frame > first_frame").select("stream_id", "track_id", "first_frame", "last_frame")
+    return runs.runs(table(spark, d, "ball_tracks"), Scratch(spark)).filter("last_frame > first_frame").select("stream_id", "track_id", "first_frame", "last_frame")
 
 
 def p2_found(spark, d):

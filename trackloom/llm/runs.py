@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tracks import status_name
+from ..session import Scratch
 
 BLOCK_FRAMES = 16384
 MAX_STEP = 5
@@ -44,7 +45,7 @@ def _close(events: DataFrame, keys: list[str], back: F.Column) -> DataFrame:
     return filled.withColumn("run", F.row_number().over(of) - F.row_number().over(of_base))
 
 
-def runs(tracks: DataFrame, max_step: int = MAX_STEP, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+def runs(tracks: DataFrame, scratch: Scratch, max_step: int = MAX_STEP, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """One row per run of one state: ``stream_id, track_id, status, base, first_frame, last_frame, frames``.
 
     A run goes on while the status means the same, the frame rises by at most ``max_step`` and, if the
@@ -73,6 +74,7 @@ def runs(tracks: DataFrame, max_step: int = MAX_STEP, block_frames: int = BLOCK_
     local = _close(cut, keys, ~F.col("edge")).groupBy(*keys, "edge", "stretch", "island", "status", "base", "run").agg(
         F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.count("*").alias("frames")
     )
+    local = scratch.cut(local)  # read twice: what lies inside a block, and what touches its edges
     out = [*KEYS, "status", "base", "first_frame", "last_frame", "frames"]
     # Pieces at edges: two islands of one block must not be joined past the runs that lie between them.
     edges = local.filter("edge").select(*out, "block", F.struct("stretch", "island", "status").alias("place"))
