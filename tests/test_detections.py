@@ -51,3 +51,22 @@ def test_raw_output(spark):
     assert [(r.row, r.class_id, r.x1) for r in rows] == [(0, 5, 1.0), (1, 1, 8.0)]
     with pytest.raises(Exception, match="fewer than five"):
         D.decode_scores(spark.createDataFrame([("s", 0, 0, [1.0, 2.0])], schema), 0.1).collect()
+
+
+def test_pluggable_detector(spark):
+    import pandas as pd
+
+    frames = spark.createDataFrame([("s", i, "x") for i in range(5)], "stream_id string, frame_index long, pixels string")
+
+    def load():
+        def found(rows):
+            own = rows[rows["frame_index"] % 2 == 0][["stream_id", "frame_index"]]
+            return pd.concat([own, own]).assign(x1=0.0, y1=0.0, x2=4.0, y2=2.0, confidence=0.5, class_id=0)
+
+        return found
+
+    got = sorted((r.frame_index, r.det_idx, r.cx, r.cy, r.source) for r in D.detect(frames, load).collect())
+    assert got == [(i, k, 2.0, 1.0, "detector") for i in (0, 2, 4) for k in (0, 1)]
+    assert D.detect(frames, "null").count() == 0 and D.detect(frames.limit(0), load).count() == 0
+    with pytest.raises(ValueError):
+        D.detect(frames, "none such")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,32 @@ def none(frames: DataFrame) -> DataFrame:
     return frames.select(*FRAME, *[F.lit(None).cast(t).alias(n) for n, t in (("det_idx", "int"), *((c, "double") for c in ("x1", "y1", "x2", "y2", "cx", "cy", "confidence")), ("source", "string"), ("class_id", "int"))]).filter(F.lit(False))
 
 
+DETECTIONS = "stream_id string, frame_index long, det_idx int, x1 double, y1 double, x2 double, y2 double, cx double, cy double, confidence double, source string, class_id int"
+BACKENDS: dict[str, Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]] = {"null": lambda: lambda rows: rows.iloc[:0]}
+
+
+def detect(frames: DataFrame, backend: str | Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], source: str = "detector") -> DataFrame:
+    """Detections of a pluggable detector over batches of ``frames`` (any columns). ``backend`` is a name in ``BACKENDS`` (``null`` finds nothing; others are for the user to add) or a function that is called once a task, to load what it needs, and gives a function from a batch of frames to its boxes.
+
+    Boxes: stream_id, frame_index, x1, y1, x2, y2, confidence, class_id; center, det_idx (in the order given) and source are added. An unknown name fails.
+    """
+    if isinstance(backend, str):
+        if backend not in BACKENDS:
+            raise ValueError(f"unknown detector {backend!r}, known: {sorted(BACKENDS)}")
+        backend = BACKENDS[backend]
+    names = [c.split()[0] for c in DETECTIONS.split(", ")]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = backend()
+        for rows in batches:
+            out = found(rows)
+            if len(out):
+                number = out.groupby(["stream_id", "frame_index"], sort=False).cumcount()
+                yield out.assign(det_idx=number, cx=(out["x1"] + out["x2"]) / 2, cy=(out["y1"] + out["y2"]) / 2, source=source)[names]
+
+    return frames.mapInPandas(work, DETECTIONS)
+
+
 def guarded(detections: DataFrame, failed: DataFrame, strict: bool = True) -> DataFrame:
     """Detections of a detector that fails: from a stream's first failure on (stream_id, frame_index in ``failed``) it gives nothing more. ``strict`` stops the run at a failure instead."""
     first = failed.groupBy("stream_id").agg(F.min("frame_index").alias("_off"))

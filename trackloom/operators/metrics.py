@@ -29,6 +29,14 @@ def throughput(frames: DataFrame) -> DataFrame:
     return frames.groupBy("stream_id").agg(F.count("*").alias("processed"), span.alias("elapsed_s"), F.when(span > 0, F.count("*") / span).alias("fps"))
 
 
+def stream_metadata(frames: DataFrame) -> DataFrame:
+    """One row a stream, as its container would state it: frames, first and last index, picture size (the most frequent), and rate by the slope of time over index; 30 where there are no two times."""
+    sizes = frames.groupBy("stream_id", "width", "height").agg(F.count("*").alias("n")).groupBy("stream_id").agg(F.max_by(F.struct("width", "height"), F.struct("n", "width", "height")).alias("s"))
+    slope = F.regr_slope("ts_s", F.col("frame_index").cast("double"))
+    own = frames.groupBy("stream_id").agg(F.count("*").alias("frames"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"), F.when(slope > 0, 1 / slope).otherwise(30.0).alias("fps"))
+    return own.join(sizes, "stream_id").select("stream_id", "frames", "first_frame", "last_frame", "s.width", "s.height", "fps")
+
+
 def compare(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Two trackers (keys ``by``, frame_index, x, y; one row a frame) side by side: frames that both, only one or the other have, and how far apart they are."""
     both = a.select(*by, "frame_index", F.col("x").alias("ax"), F.col("y").alias("ay")).join(b.select(*by, "frame_index", F.col("x").alias("bx"), F.col("y").alias("by")), [*by, "frame_index"], "full")

@@ -381,6 +381,10 @@ def throughput(spark, d):
     return metrics.throughput(table(spark, d, "frames")).select("stream_id", "processed", F.round("elapsed_s", 6).alias("elapsed_s"), F.round("fps", 6).alias("fps"))
 
 
+def stream_metadata(spark, d):
+    return metrics.stream_metadata(table(spark, d, "frames")).withColumn("fps", F.round("fps", 4))
+
+
 def ab_compare(spark, d):
     """Delivered tracks against the most confident detections, frame by frame."""
     a = _finite(_tracks(spark, d)).groupBy(*KEYS).agg(F.min_by("cx", "track_id").alias("x"), F.min_by("cy", "track_id").alias("y"))
@@ -504,7 +508,7 @@ QUERIES = {
         p5_found, p5_spikes, det_conf_tiers, det_filter, det_box_forms, det_letterbox, det_crop, det_topk_per_frame, det_decode, det_none, det_failure, frame_sampling, frame_range, frame_spine_gaps, pair_metrics, dedup_greedy, nms_iou,
         frame_counters, camera_gate, gated_candidates, association_anti, track_multi, track_diagnostics, frame_results_json, track_trails, status_counts, lost_events, bounce_candidates, bounce_events, leave_side, confidence_decay, velocity_lag,
         moving_average, kalman_smooth, track_metrics, homography_project, homography_inverse, zone_classify, homography_cache, label_parse, label_errors, court_labels, norm_source_key, dedup_variants, dedup_exact, dedup_stats, exact_stats,
-        negative_cap, negative_stats, grouped_split, split_overlap_check, split_counts, cleaned_splits, manifest, label_lines, source_audit, clean_pipeline, cleaning_report, latency_summary, throughput, ab_compare, event_flags, frame_events,
+        negative_cap, negative_stats, grouped_split, split_overlap_check, split_counts, cleaned_splits, manifest, label_lines, source_audit, clean_pipeline, cleaning_report, latency_summary, throughput, stream_metadata, ab_compare, event_flags, frame_events,
         projection_anchor, keypoint_ema, frame_timestamp, court_observations, court_lines, regression_gate, skip_existing, rolling_fps, best_detection, batch_summary, batch_fail_fast, search_region, court_pixels, court_coverage, homography_fit,
         track_single,
     )

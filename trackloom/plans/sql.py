@@ -230,6 +230,8 @@ SELECT (SELECT count(*) FROM (SELECT clip_key FROM j GROUP BY clip_key HAVING co
 SELECT stream_id, count(ms) measured_frames, round(avg(ms), 6) pipeline_ms_mean, round(quantile_cont(ms, 0.5), 6) pipeline_ms_p50, round(quantile_cont(ms, 0.95), 6) pipeline_ms_p95, round(1000 / avg(ms), 6) throughput_fps, round(coalesce(avg(dms), 0), 6) detector_ms_mean,
   round(coalesce(quantile_cont(dms, 0.95), 0), 6) detector_ms_p95 FROM t WHERE ms > 0 AND frame_index >= 20 GROUP BY stream_id""",
     "throughput": "SELECT stream_id, count(*) processed, round(max(ts_s) - min(ts_s), 6) elapsed_s, CASE WHEN max(ts_s) > min(ts_s) THEN round(count(*) / (max(ts_s) - min(ts_s)), 6) END fps FROM frames GROUP BY stream_id",
+    "stream_metadata": """WITH s AS (SELECT stream_id, arg_max(width, (n, width, height)) width, arg_max(height, (n, width, height)) height FROM (SELECT stream_id, width, height, count(*) n FROM frames GROUP BY ALL) GROUP BY stream_id)
+SELECT stream_id, frames, first_frame, last_frame, width, height, round(CASE WHEN slope > 0 THEN 1 / slope ELSE 30 END, 4) fps FROM (SELECT stream_id, count(*) frames, min(frame_index) first_frame, max(frame_index) last_frame, regr_slope(ts_s, frame_index::DOUBLE) slope FROM frames GROUP BY stream_id) JOIN s USING (stream_id)""",
     "ab_compare": f"""WITH {_DET}, {_T}, {_FIN}, a AS (SELECT stream_id, frame_index, arg_min(cx, track_id) ax, arg_min(cy, track_id) ay FROM fin GROUP BY ALL),
 b AS (SELECT stream_id, frame_index, cx bx, cy "by" FROM det QUALIFY row_number() OVER (PARTITION BY stream_id, frame_index ORDER BY confidence DESC, det_idx) = 1),
 j AS (SELECT *, sqrt(pow(ax - bx, 2) + pow(ay - "by", 2)) far FROM a FULL JOIN b USING (stream_id, frame_index))
