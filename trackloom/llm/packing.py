@@ -21,6 +21,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,12 @@ def _encoding(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n``: tokens of the whole text. Null texts have no row; an empty one has 0."""
+    """``doc_id, n``: tokens of the whole text. Null texts have no row; an empty one has 0. The vocabulary file need only be where the driver is: it goes to the executors with the job."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()

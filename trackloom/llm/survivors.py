@@ -44,7 +44,7 @@ def text_boxes(text: str) -> F.Column:
 
 
 def image_members(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(record_id, group_id)``: records with the same source frame, or the same checksum and size, directly or by way of others; group_id is the least record_id. A record with neither is a group of its own."""
+    """``(record_id, group_id)``: records with the same source frame, or the same checksum and size, directly or by way of others; group_id is the least record_id. A record with neither is a group of its own, a record_id that stands twice a row each."""
     keyed = scratch.cut(records.select("record_id", frame_name(F.col("source_key")).alias("frame"), checksum(F.col("image_hash")).alias("checksum")))
     return linked_groups(keyed, "record_id", ["frame", "checksum"], scratch)
 
@@ -59,12 +59,18 @@ def _values() -> dict[str, F.Column]:
     }
 
 
-def _claims(records: DataFrame, members: DataFrame) -> DataFrame:
-    """``group_id, field, value, source, n, latest``: who claims what, repeated claims counted. Null, invalid and unreadable values claim nothing; a list without a possible box claims that there are none."""
-    raw = records.select("record_id", "source", "scanned_at", "boxes", "ignored_objects", "file_size", "source_key", "image_hash", "clip_key", "original_split", "assigned_split")
-    # Values are worked out behind the join, for records of shared images alone.
-    row = raw.join(members.select("record_id", "group_id"), "record_id").select("group_id", F.coalesce("source", F.lit("")).alias("source"), "scanned_at", F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in _values().items()]).alias("c"))
-    claims = row.select("group_id", "source", "scanned_at", F.explode("c").alias("c")).select("group_id", "c.field", "c.value", "source", "scanned_at").filter("value <> ''")
+def _read(records: DataFrame, members: DataFrame) -> DataFrame:
+    """Every record once, with its group, the group's ``copies`` and its values made readable: what all later steps read. Null, invalid and unreadable values are null; a list without a possible box is "[]"."""
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("copies"))
+    values = [F.nullif(v, F.lit("")).alias(f) for f, v in _values().items()]
+    row = records.select("record_id", F.coalesce("source", F.lit("")).alias("source"), "scanned_at", "image", *values)
+    return row.join(members.join(sizes, "group_id"), "record_id")
+
+
+def _claims(read: DataFrame) -> DataFrame:
+    """``group_id, field, value, source, n, latest`` of shared images: who claims what, repeated claims counted before they move."""
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS]))
+    claims = read.filter("copies > 1").select("group_id", "source", "scanned_at", fields.alias("c")).select("group_id", "c.field", "c.value", "source", "scanned_at").filter("value IS NOT NULL")
     return claims.groupBy("group_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max("scanned_at").alias("latest"))
 
 
@@ -85,7 +91,9 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
     trust, the latest, the greatest value. The last two enter a pattern as the order of its values.
     """
     ranks = _ranked_sources(sources)
-    by_value = claims.join(ranks, "source", "left").groupBy("group_id", "field", "value").agg(
+    # Laid out once for both steps: a group's claims on a field are few, as they are counted (sources times values).
+    laid = claims.repartition("group_id", "field").join(ranks, "source", "left")
+    by_value = laid.groupBy("group_id", "field", "value").agg(
         F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by"), F.max(-F.coalesce("priority", F.lit(1 << 30))).alias("trust"), F.max("latest").alias("latest")
     )
     # In rising order of the last ties: the later place in the pattern wins them.
@@ -118,53 +126,45 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
     raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
 
 
-def shared_images(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """All members ``(record_id, group_id)``, and those of images that two or more records show, with ``copies``."""
-    members = scratch.cut(image_members(records, scratch))
-    sizes = members.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1")
-    return members, members.join(sizes, "group_id")
-
-
-def chosen_values(records: DataFrame, sources: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All members ``(record_id, group_id)``, those of shared images with ``copies``, and for these ``group_id, field, value, support, latest``.
+def chosen_values(read: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """``group_id, field, value, support, latest`` of shared images.
 
     The value with the greatest weight of votes wins its field; then the most trusted source's (priority in
     ``sources``, unknown ones last), the latest, the greatest. An empty box list loses to any boxes. A field
     that nobody claims has no row. Whatever a group's size, claims are counted before they move.
     """
-    members, shared = shared_images(records, scratch)
-    shared = scratch.cut(shared)
-    claims = scratch.cut(_claims(records, shared))
+    claims = scratch.cut(_claims(read))
     weights = source_weights(claims, sources, scratch)
     ranks = _ranked_sources(sources)
-    weighed = claims.join(weights, ["field", "source"], "left").join(ranks, "source", "left")
+    weighed = claims.repartition("group_id").join(weights, ["field", "source"], "left").join(ranks, "source", "left")
     scored = weighed.groupBy("group_id", "field", "value").agg(
         F.sum(F.col("n") * F.coalesce("weight", F.lit(1.0))).alias("score"), F.sum("n").alias("votes"), F.max(-F.coalesce("priority", F.lit(1 << 30))).alias("trust"), F.max("latest").alias("latest")
     )
     order = F.struct(_boxed().alias("boxed"), F.round("score", 9).alias("score"), "trust", "latest", "value")
-    chosen = scored.groupBy("group_id", "field").agg(F.max_by("value", order).alias("value"), (F.max_by("votes", order) / F.sum("votes")).alias("support"), F.max("latest").alias("latest"))
-    return members, shared, chosen
+    return scored.groupBy("group_id", "field").agg(F.max_by("value", order).alias("value"), (F.max_by("votes", order) / F.sum("votes")).alias("support"), F.max("latest").alias("latest"))
 
 
 def survivors(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per image: ``group_id, copies``, the fields, ``image`` (the path of the most trusted source's latest copy), ``support`` (least share of the votes behind a chosen value) and ``latest`` scan.
 
     Values are chosen as in ``chosen_values``; a field that nobody claims is null. Singles keep their own
-    values, with support 1. No row is capped or dropped.
+    values, with support 1. No row is capped or dropped. ``sources`` is a dimension (a row per source, small by nature).
     """
-    members, shared, chosen = chosen_values(records, sources, scratch)
+    read = scratch.cut(_read(records, image_members(records, scratch)))
+    chosen = chosen_values(read, sources, scratch)
     wide = chosen.groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS], F.round(F.min("support"), 4).alias("support"), F.max("latest").alias("latest"))
     typed = [text_boxes("boxes").alias("boxes"), F.col("ignored_objects").cast("int").alias("ignored_objects"), F.col("file_size").cast("long").alias("file_size")]
     plain = ["frame", "checksum", "clip", "original_split", "assigned_split", "image", "support", "latest"]
-    ranks = _ranked_sources(sources)
-    paths = records.filter("image IS NOT NULL").select("record_id", "source", "image", "scanned_at").join(shared, "record_id").join(ranks, "source", "left")
-    paths = paths.groupBy("group_id").agg(F.max_by("image", F.struct(-F.coalesce("priority", F.lit(1 << 30)), "scanned_at", "image")).alias("image"))
-    groups = shared.select("group_id", "copies").distinct().join(wide, "group_id", "left").join(paths, "group_id", "left").select("group_id", "copies", *typed, *plain)
-    own = records.select("record_id", *[F.nullif(v, F.lit("")).alias(f) for f, v in _values().items()], "image", F.lit(1.0).alias("support"), F.col("scanned_at").alias("latest")).dropDuplicates(["record_id"])
-    singles = own.join(members.join(shared.select("record_id"), "record_id", "left_anti"), "record_id").select("group_id", F.lit(1).cast("long").alias("copies"), *typed, *plain)
-    return groups.unionByName(singles)
+    paths = read.filter("copies > 1").join(_ranked_sources(sources), "source", "left")
+    best = F.struct(-F.coalesce("priority", F.lit(1 << 30)), "scanned_at", "image")
+    paths = paths.groupBy("group_id").agg(F.max("copies").alias("copies"), F.max_by("image", F.when(F.col("image").isNotNull(), best)).alias("image"))
+    groups = paths.join(wide, "group_id", "left").select("group_id", "copies", *typed, *plain)
+    own = read.filter("copies = 1").withColumn("support", F.lit(1.0)).withColumn("latest", F.col("scanned_at"))
+    return groups.unionByName(own.select("group_id", "copies", *typed, *plain))
 
 
 def duplicate_members(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(group_id, record_id)`` of the images for which ``survivors`` builds one record from two or more."""
-    return shared_images(records, scratch)[1].select("group_id", "record_id").distinct()
+    members = scratch.cut(image_members(records, scratch))
+    shared = members.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1").select("group_id")
+    return members.join(shared, "group_id", "left_semi").select("group_id", "record_id").distinct()
