@@ -28,6 +28,15 @@ def test_spikes_turns_and_limits(spark):
     assert got == {20: {"off_line"}, 40: {"off_line"}, 41: {"off_line"}, 30: {"physical"}, 50: {"physical"}, 10: {"fast"}, 11: {"physical"}}
 
 
+def test_second_and_last_but_one_reading(spark):
+    c = line()
+    c[1], c[58] = [c[1][0], 400.0], [c[58][0] + 90, 500.0]
+    assert found(spark, c) == {1: {"off_line"}, 58: {"off_line"}}
+    c = line()
+    c[0], c[59] = [c[0][0], 400.0], [c[59][0], 700.0]  # the ends have no line, and their neighbours are right
+    assert found(spark, c) == {}
+
+
 def test_turn_rest_and_jump_are_no_cases(spark):
     turn = line(30) + [[100.0 + 6 * 29 - 6 * i, 158.0 + 2 * i] for i in range(1, 30)]
     rest = [[300.0 + (i * 7 % 5) * 0.1, 300.0 + (i * 3 % 4) * 0.1] for i in range(40)]

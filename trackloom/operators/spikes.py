@@ -31,6 +31,7 @@ STUCK = 6
 ALPHA, CHART_LIMIT, RESTART = 0.3, 2.0, 6
 CHASES = (1.0, 0.4)  # a quick chart follows turns at once, a slow one sees the end of a long spike
 HOT_ROWS, BLOCK_FRAMES, MARGIN = 50_000, 20_000, 500
+CLOSE, SETTLED = 3, 5  # frames between close neighbours, and readings by which the other chart has settled
 BATCH_ROWS = 100_000
 MEASURES = "stream_id string, track_id long, at long, kind int, key long, first array<double>, last array<double>, heads array<long>, tails array<long>"
 EDGES = "stream_id string, track_id long, at long, block long, lo long, hi long, key long"
@@ -160,6 +161,14 @@ def judge(track: np.ndarray, frame: np.ndarray, xy: np.ndarray, v: np.ndarray, s
     forward = np.logical_or.reduce([_chart(frame, xy, usable, starts, lengths, usual, c) for c in CHASES])
     flip = np.repeat(2 * starts + lengths - 1, lengths) - np.arange(len(track))
     backward = np.logical_or.reduce([_chart(-frame[flip], xy[flip], usable[flip], starts, lengths, usual, c) for c in CHASES])[flip]
+    # The second reading of a track comes before the forward chart has settled, the last but one before the backward chart: there the other one's word will do, between close neighbours.
+    before, after = _near(usable, starts, lengths)
+    close = usable & (before >= 0) & (after >= 0) & (frame - frame[before] <= CLOSE) & (frame[np.minimum(after, len(track) - 1)] - frame <= CLOSE)
+    ahead = np.cumsum(usable)
+    rank = ahead - np.repeat(ahead[starts] - usable[starts], lengths) if len(track) else track
+    held = np.repeat(np.bincount(track, usable, n).astype(np.int64), lengths)
+    forward |= close & (rank == 2) & (held >= SETTLED)
+    backward |= close & (held - rank == 1) & (held >= SETTLED)
     off = forward & backward & usable
     for _ in range(12):
         before, after = _near(usable & ~off, starts, lengths)
@@ -354,7 +363,7 @@ def spikes(tracks: DataFrame, frames: DataFrame, scratch: Scratch, hot_rows: int
     Rows without track, stream or frame are left out; without a center they are no readings; a null
     velocity is judged by center alone. An array of another length than two counts as not finite.
     Deliveries of one frame count once (least row_id). A stream without frames has no picture limit.
-    A first or last reading has no line. An empty table gives no rows; other columns don't matter.
+    A first or last reading has no line; a second or last but one is judged only between close neighbours. An empty table gives no rows; other columns don't matter.
     """
     sizes = scratch.cut(frames.groupBy("stream_id").agg(F.max("width").cast("double").alias("width"), F.max("height").cast("double").alias("height")))
     rows = tracks.filter("track_id IS NOT NULL AND stream_id IS NOT NULL AND frame_index IS NOT NULL AND center IS NOT NULL")
