@@ -63,4 +63,11 @@ class Scratch:
             self._delete(path)
 
     def close(self) -> None:
+        """Deletes all tables: only when what was made of them is written itself."""
         self._delete(self.root)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
