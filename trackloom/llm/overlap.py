@@ -136,8 +136,9 @@ def image_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(record_id, side, group_id)`` of every record: records whose frames, or whose checksums, have the same chunks in the same order are one image, directly or by way of others. Covers have 128 bits."""
     schema = "record_id long, side string, " + ", ".join(f"{f}_{k} long" for f in IDENTITY for k in (0, 1))
     covers = _sided(records).mapInArrow(_covers, schema).select("record_id", "side", *[F.unhex(F.concat(*[F.lpad(F.hex(f"{f}_{k}"), 16, "0") for k in (0, 1)])).alias(f) for f in IDENTITY])
-    covers = scratch.cut(covers)
-    return linked_groups(covers, "record_id", list(IDENTITY), scratch).join(covers.select("record_id", "side"), "record_id")
+    with Scratch(records.sparkSession) as inner:
+        covers = inner.cut(covers)
+        return scratch.cut(linked_groups(covers, "record_id", list(IDENTITY), inner).join(covers.select("record_id", "side"), "record_id"))
 
 
 def linked(groups: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def linked(groups: DataFrame) -> DataFrame:
 
 def cross_split_pairs(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(record_id_a, record_id_b)``, smaller first: one train record and one valid or test record of the same image. Every such pair, and no pair within a split."""
-    groups = scratch.cut(image_groups(records, scratch))
+    groups = image_groups(records, scratch)
     both = groups.groupBy("group_id").agg(F.max(F.col("side") == "T").alias("t"), F.max(F.col("side") == "E").alias("e")).filter("t AND e").select("group_id")
     torn = groups.join(both, "group_id", "left_semi")
     train = torn.filter("side = 'T'").select("group_id", F.col("record_id").alias("t"))
@@ -161,7 +162,7 @@ def overlap_members(records: DataFrame, scratch: Scratch) -> DataFrame:
 
     near: no record of the other side shows the image, but at least ``NEAR`` of the record's length stands there.
     """
-    groups = scratch.cut(image_groups(records, scratch))
+    groups = image_groups(records, scratch)
     exact = linked(groups).select("record_id", "links")
     both = groups.join(overlaps(records).select("record_id", "overlap"), "record_id", "left").join(exact, "record_id", "left")
     near = F.col("links").isNull() & (F.coalesce("overlap", F.lit(0.0)) >= NEAR)
@@ -174,6 +175,6 @@ def overlap_report(records: DataFrame, scratch: Scratch) -> DataFrame:
 
     A pair counts once at its train record and once at its valid or test record.
     """
-    paired = linked(scratch.cut(image_groups(records, scratch))).select("record_id", "links")
+    paired = linked(image_groups(records, scratch)).select("record_id", "links")
     base = records.select("record_id", F.coalesce(F.nullif(split_name(F.col("assigned_split")), F.lit("")), F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("source"))
     return base.join(paired, "record_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("links").alias("overlapping"), F.coalesce(F.sum("links"), F.lit(0)).alias("pairs"))

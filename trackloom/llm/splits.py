@@ -52,7 +52,8 @@ def assign_splits(records: DataFrame, targets: DataFrame, scratch: Scratch, slot
     count as nought. More than 1,000 targets are refused. A source's line is cut into slots of about
     ``slot_groups`` groups, which doesn't change the order of groups in it.
     """
-    grouped = scratch.cut(related_groups(records, scratch))
+    with Scratch(records.sparkSession) as inner:
+        grouped = scratch.cut(related_groups(records, inner))
     weights = grouped.groupBy("group_id", "source").agg(F.count("*").alias("n"))
     groups = weights.groupBy("group_id").agg(F.max_by("source", F.struct("n", "source")).alias("home"), F.sum("n").alias("n"))
     named = targets.filter("split_name IS NOT NULL").limit(1001).collect()

@@ -90,6 +90,7 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
     one sum per field and source. A round's winner is chosen as in ``chosen_values``: boxes before none, score,
     trust, the latest, the greatest value. The last two enter a pattern as the order of its values.
     """
+    inner = Scratch(scratch.spark)
     ranks = _ranked_sources(sources)
     # Laid out once for both steps: a group's claims on a field are few, as they are counted (sources times values).
     laid = claims.repartition("group_id", "field").join(ranks, "source", "left")
@@ -99,11 +100,11 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
     # In rising order of the last ties: the later place in the pattern wins them.
     value = F.struct("latest", "value", F.struct(_boxed().alias("boxed"), "trust", "by").alias("vote"))
     patterns = by_value.groupBy("group_id", "field").agg(F.transform(F.array_sort(F.collect_list(value)), lambda x: x["vote"]).alias("pattern"))
-    patterns = scratch.cut(patterns.groupBy("field", "pattern").agg(F.count("*").alias("groups")).withColumn("pid", F.xxhash64("field", "pattern")))
+    patterns = inner.cut(patterns.groupBy("field", "pattern").agg(F.count("*").alias("groups")).withColumn("pid", F.xxhash64("field", "pattern")))
     agreed = patterns.filter("size(pattern) = 1").select("field", "groups", F.explode(F.col("pattern")[0]["by"]).alias("b"))
-    agreed = scratch.cut(agreed.groupBy("field", "b.source").agg(F.sum(F.col("groups") * F.col("b.n")).alias("agreed")))
+    agreed = inner.cut(agreed.groupBy("field", "b.source").agg(F.sum(F.col("groups") * F.col("b.n")).alias("agreed")))
     split = patterns.filter("size(pattern) > 1").select("field", "pid", "groups", F.posexplode("pattern").alias("vid", "vote"))
-    table = scratch.cut(split.select("field", "pid", "groups", "vid", "vote.boxed", "vote.trust", F.explode("vote.by").alias("b")).select("field", "pid", "groups", "vid", "boxed", "trust", "b.source", "b.n"))
+    table = inner.cut(split.select("field", "pid", "groups", "vid", "vote.boxed", "vote.trust", F.explode("vote.by").alias("b")).select("field", "pid", "groups", "vid", "boxed", "trust", "b.source", "b.n"))
     weights = scratch.cut(table.select("field", "source").distinct().withColumn("weight", F.lit(1.0)))
     best = Window.partitionBy("field", "pid").orderBy(F.desc("boxed"), F.desc(F.round("score", 9)), F.desc("trust"), F.desc("vid"))
     for turn in range(rounds):
@@ -122,6 +123,7 @@ def source_weights(claims: DataFrame, sources: DataFrame, scratch: Scratch, roun
         scratch.drop(weights)
         weights = new
         if moved is None or moved <= tolerance:
+            inner.close()
             return weights
     raise RuntimeError(f"weights still move by {moved} after {rounds} rounds")
 
@@ -150,7 +152,8 @@ def survivors(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataF
     Values are chosen as in ``chosen_values``; a field that nobody claims is null. Singles keep their own
     values, with support 1. No row is capped or dropped. ``sources`` is a dimension (a row per source, small by nature).
     """
-    read = scratch.cut(_read(records, image_members(records, scratch)))
+    with Scratch(records.sparkSession) as inner:
+        read = scratch.cut(_read(records, image_members(records, inner)))
     chosen = chosen_values(read, sources, scratch)
     wide = chosen.groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS], F.round(F.min("support"), 4).alias("support"), F.max("latest").alias("latest"))
     typed = [text_boxes("boxes").alias("boxes"), F.col("ignored_objects").cast("int").alias("ignored_objects"), F.col("file_size").cast("long").alias("file_size")]
@@ -165,6 +168,7 @@ def survivors(records: DataFrame, sources: DataFrame, scratch: Scratch) -> DataF
 
 def duplicate_members(records: DataFrame, scratch: Scratch) -> DataFrame:
     """``(group_id, record_id)`` of the images for which ``survivors`` builds one record from two or more."""
-    members = scratch.cut(image_members(records, scratch))
+    with Scratch(records.sparkSession) as inner:
+        members = scratch.cut(image_members(records, inner))
     shared = members.groupBy("group_id").agg(F.count("*").alias("copies")).filter("copies > 1").select("group_id")
     return members.join(shared, "group_id", "left_semi").select("group_id", "record_id").distinct()
