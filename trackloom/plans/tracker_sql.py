@@ -85,7 +85,7 @@ _CLIP = "least(greatest({0}, 0::DOUBLE), {1})"
 TRACKS = f"""SELECT stream_id, frame_index, t.id track_id, CASE WHEN t.seen THEN 'observed' ELSE 'predicted' END status, round(t.x, 4) cx, round(t.y, 4) cy, round({_CLIP.format("t.x - t.w / 2", "width")}, 4) x1, round({_CLIP.format("t.y - t.h / 2", "height")}, 4) y1,
   round({_CLIP.format("t.x + t.w / 2", "width")}, 4) x2, round({_CLIP.format("t.y + t.h / 2", "height")}, 4) y2, round(t.conf, 6) confidence, round(t.vx, 4) vx, round(t.vy, 4) vy, t.missing::INTEGER missing_frames, CASE WHEN t.seen THEN 'detector' ELSE 'prediction' END source,
   t.age::INTEGER age, t.hits::INTEGER hits, t.hits >= 2 confirmed, t.moving motion_confirmed, t.still::INTEGER stationary_frames FROM (SELECT stream_id, frame_index, width, height, unnest(out) t FROM shown)"""
-_STATES = "list_transform(ts, lambda t: concat_ws(' ', t.id, printf('%.3f', round(t.x, 3) + 0.0), printf('%.3f', round(t.y, 3) + 0.0), printf('%.3f', round(t.vx, 3) + 0.0), printf('%.3f', round(t.vy, 3) + 0.0), t.missing, t.moving, t.seen))"
+_STATES = "list_transform(ts, lambda t: concat_ws(' ', t.id, replace(printf('%.3f', t.x), '-0.000', '0.000'), replace(printf('%.3f', t.y), '-0.000', '0.000'), replace(printf('%.3f', t.vx), '-0.000', '0.000'), replace(printf('%.3f', t.vy), '-0.000', '0.000'), t.missing, t.moving, t.seen))"
 DIAGNOSTICS = f"""SELECT stream_id, frame_index, dets::INTEGER input_detections, high::INTEGER high_conf_detections, low::INTEGER low_conf_detections, matched::INTEGER high_conf_matches, recovered::INTEGER low_conf_recoveries, created::INTEGER created_tracks, removed::INTEGER removed_tracks,
   len(ts)::INTEGER retained_tracks, len(out)::INTEGER emitted_tracks, len(out)::INTEGER eligible_tracks, 0 output_limited_tracks, rejected::INTEGER physical_gate_rejections, impacts::INTEGER impact_recoveries, len(list_filter(ts, lambda t: NOT t.moving))::INTEGER motion_unconfirmed_tracks,
   len(list_filter(ts, lambda t: t.still > 30))::INTEGER stationary_suppressed_tracks, dx camera_motion_dx, dy camera_motion_dy, array_to_string({_STATES}, '; ') track_states FROM shown"""
